@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .workspace import small_batches
 
 SCHEMA = "doc_id long, item_id long, distance long, item_words long, start_word long, end_word long"
 _TABLE_BITS = 20
@@ -109,6 +110,7 @@ class Decontaminator:
     def matches(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
         """SCHEMA: each document and item that occurs in it, with the closest place (in words of the document)."""
         spark = docs.sparkSession
+        small_batches(spark)
         items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text")).filter("item_id is not null and text is not null")
         count, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
         blocks = max(1, -(-count // self.items), -(-chars // self.chars))

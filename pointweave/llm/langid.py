@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .workspace import small_batches
 
 U64 = np.uint64
 UNDETERMINED = "und"
@@ -98,6 +99,7 @@ class LanguageId:
 
     def fit(self, docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
         """training: SQL condition on doc_id. Rows are picked by a hash of their id, so the same rows give the same model."""
+        small_batches(docs.sparkSession)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
         rows = rows.filter("doc_id is not null and text is not null and label is not null").filter(training)
         counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

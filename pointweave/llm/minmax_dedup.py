@@ -5,8 +5,9 @@ a signature takes half as many hash evaluations as values. Bands of the signatur
 candidates; each link is then confirmed on the full shingle sets.
 
 Copies with equal sets are one class and take part once. In each bucket of a band the members
-are held against one pivot (a star, not all pairs). Buckets whose members are not yet in one
-component afterwards go through a second pass that compares members of different components
+are held against one pivot (a star, not all pairs), in some rounds with another pivot each, in
+which only members outside the pivot's component still count. Buckets whose members are not yet
+in one component afterwards go through a last pass that compares members of different components
 only, block by block, on their signatures; what may be similar is confirmed in the same way.
 
 Defined results: rows without a doc_id are left out; null or empty text, or text without a
@@ -37,8 +38,9 @@ class MinMaxDedup:
 
     bands * band_values = 2 * permutations. With 24 bands of 4 values, a pair at similarity 0.85
     escapes all bands with probability 2e-8, one at 0.8 with 3e-6. slack: a pair may be left out
-    of the second pass if its signatures agree in less than num/den - slack of their values, which
-    is seven standard deviations off. star, block: rows that one group of a task holds.
+    of the last pass if its signatures agree in less than num/den - slack of their values, which
+    is five standard deviations off. rounds: of stars; star, block: rows that one group of a task
+    holds.
     """
 
     shingle_words: int = 5
@@ -46,7 +48,8 @@ class MinMaxDedup:
     den: int = 100
     permutations: int = 48
     band_values: int = 4
-    slack: float = 0.25
+    slack: float = 0.2
+    rounds: int = 3
     star: int = 64
     block: int = 256
     seed: int = 11
@@ -118,30 +121,48 @@ class MinMaxDedup:
             "heads",
         )
         shared = bitfilter.build(spark, heads, "bucket", heads.count())
-        members = work.keep(reps.select("class_id", "n", "bands").mapInArrow(_in_buckets(shared), "bucket long, class_id long, n long").join(heads, "bucket"), "members")
+        members = work.keep(reps.select("class_id", "n", "bands").mapInArrow(_in_buckets(shared), "bucket long, band int, class_id long, n long").join(heads, "bucket"), "members")
         stars = members.filter(f"class_id <> pivot and {fits}").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct()
         links = work.keep(self._confirm(stars, docs, id_col, text_col, work), "links")
-        labels = components(links, work)
-
-        named = members.select("bucket", "class_id", "n").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
-        named = work.keep(named, "named")
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y").select("bucket", F.ceil(F.col("m") / self.block).cast("int").alias("blocks"))
-        across = self._across(named.join(mixed, "bucket").join(reps.select("class_id", "sig"), "class_id"))
-        more = work.keep(self._confirm(across, docs, id_col, text_col, work), "more-links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more), work)
+        members, labels = members.select("bucket", "band", "class_id", "n"), components(links, work)
+        for turn in range(1, self.rounds + 1):
+            named, mixed = self._mixed(members, labels, work)
+            if mixed.isEmpty():
+                break
+            rows = named.join(mixed, "bucket")
+            if turn < self.rounds:
+                drawn = F.struct(F.xxhash64("bucket", "class_id", F.lit(turn)).alias("u"), F.col("class_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
+                pivots = rows.groupBy("bucket").agg(F.min(drawn).alias("p")).select("bucket", "p.pivot", "p.pivot_n", "p.pivot_label")
+                pairs = rows.join(pivots, "bucket").filter(f"label <> pivot_label and {fits}").select(F.least("pivot", "class_id").alias("a"), F.greatest("pivot", "class_id").alias("b")).distinct()
+            else:
+                pairs = self._across(rows.join(reps.select("class_id", "sig"), "class_id"))
+            more = work.keep(self._confirm(pairs, docs, id_col, text_col, work), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links, work)
 
         named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_lo", "set_hi", "class_id", F.coalesce("label", "class_id").alias("component_id"))
         out = signed.select("doc_id", "n_shingles", "set_lo", "set_hi").join(named, ["set_lo", "set_hi"], "left")
         component = F.coalesce("component_id", "doc_id")
         return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
+    def _mixed(self, members: DataFrame, labels: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+        """members with their component's label, and the buckets that hold more than one, with the blocks they make."""
+        named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
+        named = work.keep(named, "named")
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+        return named, mixed.select("bucket", F.ceil(F.col("m") / self.block).cast("int").alias("blocks"))
+
     def _across(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) of one bucket and different components whose signatures leave the similarity possible."""
+        """Pairs (a, b) of one bucket and different components whose signatures leave the similarity possible.
+
+        A pair is told in the first of the bands that it shares.
+        """
         block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
         rows = rows.withColumn("own", block.cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "n", "label", "sig")
+        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "n", "label", "sig")
         least, num, den, width = (self.num / self.den - self.slack) * 2 * self.permutations, self.num, self.den, 2 * self.permutations
+        bands, values = self.bands, self.band_values
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key, t in _groups(batches, 3):
@@ -151,9 +172,13 @@ class MinMaxDedup:
                 a, b = [], []
                 for s in range(0, len(left), 64):
                     x = left[s : s + 64]
-                    ok = (sig[x][:, None, :] == sig[right][None, :, :]).sum(2) >= least
+                    same = sig[x][:, None, :] == sig[right][None, :, :]
+                    ok = same.sum(2) >= least
+                    ok &= same.reshape(len(x), len(right), bands, values).all(3).argmax(2) == t.column("band")[0].as_py()
                     ok &= label[x][:, None] != label[right][None, :]
                     ok &= den * np.minimum(n[x][:, None], n[right][None, :]) >= num * np.maximum(n[x][:, None], n[right][None, :])
+                    if key[1] == key[2]:
+                        ok &= ids[x][:, None] < ids[right][None, :]
                     p, q = np.nonzero(ok)
                     a.append(ids[x[p]])
                     b.append(ids[right[q]])
@@ -226,7 +251,7 @@ def _in_buckets(shared):
             each = len(keys) // batch.num_rows
             hit = np.flatnonzero(shared.value.has(keys.view(U64)))
             row = hit // each
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["bucket", "class_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array((hit % each).astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["bucket", "band", "class_id", "n"])
 
     return run
 

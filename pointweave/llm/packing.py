@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .workspace import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -206,6 +207,8 @@ _tokenizers: dict[str, WordTokenizer] = {}
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_id: int = 1, step_tokens: int = 65536) -> DataFrame:
     """One row per piece: SCHEMA. ids holds little-endian unsigned 32-bit ids; tier is the length of the sequence."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .workspace import small_batches
 
 K, SHINGLE = 128, 5
 
@@ -133,6 +134,7 @@ def each_with_next(docs: DataFrame, run, schema: str, id_col: str = "doc_id", te
     last block gets the first row of all.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     ids = rows.select("doc_id")
     n = ids.count()

@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _own["folder"]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000, unless the session says otherwise: whole texts are long, and Python workers share an executor's memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -36,6 +42,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.count = spark, f"{shared_folder(spark)}/pointweave-{name}-{uuid.uuid4().hex}", 0
+        small_batches(spark)
         atexit.register(self.clear)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
