@@ -138,8 +138,7 @@ class MinMaxDedup:
                 pairs = self._across(rows.join(reps.select("class_id", "sig"), "class_id"))
             more = work.keep(self._confirm(pairs, docs, id_col, text_col, work), "links")
             if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links, work)
+                labels = components(more, work, labels)
 
         named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_lo", "set_hi", "class_id", F.coalesce("label", "class_id").alias("component_id"))
         out = signed.select("doc_id", "n_shingles", "set_lo", "set_hi").join(named, ["set_lo", "set_hi"], "left")
