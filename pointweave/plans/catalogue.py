@@ -1,11 +1,418 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries by name, and the SQL that gives the same rows.
+
+Driver tables stand for clouds and trajectories: `events` are poses of one sequence for each
+user (the `view` events are ground truth, the others estimates), `lineitem` and `embeddings` are
+clouds. All floating columns are rounded to 6 digits.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import algebra as A
+from ..operators import clouds as C
+from ..operators import trajectories as T
+from .sql import Duck, Sql, listed, pose, vec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "traj_path_and_local_error"
+NAMES = ("qx", "qy", "qz", "qw", "x", "y", "z")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """The columns of df that aren't floating, and the given ones, rounded."""
+    return df.select(*[F.col(c) for c in df.columns if c not in columns], *[(F.round(F.expr(v) if isinstance(v, str) else v, 6) + 0.0).alias(k) for k, v in columns.items()])
+
+
+def as_pose(p: tuple) -> dict[str, Column]:
+    return dict(zip(NAMES, (*p[0], *p[1]), strict=True))
+
+
+# --- inputs -------------------------------------------------------------------------------------
+def trajectory(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    v = F.col("value")
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return e.select(F.col("user_id").alias("seq"), t.alias("t"), F.col("event_id").alias("pose_id"), F.col("event_type").alias("kind"), v.alias("x"), F.regexp_extract("props", r"(\d+)", 1).cast("double").alias("y"), (v / 10).alias("z"), F.lit(0.0).alias("qx"), F.sin(v / 300).alias("qy"), F.lit(0.0).alias("qz"), F.cos(v / 300).alias("qw"))
+
+
+POSES = r"""poses AS (SELECT user_id AS seq, epoch_us(ts) / 1e6 AS t, event_id AS pose_id, event_type AS kind, value AS x, CAST(regexp_extract(props, '(\d+)', 1) AS DOUBLE) AS y,
+  value / 10 AS z, 0.0::DOUBLE AS qx, sin(value / 300) AS qy, 0.0::DOUBLE AS qz, cos(value / 300) AS qw FROM events)"""
+_BOTH = f"""{POSES}, spots AS (SELECT *, max(CASE WHEN kind = 'view' THEN pose_id END) OVER (PARTITION BY seq ORDER BY t) AS l, min(CASE WHEN kind = 'view' THEN pose_id END) OVER (PARTITION BY seq ORDER BY t DESC) AS h FROM poses),
+found AS (SELECT p.*, coalesce(l, h) AS lo_id, coalesce(h, l) AS hi_id FROM spots p WHERE kind <> 'view' AND (l IS NOT NULL OR h IS NOT NULL)),
+ends AS (SELECT f.*, {", ".join(f"a.{n} AS a_{n}, b.{n} AS b_{n}" for n in ("t", *NAMES))} FROM found f JOIN poses a ON a.pose_id = f.lo_id JOIN poses b ON b.pose_id = f.hi_id),
+weighted AS (SELECT *, {A.alpha(Sql("t"), Sql("a_t"), Sql("b_t"), Duck)} AS alpha FROM ends)"""
+_MIDDLE = A.interpolate(pose("a_"), pose("b_"), Sql("alpha"), Duck)
+_POSED = dict(zip(NAMES, (*_MIDDLE[0], *_MIDDLE[1]), strict=True))
+INTERPOLATED = f"{_BOTH}, interpolated AS (SELECT *, {', '.join(f'{v} AS i_{k}' for k, v in _POSED.items())} FROM weighted)"
+
+
+def queries_with_truth(spark: SparkSession, d: str) -> DataFrame:
+    p = trajectory(spark, d)
+    return T.bracket(p.filter("kind = 'view'").drop("kind"), p.filter("kind <> 'view'").drop("kind")).filter("lo is not null")
+
+
+def line_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2000).alias("y"), (F.col("l_discount") * 100).alias("z"), F.col("l_tax").alias("w"))
+
+
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "y"]
+LINE = "points AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity AS x, l_extendedprice / 2000 AS y, l_discount * 100 AS z, l_tax AS w FROM lineitem)"
+_KEY = ", ".join(LINE_KEY)
+
+
+def _vox(size: float, prefix: str = "v") -> str:
+    return ", ".join(f"CAST(trunc({a} / {size}) AS INT) AS {prefix}{a}" for a in C.AXES)
+
+
+def vector_points(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("point_id"), F.col("label").alias("frame_id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate(C.AXES)])
+
+
+VECTORS = "points AS (SELECT vec_id AS point_id, label AS frame_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {a}" for i, a in enumerate(C.AXES)) + " FROM embeddings)"
+_SQUARE = "((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))"
+_PAIRS = f"{VECTORS}, pairs AS (SELECT q.point_id AS query_id, p.point_id, {_SQUARE} AS square FROM points q JOIN points p ON {_SQUARE} <= 0.2 * 0.2)"
+
+
+def cloud_pairs(spark: SparkSession, d: str, radius: float | Column = 0.2, size: float = 0.1, reach: int = 2) -> DataFrame:
+    p = vector_points(spark, d)
+    return C.neighbours(p, p, radius, size, reach, "point_id").select("query_id", "point_id", "square")
+
+
+# --- trajectories -------------------------------------------------------------------------------
+@query(f"WITH {INTERPOLATED}, moved AS (SELECT seq, {A.norm(tuple(Sql(f'(x - lag(x) OVER w)'.replace('x', a)) for a in 'xyz'), Duck)} AS est, {A.norm(tuple(Sql(f'(i_{a} - lag(i_{a}) OVER w)') for a in 'xyz'), Duck)} AS truth FROM interpolated WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)) SELECT seq, count(*) AS n, round(sum(coalesce(truth, 0)), 6) + 0.0 AS path, round(avg(abs(truth - est)), 6) + 0.0 AS mean_error, round(max(abs(truth - est)), 6) + 0.0 AS max_error FROM moved GROUP BY seq")
+def traj_path_and_local_error(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d))
+    delta = lambda pre: A.norm(tuple(F.col(pre + a) - F.lag(pre + a).over(T.BY) for a in C.AXES))
+    moved = at.select("seq", delta("").alias("est"), delta("i_").alias("truth"))
+    out = moved.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("truth", F.lit(0.0))).alias("path"), F.avg(F.abs(F.col("truth") - F.col("est"))).alias("mean_error"), F.max(F.abs(F.col("truth") - F.col("est"))).alias("max_error"))
+    return rounded(out, path="path", mean_error="mean_error", max_error="max_error")
+
+
+@query(f"WITH {_BOTH} SELECT seq, pose_id, lo_id, hi_id, round(alpha, 6) + 0.0 AS alpha FROM weighted")
+def traj_bracket(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d))
+    return rounded(at.select("seq", "pose_id", F.col("lo.pose_id").alias("lo_id"), F.col("hi.pose_id").alias("hi_id"), "alpha"), alpha="alpha")
+
+
+@query(f"WITH {INTERPOLATED} SELECT seq, pose_id, {listed({k: f'i_{k}' for k in NAMES})} FROM interpolated")
+def traj_interpolate_pose(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d)).select("seq", "pose_id", *[F.col(f"i_{n}").alias(n) for n in NAMES])
+    return rounded(at, **{n: n for n in NAMES})
+
+
+_MOVED = A.transform(pose("i_"), tuple(Sql(x) for x in ("1.0", "2.0", "3.0")))
+
+
+@query(f"WITH {INTERPOLATED} SELECT seq, pose_id, {listed(dict(zip('xyz', _MOVED, strict=True)))} FROM interpolated")
+def traj_transform_points(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d))
+    p = A.transform(T.pose("i_"), (F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    return rounded(at.select("seq", "pose_id", *[c.alias(a) for a, c in zip(C.AXES, p, strict=True)]), x="x", y="y", z="z")
+
+
+@query(f"WITH {POSES} SELECT seq, pose_id FROM poses WHERE t BETWEEN 1704500000.0 AND 1705500000.0")
+def traj_window_time(spark, d):
+    return trajectory(spark, d).filter(F.col("t").between(1704500000.0, 1705500000.0)).select("seq", "pose_id")
+
+
+@query(f"WITH {POSES} SELECT seq, pose_id FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY t, pose_id) - 1 AS i FROM poses) WHERE i BETWEEN 3 AND 8")
+def traj_window_index(spark, d):
+    return trajectory(spark, d).withColumn("i", F.row_number().over(T.BY) - 1).filter("i between 3 and 8").select("seq", "pose_id")
+
+
+@query(f"WITH {POSES} SELECT seq, min(t) AS t_min, max(t) AS t_max, min(pose_id) AS first_id, max(pose_id) AS last_id, count(*) AS n FROM poses GROUP BY seq")
+def frame_info(spark, d):
+    return trajectory(spark, d).groupBy("seq").agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.min("pose_id").alias("first_id"), F.max("pose_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {POSES}, gaps AS (SELECT seq, pose_id, t - lag(t) OVER (PARTITION BY seq ORDER BY t, pose_id) AS gap FROM poses) SELECT seq, pose_id, round(gap, 6) + 0.0 AS gap, coalesce(gap / 40000.0 BETWEEN 0.95 AND 1.05, true) AS fits FROM gaps")
+def frame_consistency(spark, d):
+    gaps = trajectory(spark, d).select("seq", "pose_id", (F.col("t") - F.lag("t").over(T.BY)).alias("gap"))
+    return rounded(gaps.withColumn("fits", F.coalesce((F.col("gap") / 40000.0).between(0.95, 1.05), F.lit(True))), gap="gap")
+
+
+@query(f"WITH {POSES}, seen AS (SELECT seq, t, lag(t) OVER (PARTITION BY seq ORDER BY pose_id) AS before FROM poses) SELECT seq, count(*) AS n, count(*) FILTER (before > t) AS disorders FROM seen GROUP BY seq")
+def traj_sort_check(spark, d):
+    seen = trajectory(spark, d).select("seq", "t", F.lag("t").over(Window.partitionBy("seq").orderBy("pose_id")).alias("before"))
+    return seen.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") > F.col("t")).alias("disorders"))
+
+
+_NEXT = f"{POSES}, pairs AS (SELECT *, {', '.join(f'lead({n}) OVER w AS n_{n}' for n in ('pose_id', 't', *NAMES))} FROM poses WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)), nexts AS (SELECT * FROM pairs WHERE n_pose_id IS NOT NULL)"
+
+
+def _two_poses(name: str, of: Callable, kind: type = A.Spark):
+    """A query over pairs of successive poses: of(a, b, m) -> values by name."""
+
+    def run(spark, d):
+        p = T.with_next(trajectory(spark, d).drop("kind"))
+        values = of(T.pose(), T.pose(of="next"), A.Spark)
+        return rounded(p.select("seq", "pose_id", *[v.alias(f"o_{k}") for k, v in values.items()])).select("seq", "pose_id", *[(F.round(f"o_{k}", 6) + 0.0).alias(k) for k in values])
+
+    run.__name__ = name
+    query(f"WITH {_NEXT} SELECT seq, pose_id, {listed(of(pose(), pose('n_'), Duck))} FROM nexts")(run)
+
+
+def _dict(p: tuple) -> dict:
+    return dict(zip(NAMES, (*p[0], *p[1]), strict=True))
+
+
+_two_poses("traj_relative_poses", lambda a, b, m: _dict(A.relative(a, b, m)))
+_two_poses("se3_compose", lambda a, b, m: _dict(A.compose(a, b, m)))
+_two_poses("se3_inverse", lambda a, b, m: _dict(A.inverse(a)))
+_two_poses("se3_apply", lambda a, b, m: dict(zip("xyz", A.transform(a, b[1]), strict=True)))
+_two_poses("se3_angular_distance", lambda a, b, m: {"degrees": A.angle_degrees(a[0], b[0], m), "distance": A.norm(A.sub(a[1], b[1]), m)})
+_two_poses("se3_slerp", lambda a, b, m: _dict(A.interpolate(a, b, 0.25, m)))
+_two_poses("frame_deltas", lambda a, b, m: {"distance": A.norm(A.relative(a, b, m)[1], m), "orientation": A.angle_degrees(a[0], b[0], m)})
+_two_poses("constant_velocity_prediction", lambda a, b, m: _dict(A.compose(b, A.relative(a, b, m), m)))
+_two_poses("motion_gate", lambda a, b, m: {"excess": A.norm(A.sub(a[1], b[1]), m) - 0.3, "turn": A.angle_degrees(a[0], b[0], m) - 15.0})
+_two_poses("distort_frame", lambda a, b, m: dict(zip("xyz", A.transform(A.inverse(b), A.transform(A.interpolate(a, b, 0.5, m), a[1])), strict=True)))
+_two_poses("traj_change_reference", lambda a, b, m: _dict(A.compose(A.inverse(((0.0, 0.6, 0.0, 0.8), (1.0, 2.0, 3.0))), a, m)))
+_NORMAL = (0.6, 0.0, 0.8)
+_two_poses("res_plane", lambda a, b, m: {"residual": A.point_to_plane(A.transform(a, (1.0, 2.0, 3.0)), b[1], _NORMAL)})
+_two_poses("res_point", lambda a, b, m: dict(zip("xyz", A.sub(A.transform(a, (1.0, 2.0, 3.0)), b[1]), strict=True)))
+_two_poses("res_line", lambda a, b, m: {"residual": A.point_to_line(A.transform(a, (1.0, 2.0, 3.0)), b[1], _NORMAL, m)})
+_two_poses("res_distribution", lambda a, b, m: {"residual": A.point_to_distribution(A.transform(a, (1.0, 2.0, 3.0)), b[1], (1.0, 0.2, 0.1, 2.0, 0.3, 1.5), m)})
+_two_poses("res_ct_plane", lambda a, b, m: {"residual": A.point_to_plane(A.transform(A.interpolate(a, b, 0.3, m), (1.0, 2.0, 3.0)), b[1], _NORMAL)})
+
+_FIRST = f"{POSES}, seen AS (SELECT *, {', '.join(f'first_value({n}) OVER w AS f_{n}' for n in NAMES)}, row_number() OVER w AS r FROM poses WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id))"
+
+
+@query(f"WITH {_FIRST}, named AS (SELECT *, lag(pose_id) OVER (PARTITION BY seq ORDER BY t, pose_id) AS from_id FROM seen) SELECT seq, from_id AS pose_id, {listed(_dict(A.relative(pose('f_'), pose(), Duck)))} FROM named WHERE r > 1")
+def traj_absolute_from_relative(spark, d):
+    out = T.chained(T.relative_poses(trajectory(spark, d).drop("kind")))
+    q, v = T.pose()
+    sign = F.lit(1.0)
+    return rounded(out.select("seq", "pose_id", *T.columns((tuple(c * sign for c in q), v))), **{n: n for n in NAMES})
+
+
+@query(f"WITH {POSES}, s AS (SELECT seq, pose_id, t, coalesce({A.norm(tuple(Sql(f'({a} - lag({a}) OVER w)') for a in ('x', 'y', 'z')), Duck)}, 0) AS step FROM poses WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)) SELECT seq, pose_id, round(sum(step) OVER (PARTITION BY seq ORDER BY t, pose_id ROWS UNBOUNDED PRECEDING), 5) + 0.0 AS length FROM s")
+def eval_path_length(spark, d):
+    return T.path_length(trajectory(spark, d)).select("seq", "pose_id", (F.round("length", 5) + 0.0).alias("length"))
+
+
+@query(f"WITH {INTERPOLATED}, e AS (SELECT seq, {A.norm(A.relative(pose(), pose('i_'), Duck)[1], Duck)} AS ape FROM interpolated) SELECT seq, round(avg(ape), 6) + 0.0 AS mean_ape, round(max(ape), 6) + 0.0 AS max_ape FROM e GROUP BY seq")
+def eval_ape(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d))
+    e = at.select("seq", A.norm(A.relative(T.pose(), T.pose("i_"))[1]).alias("ape"))
+    return rounded(e.groupBy("seq").agg(F.avg("ape").alias("mean_ape"), F.max("ape").alias("max_ape")), mean_ape="mean_ape", max_ape="max_ape")
+
+
+_REL = A.relative(A.relative(pose("s."), pose("e."), Duck), A.relative(pose("s.i_"), pose("e.i_"), Duck), Duck)
+
+
+@query(f"""WITH {INTERPOLATED}, st AS (SELECT *, coalesce({A.norm(tuple(Sql(f'(i_{a} - lag(i_{a}) OVER w)') for a in 'xyz'), Duck)}, 0) AS step, row_number() OVER w - 1 AS rank FROM interpolated WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)),
+along AS (SELECT *, sum(step) OVER (PARTITION BY seq ORDER BY t, pose_id ROWS UNBOUNDED PRECEDING) AS dist FROM st),
+goals AS (SELECT s.seq, s.pose_id, s.rank, len AS length, min(e.rank) AS last FROM along s CROSS JOIN (VALUES (500.0), (1000.0), (2000.0)) AS l(len) JOIN along e ON e.seq = s.seq AND e.dist > s.dist + len WHERE s.rank % 10 = 0 GROUP BY ALL)
+SELECT g.seq, g.pose_id, round(CAST(g.length AS DOUBLE), 6) + 0.0 AS length, round({A.norm(_REL[1], Duck)} / g.length, 6) + 0.0 AS t_error FROM goals g JOIN along s ON s.seq = g.seq AND s.rank = g.rank JOIN along e ON e.seq = g.seq AND e.rank = g.last""")
+def eval_rpe(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d)).select("seq", "t", "pose_id", *T.POSE, *[F.col(f"i_{n}").alias(f"g_{n}") for n in T.POSE])
+    return rounded(T.segment_errors(at, (500.0, 1000.0, 2000.0), 10).select("seq", "pose_id", "length", "t_error"), length="length", t_error="t_error")
+
+
+# --- clouds -------------------------------------------------------------------------------------
+@query(f"WITH {LINE}, v AS (SELECT {_vox(1.5)} FROM points) SELECT vx, vy, vz, count(*) AS n FROM v GROUP BY ALL")
+def voxel_keys(spark, d):
+    return C.with_voxel(line_points(spark, d), 1.5).groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sampled(k: int, size: float) -> str:
+    return f"WITH {LINE}, v AS (SELECT *, {_vox(size)} FROM points), r AS (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY {_KEY}) AS r FROM v) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, vx, vy, vz FROM r WHERE r <= {k}"
+
+
+_SAMPLE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "vx", "vy", "vz"]
+
+
+@query(_sampled(1, 2.0))
+def grid_sample_1(spark, d):
+    return C.grid_sample(line_points(spark, d), 2.0, LINE_KEY).select(*_SAMPLE)
+
+
+@query(_sampled(3, 2.0))
+def grid_sample_k(spark, d):
+    return C.grid_sample(line_points(spark, d), 2.0, LINE_KEY, 3).select(*_SAMPLE)
+
+
+@query(_sampled(1, 2.0) + f" ORDER BY {_KEY} LIMIT 100")
+def grid_sample_cap(spark, d):
+    return C.grid_sample(line_points(spark, d), 2.0, LINE_KEY, 1, 100).select(*_SAMPLE)
+
+
+_SIZE = "CASE " + " ".join(f"WHEN r >= {b} THEN {s}" for b, s in reversed(C.BANDS)) + " END"
+
+
+@query(f"WITH {LINE}, g AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM points), s AS (SELECT *, {_SIZE} AS size FROM g WHERE r >= {C.BANDS[0][0]} AND r < {C.FAR}), v AS (SELECT *, {_vox('size')} FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY size, vx, vy, vz ORDER BY {_KEY}) AS k FROM v) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(size AS DOUBLE) AS size FROM o WHERE k = 1")
+def adaptive_sample(spark, d):
+    return C.adaptive_sample(line_points(spark, d), LINE_KEY).select(*_SAMPLE[:4], "size")
+
+
+@query(f"WITH {LINE} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {listed({'x': 'x * 0.999993598 + 0.00357792 * z', 'y': 'y'})} FROM points WHERE z > 5")
+def rotated_filter(spark, d):
+    p = line_points(spark, d).filter("z > 5")
+    return rounded(p.select(*_SAMPLE[:4], (F.col("x") * 0.999993598 + F.lit(0.00357792) * F.col("z")).alias("x"), "y"), x="x", y="y")
+
+
+_COV = tuple(Sql(f"c{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+_MOMENTS = f"""{LINE}, v AS (SELECT *, {_vox(8)} FROM points), e AS (SELECT vx, vy, vz, count(*) AS n, {", ".join(f"avg({a}) AS m{a}" for a in C.AXES)}, {", ".join(f"avg({a} * {b}) AS e{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM v GROUP BY vx, vy, vz),
+m AS (SELECT vx, vy, vz, n, mx, my, mz, {", ".join(f"e{a}{b} - m{a} * m{b} AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM e WHERE n >= 5)"""
+_MOMENT_NAMES = ["mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz"]
+
+
+@query(f"WITH {_MOMENTS} SELECT vx, vy, vz, n, {listed({k: k for k in _MOMENT_NAMES})} FROM m")
+def voxel_moments(spark, d):
+    return rounded(C.moments(C.with_voxel(line_points(spark, d), 8.0), ["vx", "vy", "vz"]), **{k: k for k in _MOMENT_NAMES})
+
+
+_EIGEN = C.eigenvalues(_COV, Duck)
+_SHAPE = f"{_MOMENTS}, s AS (SELECT vx, vy, vz, {_EIGEN[0]} AS s0, {_EIGEN[1]} AS s1, {_EIGEN[2]} AS s2 FROM m)"
+
+
+def _shapes(spark, d) -> DataFrame:
+    m = C.moments(C.with_voxel(line_points(spark, d), 8.0), ["vx", "vy", "vz"])
+    values = C.eigenvalues(tuple(F.col(str(c)) for c in _COV), A.Spark)
+    return m.select("vx", "vy", "vz", *[v.alias(f"s{i}") for i, v in enumerate(values)])
+
+
+@query(f"WITH {_SHAPE} SELECT vx, vy, vz, round(s0, 4) + 0.0 AS s0, round((s1 - s2) / s0, 4) + 0.0 AS planarity, round((s0 - s1) / s0, 4) + 0.0 AS linearity FROM s WHERE s0 > 0.001")
+def voxel_shape_features(spark, d):
+    return _shapes(spark, d).filter("s0 > 0.001").select("vx", "vy", "vz", (F.round("s0", 4) + 0.0).alias("s0"), *[(F.round(F.expr(e), 4) + 0.0).alias(n) for n, e in (("planarity", "(s1 - s2) / s0"), ("linearity", "(s0 - s1) / s0"))])
+
+
+@query(f"WITH {_SHAPE} SELECT CASE WHEN (s0 - s1) / s0 >= 0.8 THEN 'LINEAR' WHEN (s1 - s2) / s0 >= 0.8 THEN 'PLANAR' ELSE 'VOLUMIC' END AS class, count(*) AS n FROM s WHERE s0 > 0.001 GROUP BY 1")
+def voxel_class(spark, d):
+    kind = F.when(F.expr("(s0 - s1) / s0 >= 0.8"), "LINEAR").when(F.expr("(s1 - s2) / s0 >= 0.8"), "PLANAR").otherwise("VOLUMIC")
+    return _shapes(spark, d).filter("s0 > 0.001").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _loss(name: str, f: Callable):
+    def run(spark, d):
+        return rounded(line_points(spark, d).select(*_SAMPLE[:4], f(F.col("w") * F.col("x"), A.Spark).alias("loss")), loss="loss")
+
+    run.__name__ = f"loss_{name}"
+    query(f"WITH {LINE} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {listed({'loss': f(Sql('(w * x)'), Duck)})} FROM points")(run)
+
+
+for _name, _f in A.LOSSES.items():
+    _loss(_name, _f)
+
+
+@query(f"WITH {LINE} SELECT l_orderkey, CAST(x AS INT) AS xi, CAST(z AS FLOAT) AS zf, CAST(l_linenumber AS DOUBLE) AS ld FROM points WHERE x = trunc(x)")
+def cast_columns(spark, d):
+    return line_points(spark, d).filter("x = floor(x)").select("l_orderkey", F.col("x").cast("int").alias("xi"), F.col("z").cast("float").alias("zf"), F.col("l_linenumber").cast("double").alias("ld"))
+
+
+@query(f"WITH {VECTORS}, ids AS (SELECT unnest([3, 1, 4, 1, 5]) AS point_id) SELECT i.point_id, frame_id, {listed({a: a for a in C.AXES})} FROM ids i JOIN points p ON p.point_id = i.point_id")
+def select_points(spark, d):
+    ids = spark.createDataFrame([(i,) for i in (3, 1, 4, 1, 5)], "point_id int")
+    return rounded(ids.join(vector_points(spark, d), "point_id").select("point_id", "frame_id", *C.AXES), x="x", y="y", z="z")
+
+
+@query(f"WITH {VECTORS} SELECT cloud, count(*) AS n FROM (SELECT 'a' AS cloud FROM points UNION ALL SELECT 'b' FROM points WHERE x > 0) GROUP BY cloud")
+def append_clouds(spark, d):
+    p = vector_points(spark, d)
+    return p.withColumn("cloud", F.lit("a")).unionByName(p.filter("x > 0").withColumn("cloud", F.lit("b"))).groupBy("cloud").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY square, point_id) AS rank FROM pairs) SELECT query_id, point_id, CAST(rank AS INT) AS rank, round(square, 6) + 0.0 AS square FROM r WHERE rank <= 5")
+def knn_voxel(spark, d):
+    return rounded(C.nearest(cloud_pairs(spark, d), 5), square="square").select("query_id", "point_id", "rank", "square")
+
+
+@query(f"WITH {_PAIRS} SELECT query_id, count(*) AS n FROM pairs GROUP BY query_id HAVING count(*) >= 3")
+def radius_count(spark, d):
+    return cloud_pairs(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+
+
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY square, point_id) AS rank FROM pairs WHERE query_id <> point_id) SELECT query_id, point_id FROM r WHERE rank = 1")
+def nn1_lines(spark, d):
+    return C.nearest(cloud_pairs(spark, d).filter("query_id <> point_id"), 1).select("query_id", "point_id")
+
+
+@query(f"WITH {VECTORS}, r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM points) SELECT point_id, CASE WHEN r >= 0.4 THEN 2 WHEN r >= 0.2 THEN 1 ELSE 0 END AS level FROM r")
+def multires_level(spark, d):
+    r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    return vector_points(spark, d).select("point_id", C.level_for(r, (0.1, 0.2, 0.4)).alias("level"))
+
+
+_RADIUS = "(0.05 + 0.1 * least(sqrt({0}x * {0}x + {0}y * {0}y + {0}z * {0}z), 1.0))"
+
+
+@query(f"WITH {VECTORS}, pairs AS (SELECT q.point_id AS query_id, p.point_id, {_SQUARE} AS square FROM points q JOIN points p ON {_SQUARE} <= {_RADIUS.format('q.')} * {_RADIUS.format('q.')}) SELECT query_id, count(*) AS n, round(max(square), 6) + 0.0 AS far FROM pairs GROUP BY query_id")
+def distance_radius_knn(spark, d):
+    pairs = cloud_pairs(spark, d, F.expr(_RADIUS.format("")), 0.1, 2)
+    return rounded(pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("far")), far="far")
+
+
+_GREEDY = f"""{VECTORS}, v AS (SELECT *, {_vox(0.2)} FROM points), g AS (SELECT vx, vy, vz, list(struct_pack(id := point_id, x := x, y := y, z := z) ORDER BY point_id) AS l FROM v GROUP BY vx, vy, vz),
+f AS (SELECT vx, vy, vz, list_reduce(list_transform(l, lambda p: [p]), lambda acc, p: CASE WHEN len(acc) < 8 AND len(list_filter(acc, lambda o: (o.x - p[1].x) * (o.x - p[1].x) + (o.y - p[1].y) * (o.y - p[1].y) + (o.z - p[1].z) * (o.z - p[1].z) <= 0.03 * 0.03)) = 0 THEN list_concat(acc, p) ELSE acc END) AS kept FROM g),
+cells AS (SELECT vx, vy, vz, u.id AS point_id, u.x AS x, u.y AS y, u.z AS z FROM (SELECT vx, vy, vz, unnest(kept) AS u FROM f))"""
+
+
+def _cells(spark, d) -> DataFrame:
+    return C.insert_greedy(vector_points(spark, d), 0.2, 0.03, 8)
+
+
+@query(f"WITH {_GREEDY} SELECT vx, vy, vz, point_id FROM cells")
+def map_insert_greedy(spark, d):
+    return _cells(spark, d).select("vx", "vy", "vz", "point_id")
+
+
+@query(f"WITH {_GREEDY}, o AS (SELECT vx, vy, vz, count(*) AS points FROM cells GROUP BY vx, vy, vz) SELECT points, count(*) AS voxels FROM o GROUP BY points")
+def map_occupancy(spark, d):
+    return _cells(spark, d).groupBy("vx", "vy", "vz").agg(F.count(F.lit(1)).alias("points")).groupBy("points").agg(F.count(F.lit(1)).alias("voxels"))
+
+
+@query(f"WITH {_GREEDY} SELECT vx, vy, vz, point_id FROM cells WHERE ((vx + 0.5) * 0.2) * ((vx + 0.5) * 0.2) + ((vy + 0.5) * 0.2) * ((vy + 0.5) * 0.2) + ((vz + 0.5) * 0.2) * ((vz + 0.5) * 0.2) <= 0.25 * 0.25")
+def map_evict_center(spark, d):
+    return C.evict_by_centre(_cells(spark, d), 0.2, (0.0, 0.0, 0.0), 0.25).select("vx", "vy", "vz", "point_id")
+
+
+@query(f"WITH {_GREEDY}, s AS (SELECT *, first_value(x * x + y * y + z * z) OVER (PARTITION BY vx, vy, vz ORDER BY point_id) AS d FROM cells) SELECT vx, vy, vz, point_id FROM s WHERE d <= 0.2 * 0.2")
+def map_evict_first(spark, d):
+    return C.evict_by_first(_cells(spark, d), (0.0, 0.0, 0.0), 0.2).select("vx", "vy", "vz", "point_id")
+
+
+@query(f"WITH {VECTORS} SELECT point_id, CASE WHEN (x - 1) * y + (y - 2) * z + (z - 3) * x > 0 THEN -1 ELSE 1 END AS flip FROM points")
+def map_orient_normals(spark, d):
+    p = vector_points(spark, d)
+    return p.select("point_id", C.orient((F.col("y"), F.col("z"), F.col("x")), tuple(F.col(a) for a in C.AXES), (1.0, 2.0, 3.0)).alias("flip"))
+
+
+@query(f"WITH {VECTORS} SELECT p.point_id, frame_id FROM points p WHERE (x - 1) * y + (y - 2) * z + (z - 3) * x < 0")
+def visible_points(spark, d):
+    p = vector_points(spark, d).withColumn("flip", C.orient((F.col("y"), F.col("z"), F.col("x")), tuple(F.col(a) for a in C.AXES), (1.0, 2.0, 3.0)))
+    return p.filter(F.expr("(x - 1) * y + (y - 2) * z + (z - 3) * x < 0")).select("point_id", "frame_id")
+
+
+def _row(p: tuple, m: tuple) -> tuple:
+    half = A.scale(A.cross(p, m), 0.5)
+    mid = tuple(x * 0.5 for x in m)
+    return (*half, *mid)
+
+
+_M = tuple(Sql(x) for x in ("0.6", "0.0", "0.8"))
+_U = _row(vec(), _M)
+_SUMS = {f"a_{i}_{j}": f"sum({_U[i]} * {_U[j]})" for i in range(6) for j in range(i, 6)} | {f"b_{i}": f"sum({_U[i]} * (x * 0.6 + z * 0.8))" for i in range(6)}
+
+
+@query(f"WITH {VECTORS} SELECT frame_id, count(*) AS n, {', '.join(f'round({v}, 5) + 0.0 AS {k}' for k, v in _SUMS.items())} FROM points GROUP BY frame_id")
+def gn_normal_equations(spark, d):
+    u = [x if isinstance(x, Column) else F.lit(x) for x in _row(tuple(F.col(a) for a in C.AXES), (F.lit(0.6), F.lit(0.0), F.lit(0.8)))]
+    out = C.normal_equations(vector_points(spark, d), u, F.col("x") * 0.6 + F.col("z") * 0.8, ["frame_id"])
+    return out.select("frame_id", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in out.columns[2:]])
