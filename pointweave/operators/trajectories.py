@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import algebra as A
 
 POSE = ("x", "y", "z", "qx", "qy", "qz", "qw")
-BY = Window.partitionBy("seq").orderBy("t", "pose_id")
+
+
+def by() -> Window:
+    return Window.partitionBy("seq").orderBy("t", "pose_id")
 
 
 def pose(prefix: str = "", of: str | None = None) -> tuple:
@@ -46,16 +49,16 @@ def interpolated(found: DataFrame, prefix: str = "i_") -> DataFrame:
 
 def steps(poses: DataFrame, prefix: str = "", name: str = "step") -> DataFrame:
     """Distance of each pose from the one before it in its sequence (0 for the first)."""
-    delta = [F.col(prefix + a) - F.lag(prefix + a).over(BY) for a in ("x", "y", "z")]
+    delta = [F.col(prefix + a) - F.lag(prefix + a).over(by()) for a in ("x", "y", "z")]
     return poses.withColumn(name, F.coalesce(A.norm(tuple(delta)), F.lit(0.0)))
 
 
 def path_length(poses: DataFrame, prefix: str = "", name: str = "length") -> DataFrame:
-    return steps(poses, prefix, "__step").withColumn(name, F.sum("__step").over(BY.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
+    return steps(poses, prefix, "__step").withColumn(name, F.sum("__step").over(by().rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
 def with_next(poses: DataFrame) -> DataFrame:
-    return poses.withColumn("next", F.lead(F.struct("t", "pose_id", *POSE)).over(BY)).filter("next is not null")
+    return poses.withColumn("next", F.lead(F.struct("t", "pose_id", *POSE)).over(by())).filter("next is not null")
 
 
 def relative_poses(poses: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def segment_errors(poses: DataFrame, lengths: tuple[float, ...], every: int) ->
     poses carry the estimate in POSE and the truth under the prefix g_. The end of a segment is
     found by an equi-join on path buckets of the shortest length, not by comparing all poses.
     """
-    along = path_length(poses, "g_", "dist").withColumn("rank", F.row_number().over(BY) - 1)
+    along = path_length(poses, "g_", "dist").withColumn("rank", F.row_number().over(by()) - 1)
     unit = min(lengths)
     first = along.filter(F.col("rank") % every == 0).withColumn("length", F.explode(F.array(*[F.lit(float(x)) for x in lengths]))).withColumn("goal", F.col("dist") + F.col("length"))
     # the first pose beyond the goal lies in the least bucket that reaches beyond it

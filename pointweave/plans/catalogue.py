@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import algebra as A
 from ..operators import clouds as C
+from ..operators import registration as R
 from ..operators import trajectories as T
 from .sql import Duck, Sql, listed, pose, vec
 
@@ -99,7 +100,7 @@ def cloud_pairs(spark: SparkSession, d: str, radius: float | Column = 0.2, size:
 @query(f"WITH {INTERPOLATED}, moved AS (SELECT seq, {A.norm(tuple(Sql(f'(x - lag(x) OVER w)'.replace('x', a)) for a in 'xyz'), Duck)} AS est, {A.norm(tuple(Sql(f'(i_{a} - lag(i_{a}) OVER w)') for a in 'xyz'), Duck)} AS truth FROM interpolated WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)) SELECT seq, count(*) AS n, round(sum(coalesce(truth, 0)), 6) + 0.0 AS path, round(avg(abs(truth - est)), 6) + 0.0 AS mean_error, round(max(abs(truth - est)), 6) + 0.0 AS max_error FROM moved GROUP BY seq")
 def traj_path_and_local_error(spark, d):
     at = T.interpolated(queries_with_truth(spark, d))
-    delta = lambda pre: A.norm(tuple(F.col(pre + a) - F.lag(pre + a).over(T.BY) for a in C.AXES))
+    delta = lambda pre: A.norm(tuple(F.col(pre + a) - F.lag(pre + a).over(T.by()) for a in C.AXES))
     moved = at.select("seq", delta("").alias("est"), delta("i_").alias("truth"))
     out = moved.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("truth", F.lit(0.0))).alias("path"), F.avg(F.abs(F.col("truth") - F.col("est"))).alias("mean_error"), F.max(F.abs(F.col("truth") - F.col("est"))).alias("max_error"))
     return rounded(out, path="path", mean_error="mean_error", max_error="max_error")
@@ -134,7 +135,7 @@ def traj_window_time(spark, d):
 
 @query(f"WITH {POSES} SELECT seq, pose_id FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY t, pose_id) - 1 AS i FROM poses) WHERE i BETWEEN 3 AND 8")
 def traj_window_index(spark, d):
-    return trajectory(spark, d).withColumn("i", F.row_number().over(T.BY) - 1).filter("i between 3 and 8").select("seq", "pose_id")
+    return trajectory(spark, d).withColumn("i", F.row_number().over(T.by()) - 1).filter("i between 3 and 8").select("seq", "pose_id")
 
 
 @query(f"WITH {POSES} SELECT seq, min(t) AS t_min, max(t) AS t_max, min(pose_id) AS first_id, max(pose_id) AS last_id, count(*) AS n FROM poses GROUP BY seq")
@@ -144,7 +145,7 @@ def frame_info(spark, d):
 
 @query(f"WITH {POSES}, gaps AS (SELECT seq, pose_id, t - lag(t) OVER (PARTITION BY seq ORDER BY t, pose_id) AS gap FROM poses) SELECT seq, pose_id, round(gap, 6) + 0.0 AS gap, coalesce(gap / 40000.0 BETWEEN 0.95 AND 1.05, true) AS fits FROM gaps")
 def frame_consistency(spark, d):
-    gaps = trajectory(spark, d).select("seq", "pose_id", (F.col("t") - F.lag("t").over(T.BY)).alias("gap"))
+    gaps = trajectory(spark, d).select("seq", "pose_id", (F.col("t") - F.lag("t").over(T.by())).alias("gap"))
     return rounded(gaps.withColumn("fits", F.coalesce((F.col("gap") / 40000.0).between(0.95, 1.05), F.lit(True))), gap="gap")
 
 
@@ -416,3 +417,28 @@ def gn_normal_equations(spark, d):
     u = [x if isinstance(x, Column) else F.lit(x) for x in _row(tuple(F.col(a) for a in C.AXES), (F.lit(0.6), F.lit(0.0), F.lit(0.8)))]
     out = C.normal_equations(vector_points(spark, d), u, F.col("x") * 0.6 + F.col("z") * 0.8, ["frame_id"])
     return out.select("frame_id", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in out.columns[2:]])
+
+
+# --- iterative operators: tests hold them against known answers --------------------------------
+@query()
+def procrustes(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d)).select("seq", "x", "y", "z", *[F.col(f"i_{a}").alias(f"g{a}") for a in C.AXES])
+    return R.align(at, ["seq"])
+
+
+@query()
+def geometric_median(spark, d):
+    return R.geometric_median(vector_points(spark, d), ["frame_id"])
+
+
+@query()
+def odometry_box(spark, d):
+    frames = spark.range(2).withColumnRenamed("id", "seq").withColumn("frame_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+
+    def scan(batches):
+        for pdf in batches:
+            for seq, frame in pdf.itertuples(index=False):
+                yield R.box_scan(seq, frame)
+
+    points = frames.mapInPandas(scan, "seq long, frame_id long, point_id long, x double, y double, z double, t double")
+    return R.odometry(points)
