@@ -107,10 +107,11 @@ def merged(df: DataFrame, keys: list[str], fingerprint_col: str = "fingerprint",
     sketch of k hashes a task.
     """
     rows = df.select(*keys, F.col(fingerprint_col).alias("fingerprint"))
+    names = rows.columns
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = pdf.groupby(keys, dropna=False, sort=False)["fingerprint"].agg(lambda x: encode(merge([decode(p) for p in x], k)))
-        return parts.reset_index()[rows.columns]
+        return parts.reset_index()[names]
 
     def early(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
