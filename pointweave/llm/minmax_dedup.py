@@ -8,7 +8,7 @@ Copies with equal sets are one class and take part once. In each bucket of a ban
 are held against one pivot (a star, not all pairs), in some rounds with another pivot each, in
 which only members outside the pivot's component still count. Buckets whose members are not yet
 in one component afterwards go through a last pass that compares members of different components
-only, block by block, on their signatures; what may be similar is confirmed in the same way.
+only, block by block, and tells the links alone.
 
 Defined results: rows without a doc_id are left out; null or empty text, or text without a
 word, has no shingles, is linked with nothing and is kept; a doc_id that occurs in several rows
@@ -51,7 +51,7 @@ class MinMaxDedup:
     slack: float = 0.2
     rounds: int = 3
     star: int = 64
-    block: int = 256
+    block: int = 512
     seed: int = 11
 
     @property
@@ -135,8 +135,9 @@ class MinMaxDedup:
                 pivots = rows.groupBy("bucket").agg(F.min(drawn).alias("p")).select("bucket", "p.pivot", "p.pivot_n", "p.pivot_label")
                 pairs = rows.join(pivots, "bucket").filter(f"label <> pivot_label and {fits}").select(F.least("pivot", "class_id").alias("a"), F.greatest("pivot", "class_id").alias("b")).distinct()
             else:
-                pairs = self._across(rows.join(reps.select("class_id", "sig"), "class_id"))
-            more = work.keep(self._confirm(pairs, docs, id_col, text_col, work), "links")
+                pairs = None
+            found = self._across(rows, reps, docs, id_col, text_col) if pairs is None else self._confirm(pairs, docs, id_col, text_col, work)
+            more = work.keep(found, "links")
             if not more.isEmpty():
                 labels = components(more, work, labels)
 
@@ -152,47 +153,56 @@ class MinMaxDedup:
         mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
         return named, mixed.select("bucket", F.ceil(F.col("m") / self.block).cast("int").alias("blocks"))
 
-    def _across(self, rows: DataFrame) -> DataFrame:
-        """Pairs (a, b) of one bucket and different components whose signatures leave the similarity possible.
+    def _across(self, rows: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Links (a, b) between different components of one bucket.
 
-        A pair is told in the first of the bands that it shares.
+        A task gets two blocks of a bucket with their texts, passes pairs over whose signatures leave
+        no chance, and holds the others' full sets against each other; a pair is looked at in the
+        first of the bands that it shares, and no longer once its components are linked there.
         """
-        block = F.pmod(F.xxhash64("class_id"), F.col("blocks"))
-        rows = rows.withColumn("own", block.cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "n", "label", "sig")
+        ids = rows.select(F.xxhash64("class_id").alias("k")).distinct()
+        texts = self._texts(docs, bitfilter.build(rows.sparkSession, ids, "k", ids.count()), id_col, text_col).withColumnRenamed("id", "class_id")
+        full = texts.dropDuplicates(["class_id"]).join(reps.select("class_id", "sig"), "class_id")
+        own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+        dealt = rows.join(full, "class_id").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "label", "sig", "text")
         least, num, den, width = (self.num / self.den - self.slack) * 2 * self.permutations, self.num, self.den, 2 * self.permutations
         bands, values = self.bands, self.band_values
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for key, t in _groups(batches, 3):
-                own, ids, n, label = (t.column(c).to_numpy() for c in ("own", "class_id", "n", "label"))
+                own, ids, label = (t.column(c).to_numpy() for c in ("own", "class_id", "label"))
                 sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, width)
+                sets = [x for _, part in kernel.text_shingles(t.column("text"), self.shingle_words) for x in part]
+                size = np.array([len(x) for x in sets])
                 left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-                a, b = [], []
-                for s in range(0, len(left), 64):
-                    x = left[s : s + 64]
-                    same = sig[x][:, None, :] == sig[right][None, :, :]
-                    ok = same.sum(2) >= least
-                    ok &= same.reshape(len(x), len(right), bands, values).all(3).argmax(2) == t.column("band")[0].as_py()
-                    ok &= label[x][:, None] != label[right][None, :]
-                    ok &= den * np.minimum(n[x][:, None], n[right][None, :]) >= num * np.maximum(n[x][:, None], n[right][None, :])
+                label, links = label.copy(), []
+                for i in left.tolist():
+                    same = sig[i] == sig[right]
+                    ok = (same.sum(1) >= least) & (label[i] != label[right]) & (den * np.minimum(size[i], size[right]) >= num * np.maximum(size[i], size[right]))
+                    ok &= same.reshape(len(right), bands, values).all(2).argmax(1) == t.column("band")[0].as_py()
                     if key[1] == key[2]:
-                        ok &= ids[x][:, None] < ids[right][None, :]
-                    p, q = np.nonzero(ok)
-                    a.append(ids[x[p]])
-                    b.append(ids[right[q]])
-                if a:
-                    a, b = np.concatenate(a), np.concatenate(b)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                        ok &= ids[i] < ids[right]
+                    for k in right[ok].tolist():
+                        if label[i] != label[k] and _similar(sets[i], sets[k], num, den):
+                            links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                            label[label == label[k]] = label[i]
+                a, b = zip(*links, strict=True) if links else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+        return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+
+    def _texts(self, docs: DataFrame, wanted, id_col: str, text_col: str) -> DataFrame:
+        """id and text of the documents that a bit filter lets by."""
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("k"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+        return rows.mapInArrow(_wanted(wanted), "id long, text string")
 
     def _confirm(self, pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFrame:
         """The pairs (a, b) whose full shingle sets are similar enough. Texts of no other documents are shuffled."""
         pairs = work.keep(pairs, "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("k"))
         wanted = bitfilter.build(pairs.sparkSession, ids, "k", 2 * pairs.count())
-        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("k"), F.col(text_col).cast("string").alias("text")).filter("id is not null").mapInArrow(_wanted(wanted), "id long, text string")
+        texts = self._texts(docs, wanted, id_col, text_col)
         sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / self.star).alias("parts"))
         dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
         member = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
@@ -210,10 +220,7 @@ class MinMaxDedup:
                     if b[i] is None:
                         pivot_id, pivot = a[i], s
                     elif a[i] == pivot_id and len(s) and len(pivot) and self.den * min(len(s), len(pivot)) >= self.num * max(len(s), len(pivot)):
-                        at = np.searchsorted(pivot, s)
-                        at[at == len(pivot)] = 0
-                        both = int((pivot[at] == s).sum())
-                        if self.den * both >= self.num * (len(s) + len(pivot) - both):
+                        if _similar(s, pivot, self.num, self.den):
                             found_a.append(a[i])
                             found_b.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
@@ -225,6 +232,14 @@ class MinMaxDedup:
         return without(docs, gone, id_col).select(*columns)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets that aren't empty have den * intersection >= num * union."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """Rows of docs whose id is not in gone(doc_id, distinct). A bit filter lets most rows by without a shuffle."""
     absent = bitfilter.build(docs.sparkSession, gone.select(F.xxhash64("doc_id").alias("k")), "k", gone.count())

@@ -110,8 +110,8 @@ def merged(df: DataFrame, keys: list[str], fingerprint_col: str = "fingerprint",
     names = rows.columns
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf.groupby(keys, dropna=False, sort=False)["fingerprint"].agg(lambda x: encode(merge([decode(p) for p in x], k)))
-        return parts.reset_index()[names]
+        parts = pdf.groupby(keys, dropna=False, sort=False)["fingerprint"]
+        return pd.DataFrame([(*key, encode(merge([decode(p) for p in x], k))) for key, x in parts], columns=names, dtype=object)
 
     def early(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
