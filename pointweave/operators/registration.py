@@ -172,15 +172,20 @@ class Odometry:
         alpha = (t - t.min()) / span if span > 0 and self.frames > 1 else np.ones(len(t))
         last = self.motions[-1] if self.motions else None
         guess = last.next() if self.frames > 1 else Motion() if last is None else Motion(last.re, last.te, last.re.copy(), last.te.copy())
-        motion, keys, used, good = guess, np.arange(0), 0, True
+        motion, keys, used, good = guess, 0, 0, True
         if self.frames:
-            keys = first_per_voxel(points, o.keypoint_voxel)
-            motion, used, good = register(points[keys], alpha[keys], guess, last, self.cells, o)
+            motion, keys, used, good = self.solve(points, alpha, guess, last)
         self.frames += 1
         self.motions = [*self.motions[-1:], motion]
         if good:
             self.cells.evict(motion.te)
             self.cells.insert(motion.move(points, alpha))
+        return motion, keys, used, good
+
+    def solve(self, points: np.ndarray, alpha: np.ndarray, guess: Motion, last: Motion | None) -> tuple[Motion, int, int, bool]:
+        """(motion, keypoints, residuals, success) of one frame."""
+        keys = first_per_voxel(points, self.o.keypoint_voxel)
+        motion, used, good = register(points[keys], alpha[keys], guess, last, self.cells, self.o)
         return motion, len(keys), used, good
 
 
@@ -193,11 +198,11 @@ def _frames(seq: int, state: Odometry, pdf: pd.DataFrame) -> Iterator[list]:
 _NAMES = [c.split()[0] for c in POSES.split(", ")]
 
 
-def odometry(points: DataFrame, options: Options = Options()) -> DataFrame:
-    """POSES of each sequence of points (seq, frame_id, point_id, x, y, z, t). A sequence is registered by one task."""
+def odometry(points: DataFrame, options: Options = Options(), state: type[Odometry] = Odometry) -> DataFrame:
+    """POSES of each sequence of points (seq, frame_id, point_id, x, y, z, t). A sequence is registered by one task; `state` solves its frames."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_frames(key[0], Odometry(options), pdf)), columns=_NAMES)
+        return pd.DataFrame(list(_frames(key[0], state(options), pdf)), columns=_NAMES)
 
     return points.groupBy("seq").applyInPandas(run, POSES)
 

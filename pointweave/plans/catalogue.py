@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import algebra as A
 from ..operators import clouds as C
 from ..operators import registration as R
+from ..operators import scenes as S
+from ..operators import solvers as L
 from ..operators import trajectories as T
 from .sql import Duck, Sql, listed, pose, vec
 
@@ -419,6 +421,20 @@ def gn_normal_equations(spark, d):
     return out.select("frame_id", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in out.columns[2:]])
 
 
+def _shape(name: str, shape) -> None:
+    def run(spark, d):
+        return rounded(vector_points(spark, d).select("point_id", shape.distance(tuple(F.col(a) for a in C.AXES)).alias("distance")), distance="distance")
+
+    run.__name__ = f"distance_to_{name}"
+    query(f"WITH {VECTORS} SELECT point_id, {listed({'distance': shape.distance(vec(), Duck)})} FROM points")(run)
+
+
+_shape("sphere", S.Sphere((0.1, 0.2, 0.0), 0.25))
+_shape("ball", S.Ball((0.1, 0.2, 0.0), 0.25))
+_shape("line", S.Line((0.0, -0.1, 0.1), (0.2, 0.2, 0.0)))
+_shape("triangle", S.Triangle((0.1, 0.0, 0.05), (0.0, 0.1, 0.05), (0.0, 0.02, 0.15)))
+
+
 # --- iterative operators: tests hold them against known answers --------------------------------
 @query()
 def procrustes(spark, d):
@@ -431,8 +447,7 @@ def geometric_median(spark, d):
     return R.geometric_median(vector_points(spark, d), ["frame_id"])
 
 
-@query()
-def odometry_box(spark, d):
+def box_frames(spark) -> DataFrame:
     frames = spark.range(2).withColumnRenamed("id", "seq").withColumn("frame_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
 
     def scan(batches):
@@ -440,5 +455,14 @@ def odometry_box(spark, d):
             for seq, frame in pdf.itertuples(index=False):
                 yield R.box_scan(seq, frame)
 
-    points = frames.mapInPandas(scan, "seq long, frame_id long, point_id long, x double, y double, z double, t double")
-    return R.odometry(points)
+    return frames.mapInPandas(scan, "seq long, frame_id long, point_id long, x double, y double, z double, t double")
+
+
+@query()
+def odometry_box(spark, d):
+    return R.odometry(box_frames(spark))
+
+
+@query()
+def odometry_robust_box(spark, d):
+    return L.odometry(box_frames(spark))
