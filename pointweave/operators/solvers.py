@@ -45,6 +45,7 @@ class Effort(R.Options):
 
     def harder(self, base: Effort) -> Effort:
         """The next level of effort above this one; base: the options of the first attempt."""
+        # What each level adds or multiplies, and the bounds.
         stop = max(self.stop_turn / 10, 1e-5)
         return replace(
             self, steps=self.steps + 30, max_residuals=2 * self.max_residuals, iterations=min(self.iterations + 20, 50), stop_turn=stop, stop_shift=max(stop / 10, 1e-4),
