@@ -60,7 +60,11 @@ def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
             cut = [len(t) // 4 for t in x]
             edited = [t[: len(t) - n] + u[:n] for t, u, n in zip(x, y, cut, strict=True)]
             own, changed = (sketch.sketches(pa.array(v, pa.string())) for v in (x, edited))
-            after = [*own[1:], sketch.sketches(pa.array(y[-1:], pa.string()))[0]]
+            # a block's last row isn't followed by its successor, which is in another block
+            apart = [i for i, u in enumerate(y) if i + 1 == len(x) or x[i + 1] != u]
+            after = [*own[1:], None]
+            for i, s in zip(apart, sketch.sketches(pa.array([y[i] for i in apart], pa.string())), strict=True):
+                after[i] = s
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[at : at + 500], pa.int64()), pa.array([len(t) for t in x], pa.int64()), pa.array(edited, pa.string()),

@@ -203,6 +203,25 @@ def test_edited_texts(spark, tmp_path, docs):
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
 
 
+def test_next_documents_of_several_blocks(spark, tmp_path):
+    texts = [" ".join(f"w{i // 7 * 12 + k}" for k in range(12)) + " more" * (i % 3) for i in range(4000)]  # seven near copies, one after another
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = lambda t: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)}
+    like = lambda a, b: len(a & b) / len(a | b)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")  # or one task has all blocks, in order
+    try:
+        got = {r.doc_id: r for r in queries.op6_sketch(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        n = len(t) // 4
+        assert abs(got[i].near_next - like(sets(t), sets(after))) < 1e-9, i
+        assert abs(got[i].near_edited - like(sets(t), sets(t[: len(t) - n] + after[:n]))) < 1e-9, i
+
+
 def test_language(spark, docs, empty):
     language, table = LanguageId(sample=600), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(table, queries.LANGUAGE_TRAINING)
