@@ -4,18 +4,25 @@ Both models spread their probability over the same symbols: the V distinct train
 document's words, lower-cased, and one end) and one more for every unknown word. The empty context
 discounts each count by the share of words seen once, which goes to the unknown word.
 
-A run of up to `depth` preceding tokens is a candidate context if it makes up at least `context`
-of the training tokens. It becomes a state by a divergence test: the bits its own next-symbol
-distribution saves against its suffix's (count times Kullback-Leibler divergence) have to exceed
-what its parameters cost (half the log of the token count for each); suffixes of states are
-states. A state keeps the successors that make up at least `pair` of the training tokens, each
-discounted; what that leaves is spread over all other symbols in proportion to the suffix's
-distribution. Each token is scored by its longest suffix that is a state.
-
-Counts cover all training text and are summed before and after a shuffle, one pass over the text
-for each depth. As each kept count is at least a fixed share of the total, there are at most
-1/context states and 1/pair kept successors of a depth, and 1/frequent frequent words: that bounds
-what is collected and broadcast. Counts of all other words are joined by word, whatever their number.
+Each run of up to `depth` preceding tokens that occurs at least `context` times in the training
+text is a candidate context, whichever other runs are. It becomes a state by a divergence test: the
+bits its own next-symbol distribution saves against that of its longest suffix that is a state
+(count times Kullback-Leibler divergence) have to exceed what its parameters cost (half the log of
+the token count for each). A state keeps the successors seen at least `pair` times after it, each
+discounted; what that leaves is spread over all other symbols in proportion to that suffix's
+distribution. Each token is scored by its longest suffix that is a state. The least counts are the
+same at every size of the corpus, so states and successors grow with it.
+
+A run is named by a hash of the two runs it consists of without its last and without its first
+token. Counts, states and successors are tables keyed by these names; counts cover all training
+text, are summed before and after a shuffle, and take one pass over the text for each depth.
+
+With L_d the log probability by contexts of up to d tokens, b the log of a state's factor for other
+symbols, and a that of a kept successor's probability, L_d = L_(d-1) + b if the context of d tokens
+is a state, and a kept successor adds a - b - L_(d-1) to that. So a score is a sum of values by key,
+one for each word, state and kept successor that a text holds, and is found by joining on the keys.
+Broadcast are only a cache of the most frequent values and filters of keys, both of bounded size:
+they save rows of the join and don't change results.
 
 Defined results: rows without a doc_id are left out; null or empty text has the end alone;
 repeated rows are learned from and scored each on their own; other columns are not read.
@@ -23,19 +30,43 @@ repeated rows are learned from and scored each on their own; other columns are n
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from . import kernel
+from . import bitfilter, kernel
 from .workspace import Workspace
 
 U64 = np.uint64
+#: Symbols of a document's bounds, and what tells a state's key from that of the same run as a successor.
+START, END, STATE = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B), U64(0x3C6EF372FE94F82B)
+
+
+def signed(x: np.uint64) -> int:
+    return int(x.astype(np.int64))
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps whose tables are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def join_runs(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Name of the run that has these two, each one token shorter."""
+    return kernel.mix(prefix * U64(0x9E3779B97F4A7C15) ^ suffix)
+
+
+@F.arrow_udf(LongType())
+def run_name(prefix: pa.Array, suffix: pa.Array) -> pa.Array:
+    return pa.array(join_runs(prefix.to_numpy().view(U64), suffix.to_numpy().view(U64)).view(np.int64))
 
 
 class Tally:
@@ -90,7 +121,10 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """word: sorted hashes of the frequent words; symbol i is word[i], the next one the end, the one after it any other word."""
+    """The model in memory, for few words and states, and the constants of the empty context.
+
+    word: sorted hashes of words; symbol i is word[i], the next one the end, the one after it any other word.
+    """
 
     word: np.ndarray
     count: np.ndarray
@@ -146,15 +180,68 @@ class Tree:
         return out
 
 
+@dataclass
+class Runs:
+    """Symbols of a chunk's documents: a start, the words, an end. names[d]: of the run of d + 1 symbols that ends at each one."""
+
+    symbol: np.ndarray
+    place: np.ndarray
+    is_word: np.ndarray
+    first: np.ndarray
+    names: list[np.ndarray]
+
+    def pairs(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in symbol, context of d symbols, the run of d symbols that ends with the successor)."""
+        i = np.flatnonzero(self.place >= d)
+        return i, self.names[d - 1][i - 1], self.names[d - 1][i]
+
+
+def runs(c: kernel.Chunk, longest: int) -> Runs:
+    w = kernel.words(c)
+    first = w.of + 2 * np.arange(c.n + 1)
+    s = np.full(int(first[-1]), END, U64)
+    s[first[:-1]] = START
+    at = np.arange(len(w.start)) + 2 * w.doc() + 1
+    s[at] = kernel.word_hashes(c, w, kernel.LOWER)
+    is_word = np.zeros(len(s), bool)
+    is_word[at] = True
+    names = [s]
+    for _ in range(longest - 1):
+        names.append(join_runs(np.concatenate((s[:1], names[-1][:-1])), names[-1]))
+    return Runs(s, np.arange(len(s)) - np.repeat(first[:-1], np.diff(first)), is_word, first[:-1], names)
+
+
+class Cache:
+    """Values of some keys, each in the one slot its high bits name; of keys that share a slot one is held."""
+
+    SLOTS = 20
+
+    def __init__(self, t: pa.Table):
+        key = t["key"].to_numpy().view(U64)
+        at = self.slot(key)
+        self.key = np.zeros(1 << self.SLOTS, U64)
+        self.held = np.zeros((3, 1 << self.SLOTS), np.float64)
+        order = np.argsort(t["n"].to_numpy(), kind="stable")  # the most frequent is written last
+        last = np.full(1 << self.SLOTS, -1)
+        last[at[order]] = order
+        slots = np.flatnonzero(last >= 0)
+        self.key[slots] = key[last[slots]]
+        for x, name in zip(self.held, ("v", "known", "base"), strict=True):
+            x[slots] = t[name].to_numpy()[last[slots]]
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key >> U64(64 - self.SLOTS)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class SuffixTreeScorer:
-    """frequent, context, pair: least shares of the training tokens; discount: taken off each kept successor's count."""
+    """context, pair: least numbers of occurrences; discount: taken off each kept successor's count; cached: values broadcast at most."""
 
     depth: int = 3
-    frequent: float = 2.0**-17
-    context: float = 2.0**-13
-    pair: float = 2.0**-19
+    context: int = 8
+    pair: int = 3
     discount: float = 0.75
+    cached: int = 2**19
 
     def score(self, docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, in_training, n_tokens, n_known, train_tokens, train_types, base_score, score. training: SQL condition on doc_id."""
@@ -167,92 +254,73 @@ class SuffixTreeScorer:
         n_docs = counts.filter("kind = 2").agg(F.sum("n")).first()[0] or 0
         tokens, types, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
         tokens, types = tokens + n_docs, types + (n_docs > 0)
-        often = max(1.0, self.frequent * tokens)
-        tree = Tree(*_sorted(words.filter(F.col("n") >= often), U64), n_docs, tokens, types, once + (n_docs == 1), [])
-        for _ in range(self.depth):
-            if not self._deepen(tree, learned, work):
+        tree = Tree(np.empty(0, U64), np.empty(0, np.int64), n_docs, tokens, types, once + (n_docs == 1), [])
+
+        log = F.log10(F.col("n") - F.lit(tree.discount)) - F.lit(float(np.log10(max(1, tree.mass))))
+        values = words.select("key", "n", log.alias("v"), F.lit(1.0).alias("known"), F.log10(F.col("n") + 1).alias("base"))
+        ends = spark.createDataFrame([(signed(END), n_docs)] if n_docs else [], "key long, n long")
+        starts = spark.createDataFrame([(signed(START), n_docs)], "key long, n long")
+        shorter = words.union(ends).select("key", "n", log.alias("logp"))
+        contexts = words.union(starts)
+        for d in range(1, self.depth + 1):
+            states, shorter = self._deepen(d, contexts, shorter, tokens, learned, work)
+            none = [F.lit(0.0).alias("known"), F.lit(0.0).alias("base")]
+            values = values.union(states.select(F.col("ctx").bitwiseXOR(F.lit(signed(STATE))).alias("key"), F.col("total").alias("n"), F.col("b").alias("v"), *none))
+            values = values.union(shorter.filter("more is not null").select("key", "n", F.col("more").alias("v"), *none))
+            contexts = shorter.select("key", "n")
+            release(spark)
+
+        # a quarter of a power of two of counts at a time, the most frequent values that the cache has room for
+        step = F.floor(F.log2("n") * 4).cast("int")
+        sizes, room, least = sorted(((r.s, r["count"]) for r in values.groupBy(step.alias("s")).count().collect()), reverse=True), self.cached, 1 << 30
+        for s, n in sizes:
+            if n > room:
                 break
-        shared = spark.sparkContext.broadcast(tree)
+            room, least = room - n, s
+        cache = spark.sparkContext.broadcast(Cache(values.filter(step >= least).toArrow()))
+        keys = bitfilter.build(spark, values, "key", sum(n for _, n in sizes))
 
         rows = "row long, doc_id long, n_tokens long, known long, logs double, score double, rare array<struct<w: long, k: long>>"
-        scored = work.keep(texts.mapInArrow(lambda b: _score(b, shared), rows), "scored")
+        depth = self.depth
+        release(spark)
+        scored = work.keep(texts.mapInArrow(lambda b: _score(b, depth, tree, cache, keys), rows), "scored")
         rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.w").alias("key"), F.col("r.k").alias("k"))
-        log = F.log10(F.col("n") - F.lit(tree.discount)) - F.lit(float(np.log10(max(1, tree.mass))))
         rest = (
-            rare.join(words.filter(F.col("n") < often), "key")
+            rare.join(values, "key")
             .groupBy("row")
-            .agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum(F.col("k") * log).alias("more_score"))
+            .agg(F.sum(F.col("k") * F.col("known")).cast("long").alias("more"), F.sum(F.col("k") * F.col("base")).alias("more_logs"), F.sum(F.col("k") * F.col("v")).alias("more_score"))
         )
-        more = F.coalesce("more", F.lit(0))
+        known = F.col("known") + F.coalesce("more", F.lit(0))
         base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(tokens + types + 1)))
-        n_unknown = F.coalesce(F.aggregate("rare", F.lit(0).cast("long"), lambda x, r: x + r["k"]), F.lit(0)) - more
-        score = F.col("score") + F.coalesce("more_score", F.lit(0.0)) + n_unknown * F.lit(float(np.log10(tree.unknown)))
-        return scored.join(rest, "row", "left").select(
-            "doc_id", F.expr(training).alias("in_training"), "n_tokens", (F.col("known") + more).alias("n_known"),
+        score = F.col("score") + F.coalesce("more_score", F.lit(0.0)) + (F.col("n_tokens") - known) * F.lit(float(np.log10(tree.unknown)))
+        return scored.drop("rare").join(rest, "row", "left").select(
+            "doc_id", F.expr(training).alias("in_training"), "n_tokens", known.alias("n_known"),
             F.lit(tokens).cast("long").alias("train_tokens"), F.lit(types).cast("long").alias("train_types"), base.alias("base_score"), score.alias("score"),
         )
 
-    def _deepen(self, tree: Tree, learned: DataFrame, work: Workspace) -> bool:
-        """Add the contexts that are one token longer, as far as they pass the divergence test."""
-        d, width = len(tree.levels) + 1, tree.width
-        floor = max(2.0, self.context * tree.tokens)
-        if d == 1:
-            names = [(int(x),) for x in np.flatnonzero(np.append(tree.count, tree.n_docs) >= floor)]
-            suffix = {(): 0}
-        else:
-            suffix = {x: i for i, x in enumerate(self._names(tree, d - 1))}
-            back = list(suffix)
-            state, x = np.divmod(tree.levels[-1].pair, width)
-            names = [(z, *back[t]) for t, z, n in zip(state.tolist(), x.tolist(), tree.levels[-1].n.tolist(), strict=True) if n >= floor]
-            names = [x for x in names if x[:-1] in suffix]
-        if not names:
-            return False
-        key = np.array(sorted(suffix[x[:-1]] * width + x[-1] for x in names), np.int64)
-        tree.levels.append(Level(key, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros(len(key))))
-        shared = learned.sparkSession.sparkContext.broadcast(tree)
-        table = work.keep(learned.mapInArrow(lambda b: _successors(b, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), f"depth{d}")
-        state, total = _sorted(table.groupBy(F.floor(F.col("key") / width).cast("long").alias("key")).agg(F.sum("n").alias("n")), np.int64)
-        pair, n = _sorted(table.filter((F.col("n") >= max(3.0, self.pair * tree.tokens)) & (F.col("key") % width != tree.other)), np.int64)
-        totals = np.zeros(len(key))
-        totals[state] = total
-        own, symbol = np.divmod(pair, width)
-        a = (n - self.discount) / totals[own]
-        near = np.power(10.0, self._suffix_logs(tree, key[own] // width, symbol))
-        kinds = np.bincount(own, minlength=len(key))
-        left, room = 1 - np.bincount(own, a, len(key)), np.maximum(1e-12, 1 - np.bincount(own, near, len(key)))
-        b = np.log10(np.maximum(left, 1e-12) / room)
-        saved = np.bincount(own, n * np.log(a / near), len(key)) + (totals - np.bincount(own, n, len(key))) * b * np.log(10)
-        keep = (kinds > 0) & (totals > 0) & (saved > 0.5 * np.log(max(2, tree.tokens)) * kinds)
-        place = np.cumsum(keep) - 1
-        held = keep[own]
-        tree.levels[-1] = Level(key[keep], place[own[held]] * width + symbol[held], n[held], np.log10(a[held]), b[keep])
-        return bool(keep.any())
-
-    def _names(self, tree: Tree, d: int) -> list[tuple[int, ...]]:
-        """Each state of depth d as its tokens, latest first."""
-        out: list[tuple[int, ...]] = [()]
-        for level in tree.levels[:d]:
-            out = [(*out[k // tree.width], k % tree.width) for k in level.key.tolist()]
-        return out
-
-    def _suffix_logs(self, tree: Tree, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | state), the states being of the depth above the last level."""
-        chain = [state]
-        for level in reversed(tree.levels[:-1]):
-            chain.append(level.key[chain[-1]] // tree.width)
-        out = tree.log0[symbol]
-        for level, at in zip(tree.levels[:-1], reversed(chain[:-1]), strict=True):
-            kept = _find(level.pair, at * tree.width + symbol)
-            out = np.where(kept >= 0, level.a[kept] if len(level.a) else 0, level.b[at] + out)
-        return out
-
-
-def _sorted(df: DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """(key, n) of a bounded table, by key."""
-    t = df.toArrow()
-    key, n = t["key"].to_numpy().view(kind), t["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+    def _deepen(self, d: int, contexts: DataFrame, shorter: DataFrame, tokens: int, learned: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+        """(ctx, total, b) of the states of d tokens; (key, n, logp, more) of all counted runs of d + 1 tokens.
+
+        contexts: runs of d tokens with their counts; shorter: those that a shorter context's successor ends.
+        logp: of the last token by the longest state of up to d tokens; more: what a kept successor adds to L_(d-1) + b.
+        """
+        spark = learned.sparkSession
+        often, known = contexts.filter(F.col("n") >= self.context), shorter.filter(F.col("n") >= self.pair)
+        before, last = (bitfilter.build(spark, x, "key", x.count()) for x in (often, known))
+        pairs = learned.mapInArrow(lambda b: _successors(b, d, before, last), "ctx long, sfx long, n long").groupBy("ctx", "sfx").agg(F.sum("n").alias("n")).filter(F.col("n") >= self.pair)
+        named = pairs.join(often.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx").join(known.select(F.col("key").alias("sfx"), F.col("logp").alias("near")), "sfx")
+        log_a = F.log10((F.col("n") - F.lit(self.discount)) / F.col("total"))
+        table = work.keep(named.select(run_name("ctx", "sfx").alias("key"), "ctx", "n", "total", "near", log_a.alias("a")), f"depth{d}")
+        sums = table.groupBy("ctx", "total").agg(
+            F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("seen"), F.sum(F.pow(F.lit(10.0), F.col("a"))).alias("kept"),
+            F.sum(F.pow(F.lit(10.0), F.col("near"))).alias("near"), F.sum(F.col("n") * (F.col("a") - F.col("near"))).alias("saved"),
+        )
+        left, room = F.greatest(F.lit(1e-12), 1 - F.col("kept")), F.greatest(F.lit(1e-12), 1 - F.col("near"))
+        saved = (F.col("saved") + (F.col("total") - F.col("seen")) * F.col("b")) * float(np.log(10))
+        states = sums.withColumn("b", F.log10(left / room)).filter(saved > 0.5 * float(np.log(max(2, tokens))) * F.col("kinds")).select("ctx", "total", "b")
+        states = work.keep(states, f"states{d}")
+        runs = table.join(states.select("ctx", "b"), "ctx", "left")
+        return states, work.keep(runs.select("key", "n", F.when(F.col("b").isNull(), F.col("near")).otherwise(F.col("a")).alias("logp"), (F.col("a") - F.col("b") - F.col("near")).alias("more")), f"runs{d}")
 
 
 def _rows(tally: Tally, kind: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -277,38 +345,76 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([docs], pa.int64())], names=["kind", "key", "n"])
 
 
-def _successors(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Counts of (state of the last depth, successor)."""
-    tree, tally = shared.value, Tally()
-    for batch in batches:
-        for c in kernel.chunks(batch.column(0)):
-            s, place, _, _ = tree.symbols(c)
-            *_, at = tree.states(s, place)
-            live = at >= 0
-            tally.add(at[live] * tree.width + s[live])
-            if tally.full():
-                yield from _rows(tally)
-    yield from _rows(tally)
+def _successors(batches: Iterator[pa.RecordBatch], d: int, before, last) -> Iterator[pa.RecordBatch]:
+    """Counts of (context of d tokens, run of d tokens that ends with its successor), as far as both may be counted ones."""
+    parts, size, room = [], 0, 1_000_000
 
+    def add_up(parts: list) -> tuple[np.ndarray, ...]:
+        ctx, sfx, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(join_runs(ctx, sfx))
+        ctx, sfx, n = ctx[order], sfx[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (sfx[1:] != sfx[:-1]))))
+        return ctx[first], sfx[first], np.add.reduceat(n, first)
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    tree, row = shared.value, TaskContext.get().partitionId() << 33
-    base = np.log10(np.append(np.append(tree.count, tree.n_docs) + 1.0, 1.0))
-    is_known = np.append(np.append(np.ones(tree.end, np.int64), int(tree.n_docs > 0)), 0)
+    def rows(parts: list) -> Iterator[pa.RecordBatch]:
+        ctx, sfx, n = add_up(parts)
+        for i in range(0, len(n), 50_000):
+            at = slice(i, i + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[at].view(np.int64)), pa.array(sfx[at].view(np.int64)), pa.array(n[at])], names=["ctx", "sfx", "n"])
+
+    for batch in batches:
+        for c in kernel.chunks(batch.column(0)):
+            _, ctx, sfx = runs(c, d).pairs(d)
+            live = before.value.has(ctx)
+            ctx, sfx = ctx[live], sfx[live]
+            live = last.value.has(sfx)
+            if live.any():
+                parts.append(add_up([(ctx[live], sfx[live], np.ones(int(live.sum()), np.int64))]))
+                size += len(parts[-1][0])
+            if size > room:
+                parts = [add_up(parts)]
+                size = len(parts[0][0])
+                if size > room // 2:
+                    yield from rows(parts)
+                    parts, size = [], 0
+    if parts:
+        yield from rows(parts)
+
+
+def _score(batches: Iterator[pa.RecordBatch], depth: int, tree: Tree, cache, keys) -> Iterator[pa.RecordBatch]:
+    """Each row's sums over what the cache holds, and the keys it doesn't hold with their numbers (rare)."""
+    cache, keys, row = cache.value, keys.value, TaskContext.get().partitionId() << 33
+    end = (float(tree.log0[tree.end]) if tree.n_docs else 0.0, int(tree.n_docs > 0), float(np.log10(tree.n_docs + 1.0)))
     for batch in batches:
         n = batch.num_rows
-        tokens, known, total, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        tokens, sums = np.zeros(n, np.int64), np.zeros((3, n))
         rare_n, rare_w, rare_k = np.zeros(n, np.int64), [], []
         for c in kernel.chunks(batch.column(1)):
             at = slice(c.first, c.first + c.n)
-            s, place, h, w = tree.symbols(c)
-            first = np.flatnonzero(place == 0)
-            tokens[at], known[at] = np.diff(np.append(first, len(s))), np.add.reduceat(is_known[s], first)
-            total[at], score[at] = np.add.reduceat(base[s], first), np.add.reduceat(tree.logs(s, place), first)
-            doc = w.doc()
-            miss = s[np.arange(len(h)) + doc] == tree.other
-            if miss.any():
-                d, x = doc[miss], h[miss]
+            r = runs(c, depth + 1)
+            doc = np.repeat(np.arange(c.n), np.diff(np.append(r.first, len(r.symbol))))
+            tokens[at] = np.bincount(doc, minlength=c.n) - 1
+            sums[:, at] += np.array(end)[:, None]
+            late_d, late_x = [], []
+
+            def look(i: np.ndarray, x: np.ndarray, worded: bool = False) -> None:
+                slot = cache.slot(x)
+                hit = cache.key[slot] == x
+                for total, held in zip(sums if worded else sums[:1], cache.held, strict=False):
+                    total[at] += np.bincount(doc[i[hit]], held[slot[hit]], c.n)  # noqa: B023
+                i, x = i[~hit], x[~hit]
+                live = keys.has(x)
+                late_d.append(doc[i[live]])  # noqa: B023
+                late_x.append(x[live])  # noqa: B023
+
+            i = np.flatnonzero(r.is_word)
+            look(i, r.symbol[i], True)
+            for d in range(1, depth + 1):
+                i, ctx, _ = r.pairs(d)
+                look(i, ctx ^ STATE)
+                look(i, r.names[d][i])
+            d, x = np.concatenate(late_d), np.concatenate(late_x)
+            if len(x):
                 order = np.lexsort((x, d))
                 d, x = d[order], x[order]
                 new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]))))
@@ -318,5 +424,6 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         x, k = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (rare_w, rare_k))
         rare = pa.StructArray.from_arrays([pa.array(x.view(np.int64)), pa.array(k.astype(np.int64))], ["w", "k"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rare_n))).astype(np.int32)), rare)
-        yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0), pa.array(tokens), pa.array(known), pa.array(total), pa.array(score), lists], names=["row", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
+        score, known, total = sums
+        yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(0), pa.array(tokens), pa.array(np.rint(known).astype(np.int64)), pa.array(total), pa.array(score), lists], names=["row", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
         row += n

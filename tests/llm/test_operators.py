@@ -120,6 +120,56 @@ def test_probabilities_of_a_state_sum_to_one(spark):
     assert abs(p[1] + p[3] + p[5] + p[7] + b * (rare + tree.unknown) - 1) < 1e-9
 
 
+def brute_scores(rows, learned, depth, least, pair, off=0.75):
+    """Score of each row by a suffix tree in dictionaries."""
+    seen, total, after = collections.Counter(), collections.Counter(), collections.defaultdict(collections.Counter)
+    for i, t in rows:
+        if learned(i):
+            s = [b"<", *lower_words(t), b">"]
+            seen.update(s[1:])
+            for k in range(1, len(s)):
+                for d in range(1, min(depth, k) + 1):
+                    after[tuple(s[k - d : k])][s[k]] += 1
+                    total[tuple(s[k - d : k])] += 1
+    tokens, types, once = sum(seen.values()), len(seen), sum(n == 1 for n in seen.values())
+    gone = min(0.9, once / types)
+    mass = tokens + (once == 0)
+    states = {}
+
+    def p(context, x):
+        for d in range(len(context)):
+            if context[d:] in states:
+                kept, b = states[context[d:]]
+                return kept[x] if x in kept else b * p(context[d + 1 :], x)
+        return (seen[x] - gone) / mass if x in seen else (gone * types or 1) / mass
+
+    for d in range(1, depth + 1):
+        new = {}
+        for c in [c for c, n in total.items() if len(c) == d and n >= least]:
+            kept = {x: (n - off) / total[c] for x, n in after[c].items() if n >= pair}
+            near = {x: p(c[1:], x) for x in kept}
+            b = max(1e-12, 1 - sum(kept.values())) / max(1e-12, 1 - sum(near.values()))
+            rest = total[c] - sum(after[c][x] for x in kept)
+            if kept and sum(after[c][x] * math.log(kept[x] / near[x]) for x in kept) + rest * math.log(b) > 0.5 * math.log(tokens) * len(kept):
+                new[c] = kept, b
+        states |= new
+    return {i: sum(math.log10(p(tuple(s[max(0, k - depth) : k]), s[k])) for k in range(1, len(s))) for i, s in ((i, [b"<", *lower_words(t), b">"]) for i, t in rows)}, states
+
+
+@pytest.mark.parametrize("cached", [{}, {"cached": 20}])
+def test_states_need_counts_and_not_shares(spark, cached):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 3000) for _ in range(2500)]
+    for i in range(15):  # 'rare' and the pair 'u w2' predict though they are few among 120000 tokens, and w2 by itself doesn't
+        texts[100 * i] += " rare sight w1 u w2 w9"
+    rows = list(enumerate(texts))
+    want, states = brute_scores(rows, lambda i: i % 5 > 0 or i % 100 == 0, 3, 8, 3)
+    assert (b"rare",) in states and (b"u", b"w2") in states and (b"w2",) not in states
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = SuffixTreeScorer(**cached).score(df, "doc_id % 5 > 0 or doc_id % 100 = 0").collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+
+
 def test_held_out_score_beats_the_base(spark):
     out = queries.op3_suffix_tree(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert out.s > out.b
