@@ -32,6 +32,8 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 CHUNK_BYTES = 1 << 20
+#: Bytes or words that are hashed at a time: longer documents take no larger tables.
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -136,37 +138,71 @@ def words(chunk: Chunk, separates: np.ndarray = SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, chunk.bounds))
 
 
+def _long_word(data: np.ndarray, fold: np.ndarray) -> np.uint64:
+    """What word_hashes() gives a word of any length, a block at a time."""
+    up, _ = _byte_powers.upto(BLOCK)
+    total = 0
+    for s in range(0, len(data), BLOCK):
+        part = _BYTE[fold[data[s : s + BLOCK]]]
+        total += int(np.sum(part * up[: len(part)], dtype=U64)) * pow(_BASE, s, 2**64)
+    return mix(np.array([total % 2**64 ^ len(data)], U64))[0]
+
+
 def word_hashes(chunk: Chunk, w: Words, fold: np.ndarray = IDENTITY) -> np.ndarray:
-    """64-bit hash of each word's bytes after `fold`, wherever the word stands."""
-    if not len(w.start):
-        return np.empty(0, U64)
-    up, down = _byte_powers.upto(len(chunk.data) + 1)
-    total = np.empty(len(chunk.data) + 1, U64)
-    total[0] = 0
-    np.cumsum(_BYTE[fold[chunk.data]] * up[: len(chunk.data)], out=total[1:])
-    return mix((total[w.end] - total[w.start]) * down[w.start] ^ (w.end - w.start).astype(U64))
+    """64-bit hash of each word's bytes after `fold`, wherever the word stands. A block of the text is worked on at a time."""
+    out = np.empty(len(w.start), U64)
+    i = 0
+    while i < len(out):
+        lo = int(w.start[i])
+        j = int(np.searchsorted(w.end, lo + BLOCK, "right"))
+        if j <= i:
+            out[i] = _long_word(chunk.data[lo : w.end[i]], fold)
+            i += 1
+            continue
+        n = int(w.end[j - 1]) - lo
+        up, down = _byte_powers.upto(n + 1)
+        total = np.empty(n + 1, U64)
+        total[0] = 0
+        np.cumsum(_BYTE[fold[chunk.data[lo : lo + n]]] * up[:n], out=total[1:])
+        start, end = w.start[i:j] - lo, w.end[i:j] - lo
+        out[i:j] = mix((total[end] - total[start]) * down[start] ^ (end - start).astype(U64))
+        i = j
+    return out
 
 
 def windows(h: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of `size` consecutive words within one document, and the index of its first word."""
     if len(h) < size:
         return np.empty(0, U64), np.empty(0, np.int64)
-    up, down = _word_powers.upto(len(h) + 1)
-    total = np.empty(len(h) + 1, U64)
-    total[0] = 0
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    ends = np.repeat(of[1:], np.diff(of))
-    at = np.flatnonzero(np.arange(len(h)) + size <= ends)
-    return mix((total[at + size] - total[at]) * down[at] ^ U64(size)), at
+    at = np.flatnonzero(np.arange(size, len(h) + size) <= np.repeat(of[1:], np.diff(of)))
+    out = np.empty(len(at), U64)
+    for i in range(0, len(at), BLOCK):
+        a = at[i : i + BLOCK]
+        lo, hi = int(a[0]), int(a[-1]) + size
+        up, down = _word_powers.upto(hi - lo + 1)
+        total = np.empty(hi - lo + 1, U64)
+        total[0] = 0
+        np.cumsum(h[lo:hi] * up[: hi - lo], out=total[1:])
+        a = a - lo
+        out[i : i + BLOCK] = mix((total[a + size] - total[a]) * down[a] ^ U64(size))
+    return out, at
 
 
 def sequence_hash(h: np.ndarray, of: np.ndarray, lane: int) -> np.ndarray:
     """Hash of each document's whole word sequence; `lane` picks one of several independent ones."""
-    up, down = _word_powers.upto(len(h) + 1)
-    total = np.empty(len(h) + 1, U64)
-    total[0] = 0
-    np.cumsum(mix(h ^ _LANE[lane]) * up[: len(h)], out=total[1:])
-    return mix((total[of[1:]] - total[of[:-1]]) * down[of[:-1]] ^ np.diff(of).astype(U64))
+    out = np.zeros(len(of) - 1, U64)
+    for lo in range(0, len(h), BLOCK):
+        x = mix(h[lo : lo + BLOCK] ^ _LANE[lane])
+        up, down = _word_powers.upto(len(x) + 1)
+        total = np.zeros(len(x) + 1, U64)
+        np.cumsum(x * up[: len(x)], out=total[1:])
+        start, end = (np.clip(v, lo, lo + len(x)) - lo for v in (of[:-1], of[1:]))
+        part = (total[end] - total[start]) * down[start]
+        going_on = int(np.searchsorted(of, lo, "right")) - 1  # the document that holds word lo
+        if of[going_on] < lo:
+            part[going_on : going_on + 1] *= U64(pow(_WBASE, lo - int(of[going_on]), 2**64))
+        out += part
+    return mix(out ^ np.diff(of).astype(U64))
 
 
 def shingle_sets(h: np.ndarray, of: np.ndarray, size: int) -> list[np.ndarray]:
