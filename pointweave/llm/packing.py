@@ -15,9 +15,13 @@ repeated rows are packed each on their own; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,58 +35,138 @@ from .workspace import small_batches
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+# The normaliser and the cut into words of word_bpe_49k.json, as the file has them.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Kinds of bytes: white space, letters, digits, punctuation; words with any other byte, ' or < are left whole.
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[39, 60]] = _ODD
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[kernel.SPACE] = _SPACE
+_SLICE = 1 << 18
+
+
 class WordTokenizer:
-    """Token ids of whole texts by way of their words, each distinct word encoded once.
+    """Token ids of whole texts by way of their distinct parts, each encoded once.
 
-    Right for tokenizers whose pieces never reach over white space, as word_bpe_49k.json: text is
-    cut at white space before its merges apply. known_words bounds the memory of a worker; the
-    table starts anew beyond it.
+    With the normaliser and the cut above no token reaches over white space, and an ASCII word falls
+    into runs of letters, runs of marks and single digits that are merged apart: these parts go
+    straight to the merges, other words through the whole tokenizer. Any other tokenizer file
+    encodes each text as a whole. known_parts bounds the memory of a worker: beyond it, parts that
+    were met in one chunk only are forgotten.
     """
 
-    def __init__(self, path: str, known_words: int = 600_000):
+    def __init__(self, path: str, known_parts: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known_words = Tokenizer.from_file(path), known_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.begin, self.size, self.flat, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(1 << 20, np.uint32), 0
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
+        self.tokenizer, self.known_parts = Tokenizer.from_file(path), known_parts
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = all(x["special"] and not x["normalized"] and re.fullmatch(r"<\|\w+\|>", x["content"]) for x in spec["added_tokens"])
+        self.by_parts = special and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _CUT and spec["model"]["type"] == "BPE" and not spec["model"]["dropout"]
+        self._forget(np.empty(0, np.int64))
+
+    def _forget(self, keep: np.ndarray) -> None:
+        """Hold no parts but those at some places of the table."""
+        if not len(keep):
+            self.known, self.begin, self.size, self.again = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+            self.flat, self.used = np.empty(1 << 20, np.uint32), 0
+            return
+        size = self.size[keep]
+        begin = np.cumsum(size) - size
+        ids = self.flat[np.arange(int(size.sum())) + np.repeat(self.begin[keep] - begin, size)]
+        self.known, self.begin, self.size, self.again = self.known[keep], begin, size, np.zeros(len(keep), bool)
+        self.flat[: len(ids)], self.used = ids, len(ids)
+
+    def _learn(self, hashes: np.ndarray, got: list[list[int]]) -> None:
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
-        begin = self.used + np.concatenate(([0], np.cumsum(size)[:-1]))
+        begin = self.used + np.cumsum(size) - size
         self.used += len(flat)
         at = np.searchsorted(self.known, hashes)
         self.known, self.begin, self.size = np.insert(self.known, at, hashes), np.insert(self.begin, at, begin), np.insert(self.size, at, size)
+        self.again = np.insert(self.again, at, False)
+
+    @staticmethod
+    def parts(c: kernel.Chunk) -> tuple[kernel.Words, np.ndarray]:
+        """The parts of a chunk, and which of them go straight to the merges."""
+        w = kernel.words(c)
+        kind = _KIND[c.data]
+        odd = np.concatenate(([0], np.cumsum(kind == _ODD)))
+        plain = odd[w.end] == odd[w.start]
+        step = np.zeros(len(kind) + 1, np.int8)
+        step[w.start[plain]] += 1
+        step[w.end[plain]] -= 1
+        cut = np.cumsum(step, dtype=np.int8)[:-1] > 0
+        cut[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        cut[w.start] = True
+        start = np.flatnonzero(cut)
+        word = np.searchsorted(w.start, start, "right") - 1
+        return kernel.Words(start, np.minimum(np.append(start[1:], len(kind)), w.end[word]), np.searchsorted(start, c.bounds)), plain[word]
+
+    def _new(self, raw: bytes, lower: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> list[list[int]]:
+        """Ids of parts, those that are plain before the others."""
+        size = end[plain] - start[plain] + 1
+        first = np.cumsum(size) - size
+        joined = lower[np.arange(int(size.sum())) + np.repeat(np.append(start[plain], 0)[:-1] - first, size)]
+        joined[first + size - 1] = 10
+        merge = self.tokenizer.model.tokenize
+        ids = [[t.id for t in merge(x)] for x in joined.tobytes().decode("ascii").split("\n")[:-1]]
+        rest = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]
+        return ids + [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first document, ids of a chunk, bounds of its documents in them)."""
         for c in kernel.chunks(column):
-            w = kernel.words(c)
             raw = c.data.tobytes()
-            h = kernel.word_hashes(c, w, kernel.IDENTITY if b"<|" in raw else kernel.LOWER)
-            if not len(h):
-                yield c.first, np.empty(0, np.uint32), np.zeros(c.n + 1, np.int64)
+            if not self.by_parts:
+                texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist(), strict=True)]
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                yield c.first, np.fromiter(chain.from_iterable(got), np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in got])))
                 continue
-            if len(self.known) > self.known_words:
-                self._clear()
-            u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            w, plain = self.parts(c)
+            h = kernel.word_hashes(c, w, kernel.IDENTITY if b"<|" in raw else kernel.LOWER)
+            lower = np.append(kernel.LOWER[c.data], np.uint8(10))
+            ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+            for i in range(0, len(h), _SLICE):  # of a very long document
+                at = slice(i, i + _SLICE)
+                x, size = self._look_up(h[at], lambda k, at=at: self._new(raw, lower, w.start[at][k], w.end[at][k], plain[at][k]), plain[at])
+                ids.append(x)
+                sizes.append(size)
+            yield c.first, np.concatenate(ids), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))[w.of]
+
+    def _look_up(self, h: np.ndarray, new_ids, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after another, and how many each has."""
+        if len(self.known) > self.known_parts:
+            keep = np.flatnonzero(self.again)
+            self._forget(keep if len(keep) < self.known_parts // 2 else keep[:0])
+        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, u)
+        new = np.ones(len(u), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != u
+        self.again[at[~new]] = True
+        if new.any():
+            order = np.flatnonzero(new)
+            order = np.concatenate((order[plain[first[order]]], order[~plain[first[order]]]))
+            got = new_ids(first[order])
+            back = np.argsort(order, kind="stable")
+            self._learn(u[new], [got[i] for i in back.tolist()])
             at = np.searchsorted(self.known, u)
-            new = np.ones(len(u), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != u
-            if new.any():
-                k = first[new]
-                self._learn(u[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.start[k].tolist(), w.end[k].tolist(), strict=True)])
-                at = np.searchsorted(self.known, u)
-            size, begin = self.size[at][inverse], self.begin[at][inverse]
-            end = np.cumsum(size)
-            ids = self.flat[np.arange(end[-1]) + np.repeat(begin - end + size, size)]
-            yield c.first, ids, np.concatenate(([0], end))[w.of]
+        size, begin = self.size[at][inverse], self.begin[at][inverse]
+        end = np.cumsum(size)
+        return self.flat[np.arange(int(end[-1])) + np.repeat(begin - end + size, size)], size
 
 
 @dataclass
@@ -105,9 +189,10 @@ class Packer:
     pool: int = 16
     pools: dict[int, list[Piece]] = field(default_factory=dict)
     held: dict[int, list[list[Piece]]] = field(default_factory=dict)
+    load: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.pools, self.held = {t: [] for t in self.tiers}, {t: [] for t in self.tiers}
+        self.pools, self.held, self.load = {t: [] for t in self.tiers}, {t: [] for t in self.tiers}, dict.fromkeys(self.tiers, 0)
 
     def add(self, p: Piece) -> Iterator[list[list[Piece]]]:
         """Take a document; yields groups of sequences that are complete."""
@@ -117,32 +202,39 @@ class Packer:
             yield from self._finish([window])
         if len(p.ids):
             t = self._route(p)
-            if sum(len(x.ids) for x in self.pools[t]) >= self.pool * t:
+            if self.load[t] >= self.pool * t:
                 yield from self._pack(t)
 
     def _route(self, p: Piece) -> int:
-        t = next(t for t in self.tiers if t >= len(p.ids))
+        t = self.tiers[bisect_left(self.tiers, len(p.ids))]
         self.pools[t].append(p)
+        self.load[t] += len(p.ids)
         return t
 
+    def _take(self, t: int, i: int = -1) -> Piece:
+        p = self.pools[t].pop(i)
+        self.load[t] -= len(p.ids)
+        return p
+
     def _pack(self, t: int) -> Iterator[list[list[Piece]]]:
         """Windows of tier t from its pool: best fit, longest first; gaps go to shorter tiers."""
         windows: list[list[Piece]] = []
-        room: list[int] = []
+        room: list[tuple[int, int]] = []  # what each window has left, least first
         for p in sorted(self.pools[t], key=lambda x: -len(x.ids)):
-            fits = [(room[i] - len(p.ids), i) for i in range(len(room)) if room[i] >= len(p.ids)]
-            if fits:
-                i = min(fits)[1]
-                windows[i].append(p)
-                room[i] -= len(p.ids)
-            else:
-                windows.append([p])
-                room.append(t - len(p.ids))
-        self.pools[t] = []
-        for window, gap in sorted(zip(windows, room, strict=True), key=lambda x: x[1]):
+            n = len(p.ids)
+            k = bisect_left(room, (n, -1))
+            left, i = room.pop(k) if k < len(room) else (t, len(windows))
+            if i == len(windows):
+                windows.append([])
+            windows[i].append(p)
+            insort(room, (left - n, i))
+        self.pools[t], self.load[t] = [], 0
+        for gap, i in room:
+            window = windows[i]
             gap = self._fill(window, gap, t)
             if gap:  # nothing shorter is at hand: the pieces wait for the next documents
                 self.pools[t] += window
+                self.load[t] += sum(len(p.ids) for p in window)
             else:
                 yield from self._finish(window)
 
@@ -152,13 +244,13 @@ class Packer:
             pool = self.pools[s]
             for i in range(len(pool) - 1, -1, -1):
                 if gap and len(pool[i].ids) <= gap:
-                    p = pool.pop(i)
+                    p = self._take(s, i)
                     window.append(p)
                     gap -= len(p.ids)
         if gap:
             for s in shorter:
                 if self.pools[s]:
-                    piece, rest = self.pools[s].pop().cut(gap)
+                    piece, rest = self._take(s).cut(gap)
                     window.append(piece)
                     if len(rest.ids):
                         self._route(rest)
