@@ -96,8 +96,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = sharding.assign(_table(spark, sf_dir, "documents"), sharding.even_tree(16), sharding.even_tree(17))
-    return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
+    tree = sharding.even_tree(16)
+    shards = sharding.assign(_table(spark, sf_dir, "documents"), tree, sharding.grown(tree))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", F.col("other_shard").alias("grown_shard"), "region", "rack")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

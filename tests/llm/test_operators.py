@@ -306,19 +306,41 @@ def test_repeats(docs):
 
 
 def test_shards(docs):
-    tree, grown = sharding.even_tree(5, 2, 4), sharding.even_tree(6, 2, 4)
-    got = sharding.assign(docs, tree, grown, block_ids=4).toPandas()
-    assert len(got) == len(rows_of(docs)) and ((got.grown_shard == got["shard"]) | (got.grown_shard == 5)).all()
+    tree = sharding.even_tree(5, 2, 4)
+    got = sharding.assign(docs, tree, sharding.grown(tree), block_rows=4).toPandas()
+    assert len(got) == len(rows_of(docs)) and ((got.other_shard == got["shard"]) | (got.other_shard == 5)).all()
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
     want = sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows_of(docs))
     assert sorted(got[["doc_id", "size", "text_crc32"]].itertuples(index=False, name=None)) == want
 
 
+def places(spark, tree, n=6000):
+    return sharding.descend(spark.range(n), F.col("id"), tree).orderBy("id").toPandas()
+
+
 def test_weights_draw_rows(spark):
-    tree = (sharding.Leaf(0, 0, 0, 1.0), sharding.Leaf(0, 1, 1, 1.0), sharding.Leaf(1, 2, 2, 2.0))
-    at = spark.range(4000).select(sharding.locate(F.col("id"), tree)["shard"].alias("s")).groupBy("s").count().collect()
-    n = {r.s: r["count"] for r in at}
-    assert abs(n[2] - 2000) < 150 and abs(n[0] - 1000) < 150
+    tree = (sharding.Leaf(0, 0, 0, 1.0), sharding.Leaf(0, 1, 1, 1.0), sharding.Leaf(1, 2, 2, 2.0), sharding.Leaf(1, 2, 3, 0.0))
+    n = places(spark, tree)["shard"].value_counts().to_dict()
+    assert abs(n[2] - 3000) < 200 and abs(n[0] - 1500) < 150 and 3 not in n
+
+
+def test_rows_move_in_changed_subtrees_only(spark):
+    old = [sharding.Leaf(s // 8, s // 4, s) for s in range(16)]  # two regions of two racks of four shards
+    new = [sharding.Leaf(x.region, x.rack, x.shard, 3.0) if x.shard == 5 else x for x in old]  # a heavier shard 5, in rack 1 of region 0
+    a, b = places(spark, tuple(old)), places(spark, tuple(new))
+    moved = a["shard"] != b["shard"]
+    assert 300 < moved.sum() < 2500
+    to, frm = b[moved], a[moved]
+    assert (to.region == 0).all() and not ((frm.region == 0) & (to.region == 1)).any()  # none into the other region
+    inside = moved & (a.region == 0)  # in the region: into its rack only, in the rack into the shard only
+    assert (b[inside].rack == 1).all() and (b[moved & (a.rack == 1)]["shard"] == 5).all()
+    tree = sharding.even_tree(3)
+    for n in range(4, 9):  # each further shard takes rows into itself alone, and its share
+        more = sharding.grown(tree)
+        x, y = places(spark, tree), places(spark, more)
+        moved = x["shard"] != y["shard"]
+        assert (y[moved]["shard"] == n - 1).all() and abs(moved.sum() - 6000 / n) < 250
+        tree = more
 
 
 def test_empty_tables(spark, tmp_path, empty):
