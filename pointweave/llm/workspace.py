@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset (tests, one machine)."""
+    """spark.checkpoint.dir; a folder of this machine only where that is unset and all runs on this machine (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "folder" not in _own:
         _own["folder"] = f"file://{tempfile.mkdtemp(prefix='pointweave-')}"
     return _own["folder"]
@@ -34,6 +37,12 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps whose tables are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Workspace:
     """A folder of written tables: lineage ends there, and a lost executor costs one task at most.
 
