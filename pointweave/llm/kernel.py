@@ -106,6 +106,16 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
         first = last
 
 
+def pieces(c: Chunk, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """A chunk, cut every `size` bytes where it is one longer document."""
+    if c.n > 1 or len(c.data) <= size:
+        yield c
+    else:
+        for s in range(0, len(c.data), size):
+            part = c.data[s : s + size]
+            yield Chunk(c.first, part, np.array([0, len(part)]))
+
+
 @dataclass
 class Words:
     """Words of a chunk. of: index of each document's first word, and the number of words."""
@@ -205,6 +215,24 @@ def sequence_hash(h: np.ndarray, of: np.ndarray, lane: int) -> np.ndarray:
     return mix(out ^ np.diff(of).astype(U64))
 
 
+def rejoined(c: Chunk, w: Words, keep: np.ndarray) -> pa.Array:
+    """Each document's words that are kept, joined by one space."""
+    data, k = np.append(c.data, np.uint8(32)), np.flatnonzero(keep)
+    parts = [np.empty(0, np.uint8)]
+    for i in range(0, len(k), BLOCK >> 2):
+        at = k[i : i + (BLOCK >> 2)]
+        size = w.end[at] - w.start[at] + 1
+        first = np.cumsum(size) - size
+        x = data[np.arange(int(size.sum())) + np.repeat(w.start[at] - first, size)]
+        x[first + size - 1] = 32
+        parts.append(x)
+    upto = np.concatenate(([0], np.cumsum(np.where(keep, w.end - w.start + 1, 0))))[w.of]
+    full = np.diff(upto) > 0  # a document ends without a space
+    flat = np.delete(np.concatenate(parts), upto[1:][full] - 1)
+    bounds = upto - np.concatenate(([0], np.cumsum(full)))
+    return pa.LargeStringArray.from_buffers(c.n, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)).cast(pa.string())
+
+
 def shingle_sets(h: np.ndarray, of: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document; a document of fewer words than `size` has one, one without words none."""
     s, at = windows(h, of, size)

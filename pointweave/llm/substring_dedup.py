@@ -9,6 +9,8 @@ which all documents but the first lose their words.
 
 Rows are pre-aggregated before a shuffle or joined in a way that splits skewed keys, so a passage
 that many documents share is no hot spot; no group is collected but the windows of one document.
+Windows are held against each other by 64-bit hashes of their words: among n different windows two
+are taken for one with a probability of about n * n / 2**65.
 The filters between the passes are of bounded size and only spare work: what they let by wrongly
 is told apart by the exact shuffles behind them. With more blocks than a filter holds, more rows
 are shuffled, at most in proportion to the input, and the result is the same.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitfilter, kernel
-from .workspace import Workspace
+from .workspace import Workspace, release
 
 SCHEMA = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept_text string"
 _ARROW = pa.schema(
@@ -59,7 +61,9 @@ class SubstringDedup:
         anchored = bitfilter.build(spark, anchors, "h", anchors.count(), self.filter_bits)
 
         told = texts.mapInArrow(lambda b: _extend(b, anchored, block, window), "h long, doc_id long, at int")
-        first = told.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("h", "x")
+        # a table of its own: a join that shares a stage with this sum could not be split where a window is frequent
+        first = work.keep(told.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("h", "x"), "first")
+        release(spark)
         again = work.keep(told.join(first, "h").filter("doc_id > x").select("doc_id", "at", "h"), "again")
         ids = again.select("doc_id").distinct().select(F.xxhash64("doc_id").alias("k"))
         touched = bitfilter.build(spark, ids, "k", ids.count(), self.filter_bits)
@@ -111,21 +115,21 @@ def _extend(batches: Iterator[pa.RecordBatch], anchored, block: int, window: int
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(ids[c.first + doc]), pa.array((at - w.of[doc]).astype(np.int32))], names=["h", "doc_id", "at"])
 
 
-def _out(ids: list, words: list[int], spans: list[list[tuple[int, int]]], kept: list[bytes]) -> pa.RecordBatch:
-    flat = [s for x in spans for s in x]
-    pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.int64()), pa.array([e for _, e in flat], pa.int64())], ["start", "end"])
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in spans]))).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pairs), pa.array(kept, pa.string())], schema=_ARROW)
+def _out(ids: pa.Array, words: np.ndarray, edges: list[np.ndarray], kept: pa.Array) -> pa.RecordBatch:
+    """edges: starts and ends of each row's spans, in turn."""
+    flat = np.concatenate([np.empty(0, np.int64), *edges])
+    pairs = pa.StructArray.from_arrays([pa.array(flat[::2]), pa.array(flat[1::2])], ["start", "end"])
+    bounds = np.concatenate(([0], np.cumsum([len(x) // 2 for x in edges]))).astype(np.int32)
+    return pa.RecordBatch.from_arrays([ids, pa.array(words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pairs), kept], schema=_ARROW)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], touched) -> Iterator[pa.RecordBatch]:
     """Rows of documents that surely lose nothing."""
     for batch in batches:
         rows = batch.filter(pa.array(~touched.value.has(batch.column(1).to_numpy().view(np.uint64))))
-        for i in range(0, rows.num_rows, 1000):
-            part = rows.slice(i, 1000)
-            words = [(x or "").encode().split() for x in part.column(2).to_pylist()]
-            yield _out(part.column(0).to_pylist(), [len(x) for x in words], [[]] * len(words), [b" ".join(x) for x in words])
+        for c in kernel.chunks(rows.column(2)):
+            w = kernel.words(c)
+            yield _out(rows.column(0)[c.first : c.first + c.n], np.diff(w.of), [np.empty(0, np.int64)] * c.n, kernel.rejoined(c, w, np.ones(len(w.start), bool)))
 
 
 def _held(batches: Iterator[pa.RecordBatch], touched) -> Iterator[pa.RecordBatch]:
@@ -140,11 +144,11 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         places, hashes = batch.column(2), batch.column(3)
         for c, w, h in _hashes(batch, 1):
             x, at = kernel.windows(h, w.of, window)
-            ids, count, spans, kept = [], [], [], []
+            out, edges = np.zeros(len(h), bool), []
             for i in range(c.n):
                 row, start, end = c.first + i, int(w.of[i]), int(w.of[i + 1])
-                gone = np.zeros(end - start + 1, np.int64)
                 if places[row].is_valid and len(places[row].values):
+                    gone = np.zeros(end - start + 1, np.int64)
                     p, want = places[row].values.to_numpy(), hashes[row].values.to_numpy().view(np.uint64)
                     j = np.searchsorted(at, start + p)
                     ok = (j < len(at)) & (start + p + window <= end)
@@ -152,11 +156,6 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                     p = p[(at[j] == start + p) & (x[j] == want)]
                     np.add.at(gone, p, 1)
                     np.add.at(gone, p + window, -1)
-                out = np.cumsum(gone)[:-1] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).astype(np.int8)))
-                all_words = c.data[c.bounds[i] : c.bounds[i + 1]].tobytes().split()
-                ids.append(batch.column(0)[row].as_py())
-                count.append(end - start)
-                spans.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
-                kept.append(b" ".join([all_words[k] for k in np.flatnonzero(~out).tolist()]))
-            yield _out(ids, count, spans, kept)
+                    out[start:end] = np.cumsum(gone)[:-1] > 0
+                edges.append(np.flatnonzero(np.diff(np.concatenate(([False], out[start:end], [False])).astype(np.int8))))
+            yield _out(batch.column(0)[c.first : c.first + c.n], np.diff(w.of), edges, kernel.rejoined(c, w, ~out))
