@@ -15,6 +15,7 @@ from .langid import LanguageId
 from .minmax_dedup import MinMaxDedup
 from .substring_dedup import SubstringDedup
 from .suffix_tree import SuffixTreeScorer
+from .workspace import Workspace, release
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCORER_TRAINING = "crc32(cast(doc_id as string)) % 7 <> 2"
@@ -44,7 +45,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_ledger.findings(_table(spark, sf_dir, "documents"))
+    docs, ledger = _table(spark, sf_dir, "documents"), secret_ledger.Ledger(spark, Workspace(spark, "secrets").path)
+    ledger.update(docs, secret_ledger.BASE)
+    release(spark)
+    ledger.update(docs)  # every blob is known: the rules that were added are due, no others
+    found = ledger.findings(docs)
     base = F.filter("spans", lambda s: s["rank"] < len(secret_ledger.BASE))
     number = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     return found.select(

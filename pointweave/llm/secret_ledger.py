@@ -1,23 +1,27 @@
 """Secret scans over an incremental ledger of blobs, with DataFrame functions alone.
 
-A blob is a text under its SHA-256. Each distinct blob is scanned once, and only by the rules in
-the versions that the ledger hasn't seen it under; findings then go to every path (document,
-version) that has the blob. Blobs are held against the ledger and the paths by shuffled joins,
-whose skewed keys Spark can split; nothing is collected.
+A blob is a text under its SHA-256; a path is a document in one of its historical versions. Each
+distinct blob is scanned once, and only by the rules in the versions that the ledger hasn't seen it
+under; findings then go to every path that has the blob. The ledger is a folder of tables, one for
+each scan, that later sessions go on with; a scan that breaks off leaves nothing in it. Blobs are
+held against the ledger and the paths by shuffled joins, whose skewed keys Spark can split; nothing
+is collected.
 
 Where a regular expression matches, and not only what, follows from two functions that walk the
 same leftmost matches: split() gives the text between them and regexp_extract_all() the matches,
 so that running lengths give code-point offsets.
 
 Defined results: rows without an id are left out; null text counts as empty and has no finding;
-repeated rows are paths of one blob and each get its findings; other columns are not read.
+repeated rows are paths of one blob and each get its findings; null versions count as version 0;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -82,26 +86,27 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(matches, walk).otherwise(F.array().cast(SPAN))
 
 
-def paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, blob of every row."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).filter("doc_id is not null").withColumn("blob", F.sha2("text", 256))
+def paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", version_col: str | None = None) -> DataFrame:
+    """doc_id, version (0 without a version column), text, blob of every row."""
+    text, version = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(version_col).cast("long"), F.lit(0)) if version_col else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), version.alias("version"), text.alias("text")).filter("doc_id is not null").withColumn("blob", F.sha2("text", 256))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, **columns: str) -> DataFrame:
     """New rows of the ledger: blob and scans, a map from kind:version to SPAN, of the rules that were due.
 
-    ledger: rows of earlier scans (blob, scans). A blob for which nothing is due gets no row.
+    ledger: rows of earlier scans (blob, scans). A blob for which nothing is due gets no row and no scan.
     """
-    all_paths = paths(docs, id_col, text_col)
-    pick = all_paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    all_paths = paths(docs, **columns)
+    pick = all_paths.groupBy("blob").agg(F.min(F.struct("doc_id", "version")).alias("path"))
     if ledger is not None:
         seen = ledger.select("blob", F.map_keys("scans").alias("key")).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("key"))).alias("seen"))
         due = F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))
-        pick = pick.join(seen, "blob", "left").select("blob", "doc_id", due.alias("due")).filter(F.size("due") > 0)
+        pick = pick.join(seen, "blob", "left").select("blob", "path", due.alias("due")).filter(F.size("due") > 0)
     else:
         pick = pick.withColumn("due", F.lit(None).cast("array<string>"))
-    blobs = all_paths.select("doc_id", "text").join(pick.withColumnRenamed("blob", "picked"), "doc_id").withColumn("blob", F.sha2("text", 256)).filter("blob = picked")
+    pick = pick.select("path.doc_id", "path.version", F.col("blob").alias("picked"), "due")
+    blobs = all_paths.select("doc_id", "version", "text").join(pick, ["doc_id", "version"]).withColumn("blob", F.sha2("text", 256)).filter("blob = picked")
     pairs = []
     for rank, rule in enumerate(rules):
         wanted = F.col("due").isNull() | F.array_contains("due", rule.key)
@@ -110,17 +115,48 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     return blobs.select("blob", found.alias("scans"))
 
 
-def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, blob, spans (SPAN, by start, then rank of the rule) of every path; ledger is what scan() has returned, for all blobs."""
-    known = Workspace(docs.sparkSession, "ledger").keep(scan(docs, rules, None, id_col, text_col), "scans") if ledger is None else ledger
-    keys = [r.key for r in rules]
-    merged = F.array_sort(F.flatten(F.transform(F.array(*map(F.lit, keys)), lambda k: F.coalesce(F.try_element_at("scans", k), F.array().cast(SPAN)))))
-    hits = known.select("blob", merged.alias("spans")).filter(F.size("spans") > 0)
+def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, **columns: str) -> DataFrame:
+    """doc_id, version, blob, spans (SPAN, by start, then rank of the rule) of every path; ledger is what scan() has returned, for all blobs."""
+    known = Workspace(docs.sparkSession, "ledger").keep(scan(docs, rules, None, **columns), "scans") if ledger is None else ledger
+
+    def ranked(rule: Rule, rank: int) -> Column:  # as these rules count, whatever others the scan had
+        return F.transform(F.coalesce(F.try_element_at("scans", F.lit(rule.key)), F.array().cast(SPAN)), lambda x: x.withField("rank", F.lit(rank)))
+
+    of_rule = [ranked(r, rank) for rank, r in enumerate(rules)]
+    hits = known.select("blob", F.array_sort(F.flatten(F.array(*of_rule))).alias("spans")).filter(F.size("spans") > 0)
     if ledger is not None:  # a blob has a row for each scan
         hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    else:  # several rows of one doc_id may have picked the same blob
+    else:  # several rows of one path may have picked the same blob
         hits = hits.dropDuplicates(["blob"])
-    return paths(docs, id_col, text_col).select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return paths(docs, **columns).select("doc_id", "version", "blob").join(hits, "blob", "left").select("doc_id", "version", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+class Ledger:
+    """The stored ledger: a folder, in a store that all executors reach, with a table for each scan."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._files = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def rows(self) -> DataFrame:
+        """(blob, scans) of all scans that came to an end."""
+        kind = "blob string, scans map<string, " + SPAN + ">"
+        there = self._files.listStatus(self._at(self.path)) if self._files.exists(self._at(self.path)) else []
+        names = sorted(name for x in there if (name := x.getPath().getName()).startswith("scan-"))
+        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], kind)
+
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, **columns: str) -> DataFrame:
+        """Scan what is due and add it to the ledger; returns the rows that are new."""
+        name = uuid.uuid4().hex
+        scan(docs, rules, self.rows(), **columns).write.parquet(f"{self.path}/open-{name}")
+        self._files.rename(self._at(f"{self.path}/open-{name}"), self._at(f"{self.path}/scan-{name}"))
+        return self.spark.read.parquet(f"{self.path}/scan-{name}")
+
+    def findings(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, **columns: str) -> DataFrame:
+        """findings() of paths whose blobs have been scanned by these rules."""
+        return findings(docs, rules, self.rows(), **columns)
 
 
 def listed(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -131,7 +167,7 @@ def listed(found: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, marker: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The rows of docs with each finding replaced by marker (overlapping ones by one), and the size column, if there is one, made to fit."""
-    hits = Workspace(docs.sparkSession, "ledger").keep(scan(docs, rules, None, id_col, text_col), "scans")
+    hits = Workspace(docs.sparkSession, "ledger").keep(scan(docs, rules, None, id_col=id_col, text_col=text_col), "scans")
     merged = F.array_sort(F.flatten(F.map_values("scans")))
     hits = hits.select(F.col("blob").alias("__pw_blob"), merged.alias("__pw_spans")).filter(F.size("__pw_spans") > 0).dropDuplicates(["__pw_blob"])
     text = F.col(text_col).cast("string")

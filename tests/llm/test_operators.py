@@ -231,6 +231,25 @@ def test_ledger_scans_what_is_new(docs):
     assert sorted(map(str, both.collect())) == sorted(map(str, once.collect()))
 
 
+def test_stored_ledger_of_versions(spark, tmp_path):
+    rows = [(1, 1, "secret=abcdefgh"), (1, 2, "nothing"), (2, None, "secret=abcdefgh"), (3, 1, None)]
+    docs = spark.createDataFrame(rows, "id long, v long, body string")
+    names = {"id_col": "id", "text_col": "body", "version_col": "v"}
+    assert secret_ledger.Ledger(spark, f"{tmp_path}/l").rows().count() == 0
+    assert secret_ledger.Ledger(spark, f"{tmp_path}/l").update(docs, **names).count() == 3  # of four paths two have one blob
+    (tmp_path / "l" / "open-broken").mkdir()  # of a scan that broke off
+    later = secret_ledger.Ledger(spark, f"{tmp_path}/l")
+    assert later.update(docs, **names).count() == 0
+    again = docs.union(spark.createDataFrame([(1, 3, "token: 12345678"), (4, 1, "nothing")], docs.schema))
+    new = later.update(again, **names).collect()  # one blob is new, none of the old ones is scanned
+    assert len(new) == 1 and set(new[0].scans) == {r.key for r in secret_ledger.RULES}
+    newer = (secret_ledger.Rule("assign", secret_ledger.BASE[0].pattern, 2, 9, version=2), *secret_ledger.RULES[1:])
+    assert {tuple(r.scans) for r in later.update(again, newer, **names).collect()} == {("assign:2",)}
+    listed = lambda rules: sorted((r.doc_id, r.version, r.s) for r in later.findings(again, rules, **names).select("doc_id", "version", secret_ledger.listed(F.col("spans"), rules).alias("s")).collect())
+    assert listed(secret_ledger.RULES) == [(1, 1, "assign:0:15"), (1, 2, ""), (1, 3, "assign:0:15"), (2, 0, "assign:0:15"), (3, 1, ""), (4, 1, "")]
+    assert {s for _, _, s in listed(newer)} == {""}
+
+
 def test_sketch(spark, docs):
     rows = sorted(rows_of(docs))
     exact = [({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()) for w in (lower_words(t) for _, t in rows)]
