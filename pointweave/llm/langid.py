@@ -4,13 +4,17 @@ Subwords are runs of 2 to 4 bytes of the lower-cased text, in which all that is
 as one space; they are hashed into buckets. A text is the average of its subwords' embeddings. The
 embeddings and the linear layer are trained together in numpy by stochastic gradient descent on a
 bounded sample of labelled rows. A part of the sample is kept back to calibrate: a temperature
-that makes the probabilities honest, and the threshold under which a text is rejected, set so that
-`reject` of the rightly named kept-back texts fall under it.
+that makes the probabilities honest, and two bounds of rejection. A text is rejected if its best
+probability is too low, or if its subwords are too strange, by the mean negative log of their
+frequency in the sample (text in none of the learned languages can be far from all and yet nearer
+to one). Each bound is set so that `reject` of the rightly named kept-back texts fall beyond it.
 
-To predict, embeddings and linear layer fold into one weight for each bucket and language.
+To predict, embeddings and linear layer fold into one weight for each bucket and language. Texts
+of more than a megabyte are taken in parts of a megabyte, and no subword reaches over two of them.
 
-Defined results: rows without an id are left out; null text and text without a letter is `und`
-with score 0 and rejected; without a labelled row everything is; other columns are not read.
+Defined results: rows without an id are left out (keep_known() goes by the text alone); null text
+and text without a letter is `und` with score 0 and rejected; without a labelled row everything
+is; other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,19 +68,28 @@ def subwords(c: kernel.Chunk, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """weight[bucket, language] is the bucket's part of the logits; bias; temperature; threshold of rejection."""
+    """weight[bucket, language] is the bucket's part of the logits; bias; temperature; rarity: negative log frequency of each
+    bucket; least probability and largest mean rarity that aren't rejected."""
 
     languages: list[str]
     bits: int
     weight: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    rarity: np.ndarray | None = None
     threshold: float = 0.0
-
-    def logits(self, c: kernel.Chunk) -> np.ndarray:
-        bucket, doc = subwords(c, self.bits)
-        n = np.maximum(1, np.bincount(doc, minlength=c.n))
-        return np.stack([np.bincount(doc, w[bucket], c.n) / n for w in self.weight.T], 1) + self.bias
+    strange: float = float("inf")
+
+    def logits(self, c: kernel.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Logits and mean rarity of each document."""
+        sums, n = np.zeros((len(self.languages) + 1, c.n)), np.zeros(c.n)
+        for part in kernel.pieces(c):
+            bucket, doc = subwords(part, self.bits)
+            n += np.bincount(doc, minlength=c.n)
+            for total, w in zip(sums, (*self.weight.T, self.rarity), strict=True):
+                total += np.bincount(doc, w[bucket], c.n)
+        sums /= np.maximum(1, n)
+        return sums[:-1].T + self.bias, sums[-1]
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -100,12 +113,12 @@ class LanguageId:
     def fit(self, docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
         """training: SQL condition on doc_id. Rows are picked by a hash of their id, so the same rows give the same model."""
         small_batches(docs.sparkSession)
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"), F.col(label_col).cast("string").alias("label"))
         rows = rows.filter("doc_id is not null and text is not null and label is not null").filter(training)
         counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         languages = sorted(counts)
         if not languages:
-            return Model([], self.bits, np.zeros((1 << self.bits, 0)), np.zeros(0))
+            return Model([], self.bits, np.zeros((1 << self.bits, 0)), np.zeros(0), rarity=np.zeros(1 << self.bits))
         share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, self.sample / len(languages) / counts[k]))]), F.col("label"))
         u = F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(1 << 30)) / float(1 << 30)
         bits = self.bits
@@ -114,23 +127,26 @@ class LanguageId:
             for batch in batches:
                 lists, weights = [], []
                 for c in kernel.chunks(batch.column(1)):
-                    bucket, doc = subwords(c, bits)
-                    u, n = np.unique(doc << bits | bucket, return_counts=True)
+                    found = [np.unique(doc << bits | bucket, return_counts=True) for bucket, doc in (subwords(p, bits) for p in kernel.pieces(c))]
+                    u, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+                    n = np.bincount(back, np.concatenate([x for _, x in found]), len(u)).astype(np.int32)
                     cut = np.searchsorted(u >> bits, np.arange(c.n + 1))
                     u &= (1 << bits) - 1
                     lists += [u[s:e].astype(np.int32) for s, e in zip(cut, cut[1:], strict=False)]
-                    weights += [n[s:e].astype(np.int32) for s, e in zip(cut, cut[1:], strict=False)]
+                    weights += [n[s:e] for s, e in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.int32()))], names=["doc_id", "label", "buckets", "counts"])
 
         picked = rows.filter(u < share).mapInArrow(count, "doc_id long, label string, buckets array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
         number = {k: i for i, k in enumerate(languages)}
-        data = [
-            (b.values.to_numpy(), c.values.to_numpy() / max(1, c.values.to_numpy().sum()), number[y.as_py()])
-            for b, c, y in zip(picked["buckets"], picked["counts"], picked["label"], strict=True)
-        ]
-        return self._train([x for x in data if len(x[0])], languages)
-
-    def _train(self, data: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str]) -> Model:
+        data, often = [], np.ones(1 << self.bits)
+        for b, c, y in zip(picked["buckets"], picked["counts"], picked["label"], strict=True):
+            bucket, n = b.values.to_numpy(), c.values.to_numpy()
+            if len(bucket):
+                data.append((bucket, n / n.sum(), number[y.as_py()]))
+                often[bucket] += n
+        return self._train(data, languages, np.log(often.sum()) - np.log(often))
+
+    def _train(self, data: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], rarity: np.ndarray) -> Model:
         rng = np.random.Generator(np.random.PCG64(self.seed))
         e = rng.uniform(-1, 1, (1 << self.bits, self.width)).astype(np.float32) / self.width
         w, bias = np.zeros((self.width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -151,7 +167,7 @@ class LanguageId:
                 bias -= rate * np.float32(0.1) * g
                 e[bucket] -= rate * np.minimum(1, 20 * share).astype(np.float32)[:, None] * back
                 done += 1
-        model = Model(languages, self.bits, (e @ w).astype(np.float64), bias.astype(np.float64))
+        model = Model(languages, self.bits, (e @ w).astype(np.float64), bias.astype(np.float64), rarity=rarity)
         if len(kept):
             z = np.array([data[i][1] @ model.weight[data[i][0]] + model.bias for i in kept])
             y = np.array([data[i][2] for i in kept])
@@ -160,11 +176,12 @@ class LanguageId:
                 model.temperature = t
                 return -np.log(np.maximum(1e-12, model.probabilities(z)[np.arange(len(y)), y])).mean()
 
-            model.temperature = min((2.0**k for k in np.arange(-3, 5, 0.25)), key=loss)
+            model.temperature = min((2.0**k for k in np.arange(0, 5, 0.25)), key=loss)
             p = model.probabilities(z)
             right = p.argmax(1) == y
             if right.any():
-                model.threshold = min(0.4, float(np.quantile(p.max(1)[right], self.reject)))
+                model.threshold = float(np.quantile(p.max(1)[right], self.reject))
+                model.strange = float(np.quantile([data[i][1] @ rarity[data[i][0]] for i in kept[right]], 1 - self.reject))
         return model
 
     def predict(self, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,12 +214,13 @@ def _name(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nda
         letters = total(ascii_letter) > 0
         for i in np.flatnonzero(~letters & (total(beyond) > 0)).tolist():
             letters[i] = bool(_LETTER.search(column[c.first + i].as_py()))
-        p = model.probabilities(model.logits(c))
+        logits, rarity = model.logits(c)
+        p = model.probabilities(logits)
         best = p.argmax(1)
         top = p[np.arange(c.n), best]
         for i in np.flatnonzero(letters).tolist():
             names[c.first + i] = model.languages[best[i]]
-            score[c.first + i], rejected[c.first + i] = top[i], top[i] < model.threshold
+            score[c.first + i], rejected[c.first + i] = top[i], top[i] < model.threshold or rarity[i] > model.strange
     return names, score, rejected
 
 
