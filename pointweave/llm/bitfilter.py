@@ -7,13 +7,19 @@ holds three bits of each of its keys, hence a probe reads one word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Largest filter: 2**27 bits are 16 MB in each Python worker and 32 MB on the way to the driver.
+from . import blobs
+
+#: Largest filter: 2**27 bits are 16 MB in each Python worker and on the driver.
 MAX_BITS = 27
 BITS_A_KEY = 16
+#: Words of the filter that one task puts together at a time: 64 KB.
+PART = 1 << 13
 
 
 class BitFilter:
@@ -30,12 +36,55 @@ class BitFilter:
 def build(spark: SparkSession, keys: DataFrame, column: str, count: int, max_bits: int = MAX_BITS):
     """Broadcast of a BitFilter over a column of well mixed 64-bit keys; `count` rows are expected.
 
-    What reaches the driver has at most 2**max_bits / 64 rows of two longs, whatever the number of keys.
+    Executors send the bits of keys, part of the filter by part of it, and then whole parts: what
+    reaches the driver is the filter, of 2**max_bits bits at most, whatever the number of keys.
     """
     bits = min(max_bits, max(16, int(max(1, count) * BITS_A_KEY - 1).bit_length()))
-    at = 64 - (bits - 6)
-    mask = f"shiftleft(1L, cast({column} & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned({column}, 6) & 63 as int)) | shiftleft(1L, cast(shiftrightunsigned({column}, 12) & 63 as int))"
-    table = keys.select(F.expr(f"shiftrightunsigned({column}, {at})").alias("w"), F.expr(mask).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    words[table["w"].to_numpy()] = table["m"].to_numpy().astype(np.uint64)
+    size = 1 << (bits - 6)
+    part = min(size, PART)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(_bits_of(batch.column(0).to_numpy().view(np.uint64), bits))
+            n += len(held[-1])
+            if n > 1 << 21:
+                yield from out(held)
+                held, n = [], 0
+        if held:
+            yield from out(held)
+
+    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.unique(np.concatenate(held))
+        yield from blobs.deal(0, ("d8",), (x >> np.uint64(18)).astype(np.int64) // part, x)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words = None, None
+        for bucket, _, (x,), _ in blobs.read(batches, {0: ("d8",)}):
+            if bucket != at:
+                if words is not None:
+                    yield blobs.row(0, [at], [words.tobytes()])
+                at, words = bucket, np.zeros(part, np.uint64)
+            _set(words, x, at * part)
+        if words is not None:
+            yield blobs.row(0, [at], [words.tobytes()])
+
+    table = blobs.gathered(keys.select(column).mapInArrow(send, blobs.SCHEMA)).mapInArrow(gather, blobs.SCHEMA).toArrow()
+    words = np.zeros(size, np.uint64)
+    for bucket, blob in zip(table["bucket"].to_pylist(), table["blob"], strict=True):
+        words[bucket * part : (bucket + 1) * part] = np.frombuffer(blob.as_buffer(), np.uint64)
     return spark.sparkContext.broadcast(BitFilter(words))
+
+
+def _bits_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The word of the filter that a key falls into, above the places of its three bits."""
+    return (keys >> np.uint64(64 - (bits - 6))) << np.uint64(18) | keys & np.uint64((1 << 18) - 1)
+
+
+def _set(words: np.ndarray, x: np.ndarray, first: int) -> None:
+    one, six = np.uint64(1), np.uint64(63)
+    mask = (one << (x & six)) | (one << ((x >> np.uint64(6)) & six)) | (one << ((x >> np.uint64(12)) & six))
+    at = (x >> np.uint64(18)).astype(np.int64) - first
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, np.int64)
+    if len(new):  # x is sorted, so the bits of one word stand together
+        words[at[new]] |= np.bitwise_or.reduceat(mask, new)
