@@ -7,12 +7,15 @@ candidates; each link is then confirmed on the full shingle sets.
 Copies with equal sets are one class and take part once. In each bucket of a band the members
 are held against one pivot (a star, not all pairs), in some rounds with another pivot each, in
 which only members outside the pivot's component still count. Buckets whose members are not yet
-in one component afterwards go through a last pass that compares members of different components
-only, block by block, and tells the links alone.
+in one component afterwards go through a last pass that holds members of different components
+against each other, block by block: first by signatures alone, then the texts of those that may
+have a partner. It tells the links alone.
 
-Defined results: rows without a doc_id are left out; null or empty text, or text without a
-word, has no shingles, is linked with nothing and is kept; a doc_id that occurs in several rows
-is one document (each row is returned); other columns are not read.
+Tables that a hot bucket or pivot meets are written before they are joined, so Spark can split it.
+
+Defined results: rows without a doc_id are left out (keep_one() keeps them); null or empty text, or
+text without a word, has no shingles, is linked with nothing and is kept; a doc_id that occurs in
+several rows is one document (each row is returned); other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,9 +41,9 @@ class MinMaxDedup:
 
     bands * band_values = 2 * permutations. With 24 bands of 4 values, a pair at similarity 0.85
     escapes all bands with probability 2e-8, one at 0.8 with 3e-6. slack: a pair may be left out
-    of the last pass if its signatures agree in less than num/den - slack of their values, which
-    is five standard deviations off. rounds: of stars; star, block: rows that one group of a task
-    holds.
+    of the last pass if its signatures agree in less than num/den - slack of their values; this adds
+    less than 1e-9 to either. Sets are those of 64-bit hashes of shingles, equal sets are told by
+    128 bits. rounds: of stars; star, block: rows that one group of a task holds.
     """
 
     shingle_words: int = 5
@@ -48,10 +51,10 @@ class MinMaxDedup:
     den: int = 100
     permutations: int = 48
     band_values: int = 4
-    slack: float = 0.2
+    slack: float = 0.3
     rounds: int = 3
     star: int = 64
-    block: int = 512
+    block: int = 256
     seed: int = 11
 
     @property
@@ -129,14 +132,14 @@ class MinMaxDedup:
             named, mixed = self._mixed(members, labels, work)
             if mixed.isEmpty():
                 break
-            rows = named.join(mixed, "bucket")
+            rows = work.keep(named.join(mixed, "bucket"), "rows")
             if turn < self.rounds:
                 drawn = F.struct(F.xxhash64("bucket", "class_id", F.lit(turn)).alias("u"), F.col("class_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-                pivots = rows.groupBy("bucket").agg(F.min(drawn).alias("p")).select("bucket", "p.pivot", "p.pivot_n", "p.pivot_label")
+                pivots = work.keep(rows.groupBy("bucket").agg(F.min(drawn).alias("p")).select("bucket", "p.pivot", "p.pivot_n", "p.pivot_label"), "pivots")
                 pairs = rows.join(pivots, "bucket").filter(f"label <> pivot_label and {fits}").select(F.least("pivot", "class_id").alias("a"), F.greatest("pivot", "class_id").alias("b")).distinct()
             else:
                 pairs = None
-            found = self._across(rows, reps, docs, id_col, text_col) if pairs is None else self._confirm(pairs, docs, id_col, text_col, work)
+            found = self._across(rows, reps, docs, id_col, text_col, work) if pairs is None else self._confirm(pairs, docs, id_col, text_col, work)
             more = work.keep(found, "links")
             if not more.isEmpty():
                 labels = components(more, work, labels)
@@ -151,46 +154,59 @@ class MinMaxDedup:
         named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
         named = work.keep(named, "named")
         mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
-        return named, mixed.select("bucket", F.ceil(F.col("m") / self.block).cast("int").alias("blocks"))
+        return named, work.keep(mixed.select("bucket", F.ceil(F.col("m") / self.block).cast("int").alias("blocks")), "mixed")
 
-    def _across(self, rows: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    def _across(self, rows: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFrame:
         """Links (a, b) between different components of one bucket.
 
-        A task gets two blocks of a bucket with their texts, passes pairs over whose signatures leave
-        no chance, and holds the others' full sets against each other; a pair is looked at in the
-        first of the bands that it shares, and no longer once its components are linked there.
+        A task gets two blocks of a bucket: signatures first, which leave few members with a partner
+        they may be linked to, then the texts of these, to hold full sets against each other. A pair
+        is looked at in the first of the bands that it shares, and no longer once its components are
+        linked there.
         """
-        ids = rows.select(F.xxhash64("class_id").alias("k")).distinct()
-        texts = self._texts(docs, bitfilter.build(rows.sparkSession, ids, "k", ids.count()), id_col, text_col).withColumnRenamed("id", "class_id")
-        full = texts.dropDuplicates(["class_id"]).join(reps.select("class_id", "sig"), "class_id")
         own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-        dealt = rows.join(full, "class_id").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "label", "sig", "text")
-        least, num, den, width = (self.num / self.den - self.slack) * 2 * self.permutations, self.num, self.den, 2 * self.permutations
-        bands, values = self.bands, self.band_values
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for key, t in _groups(batches, 3):
-                own, ids, label = (t.column(c).to_numpy() for c in ("own", "class_id", "label"))
-                sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, width)
-                sets = [x for _, part in kernel.text_shingles(t.column("text"), self.shingle_words) for x in part]
-                size = np.array([len(x) for x in sets])
-                left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-                label, links = label.copy(), []
-                for i in left.tolist():
-                    same = sig[i] == sig[right]
-                    ok = (same.sum(1) >= least) & (label[i] != label[right]) & (den * np.minimum(size[i], size[right]) >= num * np.maximum(size[i], size[right]))
-                    ok &= same.reshape(len(right), bands, values).all(2).argmax(1) == t.column("band")[0].as_py()
-                    if key[1] == key[2]:
-                        ok &= ids[i] < ids[right]
-                    for k in right[ok].tolist():
-                        if label[i] != label[k] and _similar(sets[i], sets[k], num, den):
-                            links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
-                            label[label == label[k]] = label[i]
-                a, b = zip(*links, strict=True) if links else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+        full = rows.drop("n").join(reps.select("class_id", "n", "bands", "sig"), "class_id")
+        dealt = full.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "label", "n", "bands", "sig")
+        by_blocks = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        near = work.keep(by_blocks(dealt).mapInArrow(self._with_partners, dealt.schema), "near")
+        ids = near.select(F.xxhash64("class_id").alias("k")).distinct()
+        texts = self._texts(docs, bitfilter.build(rows.sparkSession, ids, "k", ids.count()), id_col, text_col).withColumnRenamed("id", "class_id")
+        return by_blocks(near.join(texts.dropDuplicates(["class_id"]), "class_id").select(*dealt.columns, "text")).mapInArrow(self._compare, "a long, b long").distinct()
+
+    def _partners(self, key: tuple, t: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of block key[1], the rows of block key[2] that its signature leaves it."""
+        own, ids, n = (t.column(c).to_numpy() for c in ("own", "class_id", "n"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(own), -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+        band, least = t.column("band")[0].as_py(), (self.num / self.den - self.slack) * sig.shape[1]
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        for i in left.tolist():
+            k = right[(label[i] != label[right]) & (self.den * np.minimum(n[i], n[right]) >= self.num * np.maximum(n[i], n[right]))]
+            if key[1] == key[2]:
+                k = k[ids[i] < ids[k]]
+            k = k[(sig[i] == sig[k]).sum(1) >= least]
+            yield i, k[(bands[i] == bands[k]).argmax(1) == band]
+
+    def _with_partners(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _groups(batches, 3):
+            some = np.zeros(t.num_rows, bool)
+            for i, k in self._partners(key, t, t.column("label").to_numpy()):
+                some[k] = True
+                some[i] |= len(k) > 0
+            yield from t.filter(pa.array(some)).to_batches()
+
+    def _compare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in _groups(batches, 3):
+            sets = [x for _, part in kernel.text_shingles(t.column("text"), self.shingle_words) for x in part]
+            ids, label, links = t.column("class_id").to_numpy(), t.column("label").to_numpy().copy(), []
+            for i, right in self._partners(key, t, label):
+                for k in right.tolist():
+                    if label[i] != label[k] and _similar(sets[i], sets[k], self.num, self.den):
+                        links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+                        label[label == label[k]] = label[i]
+            a, b = zip(*links, strict=True) if links else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def _texts(self, docs: DataFrame, wanted, id_col: str, text_col: str) -> DataFrame:
         """id and text of the documents that a bit filter lets by."""
@@ -203,10 +219,10 @@ class MinMaxDedup:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("k"))
         wanted = bitfilter.build(pairs.sparkSession, ids, "k", 2 * pairs.count())
         texts = self._texts(docs, wanted, id_col, text_col)
-        sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / self.star).alias("parts"))
+        sizes = work.keep(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / self.star).alias("parts")), "sizes")
         dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
         member = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
-        pivot = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+        pivot = sizes.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
         rows = pivot.unionByName(member).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
         return rows.mapInArrow(self._hold, "a long, b long").distinct()
 
@@ -226,7 +242,7 @@ class MinMaxDedup:
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     def keep_one(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The rows of docs, all columns as they are, without the documents that are near copies of an earlier one."""
+        """The rows of docs, all columns as they are, without the documents that are near copies of an earlier one. Rows without an id stay."""
         spark, columns = docs.sparkSession, docs.columns
         gone = Workspace(spark, "dedup-out").keep(self.components(docs, id_col, text_col).filter("not kept").select("doc_id").distinct(), "gone")
         return without(docs, gone, id_col).select(*columns)
