@@ -117,6 +117,38 @@ def alpha(t, t0, t1, m=Spark):
     return m.when(t0 == t1, 1.0, m.when((t < t0) | (t > t1), 0.0, (t - t0) / m.when(t0 == t1, 1.0, t1 - t0)))
 
 
+def alpha_inside(t: Column, t0: Column, t1: Column) -> Column:
+    """alpha() of a time that has to be inside; another one raises."""
+    return F.when(F.assert_true((t >= t0) & (t <= t1), F.lit("the time is outside of the poses")).isNull(), alpha(t, t0, t1))
+
+
+def middle(a, b, m=Spark):
+    """The pose half way between two."""
+    return interpolate(a, b, 0.5, m)
+
+
+def distances(a, b, c, d, m=Spark) -> dict:
+    """Of two frames, from pose a to b and from c to d: location (of the begins), translation and rotation (of begins and ends together), ego angle (of the second frame). Angles in degrees."""
+    gap = lambda p, q: norm(sub(p[1], q[1]), m)
+    return {"location": gap(a, c), "translation": gap(a, c) + gap(b, d), "rotation": angle_degrees(a[0], c[0], m) + angle_degrees(b[0], d[0], m), "ego": angle_degrees(c[0], d[0], m)}
+
+
+def parameters(pose) -> list:
+    """The 7 numbers of a pose: quaternion, translation."""
+    return [*pose[0], *pose[1]]
+
+
+IDENTITY = (0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0)
+
+
+def random_pose(seed: int, shift: float = 1.0) -> tuple:
+    """A pose drawn on the executors: a uniform rotation and a translation of at most `shift` on each axis."""
+    u, v, w = (F.rand(seed + i) for i in range(3))
+    a, b = F.sqrt(1.0 - u), F.sqrt(u)
+    two = 6.283185307179586
+    return (a * F.sin(v * two), a * F.cos(v * two), b * F.sin(w * two), b * F.cos(w * two)), tuple((F.rand(seed + 3 + i) * 2.0 - 1.0) * shift for i in range(3))
+
+
 # Residuals of a transformed point against a reference, and robust losses of a squared residual.
 def point_to_plane(p, reference, normal):
     return dot(sub(reference, p), normal)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import algebra as A
+
 AXES = ("x", "y", "z")
 #: Lower bound of the range, voxel size; the last bound ends the cloud.
 BANDS = ((0.5, 0.1), (2.0, 0.2), (4.0, 0.4), (8.0, 0.8), (16.0, 1.6))
@@ -33,6 +39,17 @@ def grid_sample(points: DataFrame, size: float, order: list, k: int = 1, cap: in
     return out if cap is None else out.orderBy(*order).limit(cap)
 
 
+def sub_sample(points: DataFrame, size: float, order: list | None = None, seed: int = 0, point_id: str = "point_id") -> DataFrame:
+    """One point of each voxel (voxels are 16-bit numbers): the first one in the given order, or in the order of a hash of the id."""
+    short = points.select("*", *[c.cast("short").alias(n) for c, n in zip(voxel(size), ("vx", "vy", "vz"), strict=True)])
+    return first_in_groups(short, ["vx", "vy", "vz"], order or [F.xxhash64(point_id, F.lit(seed)), point_id], 1)
+
+
+def random_cap(points: DataFrame, n: int, seed: int = 0, point_id: str = "point_id") -> DataFrame:
+    """At most n points, drawn by a hash of the id: the same ones whatever the partitions."""
+    return points.orderBy(F.xxhash64(point_id, F.lit(seed)), point_id).limit(n)
+
+
 def adaptive_sample(points: DataFrame, order: list, k: int = 1) -> DataFrame:
     """grid_sample with a voxel size that grows with the range; points nearer or farther than all bands go."""
     r = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
@@ -68,20 +85,153 @@ def level_for(radius: Column, resolutions: tuple[float, ...]) -> Column:
     return reduce(lambda c, x: F.when(radius >= x[1], F.lit(x[0])).otherwise(c), ordered, F.lit(ordered[0][0]))
 
 
+def nearest_squared(queries: DataFrame, points: DataFrame, k: int, radius: float, **ids: str) -> DataFrame:
+    """The k nearest points of each query whose squared distance is under `radius`."""
+    reach = radius**0.5
+    return nearest(neighbours(queries, points, reach, reach, 1, **ids).filter(F.col("square") < radius), k)
+
+
+@dataclass(frozen=True)
+class Level:
+    """One resolution of a map: size of its voxels, least distance of the points of a voxel, points a voxel holds at most."""
+
+    size: float
+    min_distance: float
+    cap: int
+
+
+#: The usual resolutions.
+LEVELS = (Level(0.2, 0.03, 50), Level(0.5, 0.1, 40), Level(1.5, 0.15, 40))
+_CELL = ["level", "vx", "vy", "vz"]
+
+
+def insert(points: DataFrame, levels: tuple[Level, ...] = LEVELS, order: str = "point_id", existing: DataFrame | None = None) -> DataFrame:
+    """Cells of a map of several levels: level, vx, vy, vz, place, the order column, x, y, z and the other columns of points.
+
+    In order, a point enters its voxel of each level if that has room and no point within the least
+    distance. Points of `existing`, a map of the same columns, are there first. Voxels are read as a
+    sorted stream, in which a task holds one Arrow batch and what it has kept of one voxel.
+    """
+    sizes = F.array(*[F.lit(float(x.size)) for x in levels])
+    rows = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(levels) - 1)))).withColumn("__size", F.get(sizes, F.col("level")))
+    rows = rows.select("*", *voxel(F.col("__size"))).drop("__size")
+    rest = [c for c in rows.columns if c not in (*_CELL, order, *AXES)]
+    rows = rows.select(*_CELL, F.lit(1).alias("place"), order, *AXES, *rest)
+    if existing is not None:
+        rows = existing.select(*_CELL, F.lit(0).alias("place"), order, *AXES, *rest).unionByName(rows)
+    dealt = rows.repartition(*_CELL).sortWithinPartitions(*_CELL, "place", order)
+    return dealt.mapInArrow(lambda b: _keep(b, levels), rows.schema)
+
+
+def _keep(batches: Iterator[pa.RecordBatch], levels: tuple[Level, ...]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        t, cell = _kept(t, levels)
+        last = int(cell[-1])  # the last voxel may go on in the next batch
+        cut = int(np.searchsorted(cell, last))
+        yield from t.slice(0, cut).to_batches()
+        held = t.slice(cut)
+    if held is not None:
+        yield from held.to_batches()
+
+
+def _kept(t: pa.Table, levels: tuple[Level, ...]) -> tuple[pa.Table, np.ndarray]:
+    """Rows that enter, with their place in the voxel, and the number of each row's voxel. In each round every voxel takes its first row that is left."""
+    keys = np.stack([t[c].to_numpy() for c in _CELL])
+    cell = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))))
+    p = np.stack([t[c].to_numpy() for c in AXES], 1)
+    least, cap = np.array([x.min_distance**2 for x in levels])[keys[0]], np.array([x.cap for x in levels])[keys[0]]
+    place, left, turn = np.full(len(cell), -1), np.arange(len(cell)), 0
+    while len(left):
+        new = np.concatenate(([True], cell[left][1:] != cell[left][:-1]))
+        first = left[new]
+        place[first] = turn
+        own = first[np.cumsum(new) - 1]
+        turn += 1
+        left = left[~new & (((p[left] - p[own]) ** 2).sum(1) > least[left]) & (turn < cap[left])]
+    stay = np.flatnonzero(place >= 0)
+    t = t.take(pa.array(stay))
+    return t.set_column(t.schema.get_field_index("place"), t.schema.field("place"), pa.array(place[stay].astype(np.int32))), cell[stay]
+
+
 def insert_greedy(points: DataFrame, size: float, min_distance: float, cap: int, order: str = "point_id") -> DataFrame:
-    """Points of a voxel map: in order, a point enters its voxel if that has room and no point within min_distance.
+    """insert() at one level."""
+    return insert(points.select(order, *AXES), (Level(size, min_distance, cap),), order).drop("level")
+
+
+def block_normals(cells: DataFrame, least: int = 5) -> DataFrame:
+    """cells with nx, ny, nz, the normal of the plane through all points of their voxel (null in voxels of fewer than `least` points)."""
+    shape = shape_features(moments(cells, _CELL, least))
+    return cells.join(shape.select(*_CELL, "nx", "ny", "nz"), _CELL, "left")
 
-    The fold holds at most `cap` points of a voxel; what it reads is the voxel's points in order.
+
+def oriented(points: DataFrame, sensors: DataFrame, keep: int | None = None) -> DataFrame:
+    """points (frame_id, x, y, z, nx, ny, nz) with normals that face the sensor of their frame, and `oriented`.
+
+    sensors: frame_id, sx, sy, sz, where the frame begins. keep: of the last so many frames the
+    sensor is known; points of others keep their normal and aren't oriented.
     """
-    point = F.struct(F.col(order).alias("id"), *AXES)
-    rows = with_voxel(points, size).groupBy("vx", "vy", "vz").agg(F.array_sort(F.collect_list(point)).alias("all"))
+    if keep is not None:
+        sensors = sensors.filter(F.col("frame_id") > F.lit(sensors.agg(F.max("frame_id")).first()[0] or 0) - keep)
+    out = points.join(sensors, "frame_id", "left")
+    known = F.col("sx").isNotNull() & F.col("nx").isNotNull()
+    flip = F.when(known, orient(*[tuple(F.col(f"{n}{a}") for a in AXES) if n else tuple(F.col(a) for a in AXES) for n in ("n", "", "s")])).otherwise(F.lit(1))
+    turned = out.withColumn("__flip", flip).withColumn("oriented", known)
+    return turned.select(*[c for c in points.columns if c not in ("nx", "ny", "nz")], *[(F.col(f"n{a}") * F.col("__flip")).alias(f"n{a}") for a in AXES], "oriented")
+
+
+def visible(points: DataFrame, view: tuple[float, float, float]) -> DataFrame:
+    """Oriented points whose normal faces a place."""
+    side = sum(((F.col(a) - v) * F.col(f"n{a}") for a, v in zip(AXES, view, strict=True)), F.lit(0.0))
+    return points.filter(F.col("oriented") & (side < 0))
+
+
+def radius_search(queries: DataFrame, cells: DataFrame, radius: Column, levels: tuple[Level, ...], k: int, least: int = 1, sensor: tuple[float, float, float] | None = None, query_id: str = "query_id", point_id: str = "point_id") -> DataFrame:
+    """The k nearest cells of each query within its radius, at the level that goes with the radius; queries with fewer than `least` give none.
+
+    A query asks ceil(radius / size) voxels to each side at its level. With a sensor, points whose
+    oriented normal looks away from it, seen from the query, don't count.
+    """
+    sizes = F.array(*[F.lit(float(x.size)) for x in levels])
+    q = queries.select(F.col(query_id).alias("query_id"), *[F.col(a).alias(f"q{a}") for a in AXES], radius.alias("radius"))
+    q = q.withColumn("level", level_for(F.col("radius"), tuple(x.size for x in levels))).withColumn("__size", F.get(sizes, F.col("level")))
+    q = q.withColumn("__reach", F.ceil(F.col("radius") / F.col("__size")).cast("int"))
+    for a in AXES:
+        q = q.withColumn("__d", F.explode(F.sequence(-F.col("__reach"), F.col("__reach")))).withColumn(f"v{a}", (F.col(f"q{a}") / F.col("__size")).cast("int") + F.col("__d")).drop("__d")
+    square = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in AXES), F.lit(0.0))
+    pairs = q.join(cells.withColumnRenamed(point_id, "point_id"), _CELL).withColumn("square", square).filter(F.col("square") <= F.col("radius") * F.col("radius"))
+    if sensor is not None:
+        side = sum(((F.lit(s) - F.col(f"q{a}")) * F.col(f"n{a}") for a, s in zip(AXES, sensor, strict=True)), F.lit(0.0))
+        pairs = pairs.filter(~F.coalesce(F.col("oriented") & (side < 0), F.lit(False)))
+    found = nearest(pairs, k)
+    if least > 1:
+        found = found.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).filter(F.col("__n") >= least).drop("__n")
+    return found.select("query_id", "point_id", "level", "rank", "square")
+
+
+def radius_by_distance(least: float, largest: float, range_at: float, exponent: float) -> Column:
+    """Search radius of a point by its distance from the sensor: from `least` at the sensor to `largest` from `range_at` on."""
+    far = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    share = F.pow(F.least(far, F.lit(float(range_at))) / float(range_at), F.lit(float(exponent)))
+    return share * float(largest) + (F.lit(1.0) - share) * float(least)
 
-    def square(a: Column, b: Column) -> Column:
-        return sum(((a[c] - b[c]) * (a[c] - b[c]) for c in AXES), F.lit(0.0))
 
-    empty = F.expr("cast(array() as array<struct<id: bigint, x: double, y: double, z: double>>)")
-    kept = F.aggregate("all", empty, lambda acc, p: F.when((F.size(acc) < cap) & F.forall(acc, lambda o: square(o, p) > min_distance * min_distance), F.concat(acc, F.array(p))).otherwise(acc))
-    return rows.select("vx", "vy", "vz", F.posexplode(kept).alias("place", "p")).select("vx", "vy", "vz", "place", F.col("p.id").alias(order), "p.x", "p.y", "p.z")
+def lifted(points: DataFrame, above: float = -5.0, degrees: float = 0.205) -> DataFrame:
+    """points above a height turned by an angle about their cross product with the vertical, others moved to the origin; none is dropped.
+
+    The axis (y, -x, 0) is level and normal to the point, so by Rodrigues' formula the turned point
+    is p cos(a) + (axis x p) sin(a); on the vertical there is no axis and the point stays.
+    """
+    c, s = float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))
+    level = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))
+    flat = points.withColumn("__level", level)
+    safe = F.when(F.col("__level") > 0, F.col("__level")).otherwise(F.lit(1.0))
+    # axis x p = (-x z, -y z, x x + y y) / level
+    turned = {"x": F.col("x") * c - F.col("x") * F.col("z") / safe * s, "y": F.col("y") * c - F.col("y") * F.col("z") / safe * s, "z": F.col("z") * c + F.col("__level") * s}
+    return flat.select(*[F.when(F.col("z") <= above, F.lit(0.0)).when(F.col("__level") > 0, turned[n]).otherwise(F.col(n)).alias(n) if n in turned else F.col(n) for n in points.columns])
 
 
 def evict_by_centre(cells: DataFrame, size: float, at: tuple[float, float, float], distance: float) -> DataFrame:
@@ -98,10 +248,38 @@ def evict_by_first(cells: DataFrame, at: tuple[float, float, float], distance: f
 
 
 def moments(points: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
-    """n, mean and population covariance of each group of at least `least` points, in one pre-aggregated pass."""
+    """n, mean and population covariance of each group of at least `least` points, in one pre-aggregated pass that keeps its digits far from the origin."""
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
-    out = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"m{a}") for a in AXES], *[F.avg(F.col(a) * F.col(b)).alias(f"e{a}{b}") for a, b in pairs])
-    return out.filter(F.col("n") >= least).select(*keys, "n", *[f"m{a}" for a in AXES], *[(F.col(f"e{a}{b}") - F.col(f"m{a}") * F.col(f"m{b}")).alias(f"c{a}{b}") for a, b in pairs])
+    out = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"m{a}") for a in AXES], *[(F.var_pop(a) if a == b else F.covar_pop(a, b)).alias(f"c{a}{b}") for a, b in pairs])
+    return out.filter(F.col("n") >= least)
+
+
+def shape_features(m: DataFrame) -> DataFrame:
+    """moments() with s0 >= s1 >= s2 (eigenvalues of the covariance), planarity, linearity, a2d, det, the line lx, ly, lz (axis of s0) and the normal nx, ny, nz (axis of s2).
+
+    All matrices of an Arrow batch are decomposed at once. An axis has its largest component
+    positive. Shares of a covariance of 0 are null.
+    """
+    names = ["s0", "s1", "s2", "planarity", "linearity", "a2d", "det", *[f"l{a}" for a in AXES], *[f"n{a}" for a in AXES]]
+
+    def decompose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {k: batch.column(f"c{k}").to_numpy() for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+            cov = np.stack([np.stack([c["xx"], c["xy"], c["xz"]], 1), np.stack([c["xy"], c["yy"], c["yz"]], 1), np.stack([c["xz"], c["yz"], c["zz"]], 1)], 1)
+            value, axis = np.linalg.eigh(cov)
+            s2, s1, s0 = value.T
+            root = np.sqrt(np.maximum(value, 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shares = [(s1 - s2) / s0, (s0 - s1) / s0, (root[:, 1] - root[:, 0]) / root[:, 2]]
+            vectors = []
+            for v in (axis[:, :, 2], axis[:, :, 0]):
+                big = np.take_along_axis(v, np.abs(v).argmax(1)[:, None], 1)
+                vectors += list((v * np.where(big < 0, -1, 1)).T)
+            out = [s0, s1, s2, *[pa.array(x, mask=~np.isfinite(x)) for x in shares], value.prod(1), *vectors]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x)) for x in out]], names=[*batch.schema.names, *names])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in m.schema.fields] + [f"{n} double" for n in names]
+    return m.mapInArrow(decompose, ", ".join(fields))
 
 
 def eigenvalues(cov: tuple, m) -> tuple:

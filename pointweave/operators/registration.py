@@ -4,40 +4,58 @@ A frame's points are moved by a pose between its begin and its end. Each iterati
 keypoints with planes of a voxel map, gathers the 12x12 normal equations of the point-to-plane
 residuals (plus priors that tie the begin to the last end and keep the velocity) and solves them.
 Frames of a sequence depend on each other, so a sequence is one group; sequences run in parallel.
+All keypoints are searched, and all their neighbourhoods decomposed, in one numpy step.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import io
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-POSES = "seq long, frame_id long, success boolean, keypoints long, residuals long, bqx double, bqy double, bqz double, bqw double, bx double, by double, bz double, eqx double, eqy double, eqz double, eqw double, ex double, ey double, ez double"
+from .clouds import BANDS, FAR
+
+POSES = "seq long, frame_id long, success boolean, keypoints long, residuals long, attempts int, inserted boolean, bqx double, bqy double, bqz double, bqw double, bx double, by double, bz double, eqx double, eqy double, eqz double, eqw double, ex double, ey double, ez double"
 _AROUND = np.array(list(product((-1, 0, 1), repeat=3)))
+#: Voxel numbers are packed into 21 bits each.
+_BITS, _HALF = 21, 1 << 20
 
 
 @dataclass(frozen=True)
 class Options:
+    """sampling: keypoints by `grid`, `adaptive` (voxels that grow with the range) or `none`; start_frames: first frames that take start_iterations.
+
+    insert_shift, insert_turn (degrees): a frame enters the map if the motion since the last one that did reaches either of them; insert_every: or if that many frames came since.
+    """
+
     voxel: float = 1.0
     min_distance: float = 0.1
     cap: int = 20
+    sampling: str = "grid"
     keypoint_voxel: float = 1.5
+    max_keypoints: int = 0
     frame_voxel: float = 0.5
     neighbours: int = 20
     min_neighbours: int = 8
     radius: float = 1.5
     iterations: int = 10
+    start_frames: int = 2
+    start_iterations: int = 15
     max_plane_distance: float = 0.3
     min_residuals: int = 50
     location: float = 0.001
     velocity: float = 0.001
     stop: float = 1e-4
     max_distance: float = 100.0
+    insert_shift: float = 0.0
+    insert_turn: float = 0.0
+    insert_every: int = 0
 
 
 def rotation(v: np.ndarray) -> np.ndarray:
@@ -50,25 +68,38 @@ def rotation(v: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
 
 
-def rotation_vector(r: np.ndarray) -> np.ndarray:
-    angle = np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1))
-    w = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
-    return w / 2 if angle < 1e-9 else w * angle / (2 * np.sin(angle))
+def quaternion(r: np.ndarray) -> list[float]:
+    """Unit quaternion x, y, z, w >= 0 of a rotation matrix, by its largest component: right up to half a turn."""
+    t = np.trace(r)
+    four = np.array([[1 + 2 * r[i, i] - t if i == j else r[i, j] + r[j, i] for j in range(3)] + [r[(i + 2) % 3, (i + 1) % 3] - r[(i + 1) % 3, (i + 2) % 3]] for i in range(3)])
+    four = np.vstack((four, [*four[:, 3], 1 + t]))
+    q = four[np.argmax(np.diag(four))]
+    return (q / np.linalg.norm(q) * (-1 if q[3] < 0 else 1)).tolist()
 
 
-def quaternion(r: np.ndarray) -> list[float]:
-    v = rotation_vector(r)
-    angle = np.linalg.norm(v)
-    axis = v / angle if angle > 1e-12 else v
-    return [*(axis * np.sin(angle / 2)).tolist(), float(np.cos(angle / 2))]
+def rotation_vector(r: np.ndarray) -> np.ndarray:
+    *v, w = quaternion(r)
+    size = np.linalg.norm(v)
+    return 2 * np.array(v) if size < 1e-12 else np.array(v) * (2 * np.arctan2(size, w) / size)
 
 
 def first_per_voxel(points: np.ndarray, size: float) -> np.ndarray:
     """Indices of the first point of each voxel, in order."""
-    _, first = np.unique(np.trunc(points / size).astype(np.int64), axis=0, return_index=True)
+    _, first = np.unique(packed(np.trunc(points / size).astype(np.int64)), return_index=True)
     return np.sort(first)
 
 
+def adaptive_per_voxel(points: np.ndarray) -> np.ndarray:
+    """Indices of the first point of each voxel, of a size that grows with the range; points beyond all bands go."""
+    far, keep = np.linalg.norm(points, axis=1), []
+    bounds = [b for b, _ in BANDS] + [FAR]
+    for (lo, size), hi in zip(BANDS, bounds[1:], strict=True):
+        at = np.flatnonzero((far >= lo) & (far < hi))
+        if len(at):
+            keep.append(at[first_per_voxel(points[at], size)])
+    return np.sort(np.concatenate(keep)) if keep else np.empty(0, np.int64)
+
+
 @dataclass
 class Motion:
     """Begin and end pose of a frame."""
@@ -94,57 +125,161 @@ class Motion:
         return Motion(self.re.copy(), self.te.copy(), turn @ self.re, self.te + (self.te - self.tb))
 
 
+def packed(voxels: np.ndarray) -> np.ndarray:
+    v = voxels + _HALF
+    return (v[..., 0] << 2 * _BITS) | (v[..., 1] << _BITS) | v[..., 2]
+
+
+@dataclass
+class Neighbourhoods:
+    """Of each query: whether it has one, its nearest point, mean and covariance, and the covariance's eigenvalues (ascending) and axes."""
+
+    ok: np.ndarray
+    nearest: np.ndarray
+    mean: np.ndarray
+    cov: np.ndarray
+    value: np.ndarray
+    axes: np.ndarray
+
+    @property
+    def normal(self) -> np.ndarray:
+        return self.axes[:, :, 0]
+
+    @property
+    def flatness(self) -> np.ndarray:
+        root = np.sqrt(np.maximum(self.value, 0))
+        return (root[:, 1] - root[:, 0]) / np.maximum(root[:, 2], 1e-300)
+
+
 class VoxelMap:
+    """Points by voxel: sorted voxel keys, the slot of each, and a table of `cap` places for each slot."""
+
     def __init__(self, o: Options):
-        self.o, self.cells = o, {}
+        self.o = o
+        self.keys, self.slots = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.points, self.count = np.empty((0, o.cap, 3)), np.empty(0, np.int64)
+
+    def __len__(self) -> int:
+        return int(self.count[self.slots].sum())
+
+    def cloud(self) -> np.ndarray:
+        """All points."""
+        p = self.points[self.slots]
+        return p[np.arange(self.o.cap) < self.count[self.slots][:, None]]
+
+    def _voxels(self, points: np.ndarray) -> np.ndarray:
+        return np.trunc(points / self.o.voxel).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of voxel keys, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(keys.shape, -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1)
 
     def insert(self, points: np.ndarray) -> None:
-        o = self.o
-        for key, p in zip(map(tuple, np.trunc(points / o.voxel).astype(np.int64).tolist()), points, strict=True):
-            cell = self.cells.get(key)
-            if cell is None:
-                self.cells[key] = p[None]
-            elif len(cell) < o.cap and (((cell - p) ** 2).sum(1) > o.min_distance**2).all():
-                self.cells[key] = np.vstack((cell, p))
+        """In order, a point enters its voxel if that has room and no point within the least distance: in each round every voxel takes its first point that is left."""
+        o, keys = self.o, packed(self._voxels(points))
+        new = np.setdiff1d(keys, self.keys)
+        if len(new):
+            first = len(self.count)
+            self.points = np.concatenate((self.points, np.zeros((len(new), o.cap, 3))))
+            self.count = np.concatenate((self.count, np.zeros(len(new), np.int64)))
+            keys_all = np.concatenate((self.keys, new))
+            order = np.argsort(keys_all)
+            self.keys, self.slots = keys_all[order], np.concatenate((self.slots, np.arange(first, first + len(new))))[order]
+        slot = self._find(keys)
+        order = np.argsort(slot, kind="stable")
+        p, slot = points[order], slot[order]
+        there = np.arange(o.cap) < self.count[slot][:, None]
+        most = int(self.count[slot].max()) if len(slot) else 0
+        off = self.points[:, :most][slot] - p[:, None]
+        near = (np.einsum("nki,nki->nk", off, off) <= o.min_distance**2) & there[:, :most]
+        left = np.flatnonzero(~near.any(1) & (self.count[slot] < o.cap))
+        while len(left):
+            lead = np.concatenate(([True], slot[left][1:] != slot[left][:-1]))
+            taken = left[lead]
+            self.points[slot[taken], self.count[slot[taken]]] = p[taken]
+            self.count[slot[taken]] += 1
+            own = taken[np.cumsum(lead) - 1]
+            left = left[~lead & (((p[left] - p[own]) ** 2).sum(1) > o.min_distance**2) & (self.count[slot[left]] < o.cap)]
 
     def evict(self, at: np.ndarray) -> None:
-        self.cells = {k: c for k, c in self.cells.items() if ((c[0] - at) ** 2).sum() <= self.o.max_distance**2}
-
-    def plane(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
-        """(nearest point, normal, weight) of the neighbourhood of p."""
-        o = self.o
-        found = [c for k in (np.trunc(p / o.voxel).astype(np.int64) + _AROUND).tolist() if (c := self.cells.get(tuple(k))) is not None]
-        if not found:
-            return None
-        near = np.vstack(found)
-        square = ((near - p) ** 2).sum(1)
-        order = np.argsort(square, kind="stable")[: o.neighbours]
-        order = order[square[order] <= o.radius**2]
-        if len(order) < o.min_neighbours:
-            return None
-        near = near[order]
-        value, vector = np.linalg.eigh(np.cov(near.T, bias=True))
-        value = np.sqrt(np.maximum(value, 0))
-        return (near[0], vector[:, 0], float((value[1] - value[0]) / value[2])) if value[2] > 0 else None
-
-
-def register(points: np.ndarray, alpha: np.ndarray, guess: Motion, last: Motion | None, cells: VoxelMap, o: Options) -> tuple[Motion, int, bool]:
-    """(motion, residuals used, whether there were enough) by Gauss-Newton from a guess."""
+        """Drop voxels whose first point is farther away than the largest distance."""
+        keep = ((self.points[self.slots, 0] - at) ** 2).sum(1) <= self.o.max_distance**2
+        if not keep.all():
+            kept = self.slots[keep]
+            self.keys, self.points, self.count = self.keys[keep], self.points[kept], self.count[kept]
+            self.slots = np.arange(len(kept))
+
+    def around(self, queries: np.ndarray, chunk: int = 1024) -> Neighbourhoods:
+        """The nearest points of each query, of the voxels next to its own."""
+        parts = [self._around(queries[i : i + chunk]) for i in range(0, len(queries), chunk)] or [self._around(queries)]
+        return Neighbourhoods(*[np.concatenate([getattr(x, n) for x in parts]) for n in ("ok", "nearest", "mean", "cov", "value", "axes")])
+
+    def _around(self, queries: np.ndarray) -> Neighbourhoods:
+        o, n = self.o, len(queries)
+        slot = self._find(packed(self._voxels(queries)[:, None] + _AROUND)) if n else np.empty((0, 27), np.int64)
+        if not n or (slot < 0).all():
+            return Neighbourhoods(np.zeros(n, bool), np.zeros((n, 3)), np.zeros((n, 3)), np.zeros((n, 3, 3)), np.zeros((n, 3)), np.zeros((n, 3, 3)))
+        full = slot >= 0  # of the 27 voxels around a query few hold points: those come first
+        order = np.argsort(~full, 1, kind="stable")[:, : int(full.sum(1).max())]
+        slot, full = np.take_along_axis(slot, order, 1), np.take_along_axis(full, order, 1)
+        count = np.where(full, self.count[slot], 0)
+        most = int(count.max())
+        p = self.points[:, :most][slot].reshape(n, -1, 3)
+        off = p - queries[:, None]
+        there = (np.arange(most) < count[..., None]).reshape(n, -1)
+        square = np.where(there, np.einsum("nki,nki->nk", off, off), np.inf)
+        k = min(o.neighbours, square.shape[1])
+        best = np.argpartition(square, k - 1, 1)[:, :k]
+        square, p = np.take_along_axis(square, best, 1), np.take_along_axis(p, best[:, :, None], 1)
+        inside = square <= o.radius**2
+        count = inside.sum(1)
+        weight = inside / np.maximum(count, 1)[:, None]
+        mean = np.einsum("nk,nki->ni", weight, p)
+        off = p - mean[:, None]
+        cov = np.swapaxes(off * weight[:, :, None], 1, 2) @ off
+        value, axes = np.linalg.eigh(cov)
+        nearest = np.take_along_axis(p, square.argmin(1)[:, None, None], 1)[:, 0]
+        return Neighbourhoods((count >= o.min_neighbours) & (value[:, 2] > 0), nearest, mean, cov, value, axes)
+
+    def state(self) -> dict[str, np.ndarray]:
+        return {"keys": self.keys, "points": self.points[self.slots], "count": self.count[self.slots]}
+
+    def restore(self, state: dict[str, np.ndarray]) -> None:
+        self.keys, self.points, self.count = state["keys"], state["points"], state["count"]
+        self.slots = np.arange(len(self.keys))
+
+
+def slopes(points: np.ndarray, alpha: np.ndarray, m: Motion) -> np.ndarray:
+    """Of moved points by the 12 unknowns (begin turn, begin shift, end turn, end shift): n x 3 x 12."""
+    out, b = np.zeros((len(points), 3, 12)), alpha[:, None]
+    for at, r, share in ((0, m.rb, 1 - b), (6, m.re, b)):
+        x, y, z = (points @ r.T * share).T
+        out[:, 0, at + 1], out[:, 0, at + 2] = z, -y
+        out[:, 1, at], out[:, 1, at + 2] = -z, x
+        out[:, 2, at], out[:, 2, at + 1] = y, -x
+        for i in range(3):
+            out[:, i, at + 3 + i] = share[:, 0]
+    return out
+
+
+def register(points: np.ndarray, alpha: np.ndarray, guess: Motion, last: Motion | None, cells: VoxelMap, o: Options, listen: Callable | None = None) -> tuple[Motion, int, bool]:
+    """(motion, residuals used, whether there were enough) by Gauss-Newton from a guess; listen(iteration, motion, residuals) is told of each step."""
     m, used = Motion(guess.rb.copy(), guess.tb.copy(), guess.re.copy(), guess.te.copy()), 0
-    for _ in range(o.iterations):
+    for turn in range(o.iterations):
         world = m.move(points, alpha)
-        rows = []
-        for i, p in enumerate(world):
-            plane = cells.plane(p)
-            if plane and abs((p - plane[0]) @ plane[1]) < o.max_plane_distance:
-                rows.append((i, (p - plane[0]) @ plane[1] * plane[2] ** 2, plane[1] * plane[2] ** 2))
-        used = len(rows)
+        hood = cells.around(world)
+        s = ((world - hood.nearest) * hood.normal).sum(1)
+        at = np.flatnonzero(hood.ok & (np.abs(s) < o.max_plane_distance))
+        used = len(at)
         if used < o.min_residuals:
             return m, used, False
-        at = np.array([r[0] for r in rows])
-        s, n, a = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), alpha[at][:, None]
-        u = np.hstack(((1 - a) * np.cross(points[at] @ m.rb.T, n), (1 - a) * n, a * np.cross(points[at] @ m.re.T, n), a * n))
-        left, right = u.T @ u / used, -(u * s[:, None]).sum(0) / used
+        weight = hood.flatness[at] ** 2
+        n = hood.normal[at] * weight[:, None]
+        u = np.einsum("ni,nij->nj", n, slopes(points[at], alpha[at], m))
+        left, right = u.T @ u / used, -(u * (s[at] * weight)[:, None]).sum(0) / used
         if last is not None:
             left[3:6, 3:6] += o.location * np.eye(3)
             right[3:6] -= o.location * (m.tb - last.te)
@@ -152,72 +287,137 @@ def register(points: np.ndarray, alpha: np.ndarray, guess: Motion, last: Motion
             right[9:] -= o.velocity * ((m.te - m.tb) - (last.te - last.tb))
         x = np.linalg.solve(left + 1e-9 * np.eye(12), right)
         m.rb, m.tb, m.re, m.te = rotation(x[:3]) @ m.rb, m.tb + x[3:6], rotation(x[6:9]) @ m.re, m.te + x[9:]
+        if listen:
+            listen(turn, m, used)
         if np.linalg.norm(x) < o.stop:
             break
     return m, used, True
 
 
-class Odometry:
-    """The state of one sequence: its map and its last motions."""
+def turn_between(a: np.ndarray, b: np.ndarray) -> float:
+    """Degrees between two rotations."""
+    return float(np.degrees(np.linalg.norm(rotation_vector(a.T @ b))))
 
-    def __init__(self, o: Options):
-        self.o, self.cells, self.motions, self.frames = o, VoxelMap(o), [], 0
 
-    def add(self, points: np.ndarray, t: np.ndarray) -> tuple[Motion, int, int, bool]:
-        """Register the next frame: (motion, keypoints, residuals, success). The first two frames are taken as still."""
+@dataclass
+class Registered:
+    """What became of a frame."""
+
+    motion: Motion
+    keypoints: int
+    residuals: int
+    success: bool
+    attempts: int = 1
+    inserted: bool = False
+
+
+class Odometry:
+    """The state of one sequence: its map, its last motion, and what came since a frame last entered the map.
+
+    listeners: called with ("begin" | "step" | "end", details).
+    """
+
+    def __init__(self, o: Options, listeners: tuple[Callable, ...] = ()):
+        self.o, self.listeners = o, listeners
+        self.reset()
+
+    def reset(self) -> None:
+        self.cells, self.last, self.frames, self.level = VoxelMap(self.o), None, 0, 0
+        self.shift = self.turn = 0.0
+        self.skipped = 0
+
+    def tell(self, what: str, **details) -> None:
+        for f in self.listeners:
+            f(what, details)
+
+    def keypoints(self, points: np.ndarray, voxel: float) -> np.ndarray:
+        """Indices of the points that are registered."""
+        if self.o.sampling == "none":
+            keys = np.arange(len(points))
+        elif self.o.sampling == "adaptive":
+            keys = adaptive_per_voxel(points)
+        else:
+            keys = first_per_voxel(points, voxel)
+        if self.o.max_keypoints and self.frames > self.o.start_frames and len(keys) > self.o.max_keypoints:
+            drawn = np.random.Generator(np.random.PCG64(self.frames)).permutation(len(keys))[: self.o.max_keypoints]
+            keys = keys[np.sort(drawn)]
+        return keys
+
+    def add(self, points: np.ndarray, t: np.ndarray, estimate: Motion | None = None) -> Registered:
+        """Register the next frame, from an estimate if one is given. The first two frames are taken as still."""
         o = self.o
         keep = first_per_voxel(points, o.frame_voxel)
         points, t = points[keep], t[keep]
-        span = t.max() - t.min()
+        span = np.ptp(t) if len(t) else 0.0
         alpha = (t - t.min()) / span if span > 0 and self.frames > 1 else np.ones(len(t))
-        last = self.motions[-1] if self.motions else None
-        guess = last.next() if self.frames > 1 else Motion() if last is None else Motion(last.re, last.te, last.re.copy(), last.te.copy())
-        motion, keys, used, good = guess, 0, 0, True
-        if self.frames:
-            motion, keys, used, good = self.solve(points, alpha, guess, last)
+        last = self.last
+        guess = estimate or (Motion() if last is None else last.next() if self.frames > 1 else Motion(last.re, last.te, last.re.copy(), last.te.copy()))
+        self.tell("begin", frame=self.frames, points=len(points))
+        done = self.solve(points, alpha, guess, last) if self.frames else Registered(guess, 0, 0, True)
         self.frames += 1
-        self.motions = [*self.motions[-1:], motion]
-        if good:
-            self.cells.evict(motion.te)
-            self.cells.insert(motion.move(points, alpha))
-        return motion, keys, used, good
-
-    def solve(self, points: np.ndarray, alpha: np.ndarray, guess: Motion, last: Motion | None) -> tuple[Motion, int, int, bool]:
-        """(motion, keypoints, residuals, success) of one frame."""
-        keys = first_per_voxel(points, self.o.keypoint_voxel)
-        motion, used, good = register(points[keys], alpha[keys], guess, last, self.cells, self.o)
-        return motion, len(keys), used, good
-
+        self._track(done, last)
+        if done.success and self._enters():
+            self.cells.evict(done.motion.te)
+            self.cells.insert(done.motion.move(points, alpha))
+            self.shift = self.turn = 0.0
+            self.skipped, done.inserted = 0, True
+        else:
+            self.skipped += 1
+        self.last = done.motion
+        self.tell("end", frame=self.frames - 1, result=done)
+        return done
+
+    def _track(self, done: Registered, last: Motion | None) -> None:
+        if last is not None:
+            self.shift += float(np.linalg.norm(done.motion.te - last.te))
+            self.turn += turn_between(last.re, done.motion.re)
 
-def _frames(seq: int, state: Odometry, pdf: pd.DataFrame) -> Iterator[list]:
+    def _enters(self) -> bool:
+        o = self.o
+        if self.frames <= 2 or not (o.insert_shift or o.insert_turn or o.insert_every):
+            return True
+        return bool(o.insert_shift and self.shift >= o.insert_shift or o.insert_turn and self.turn >= o.insert_turn or o.insert_every and self.skipped + 1 >= o.insert_every)
+
+    def solve(self, points: np.ndarray, alpha: np.ndarray, guess: Motion, last: Motion | None) -> Registered:
+        o = replace(self.o, iterations=self.o.start_iterations) if self.frames <= self.o.start_frames else self.o
+        keys = self.keypoints(points, o.keypoint_voxel)
+        motion, used, good = register(points[keys], alpha[keys], guess, last, self.cells, o, lambda i, m, n: self.tell("step", iteration=i, motion=m, residuals=n))
+        return Registered(motion, len(keys), used, good)
+
+    def state(self) -> bytes:
+        """All that the next frame depends on, as one compressed file of arrays."""
+        m, out = self.last, io.BytesIO()
+        motion = np.concatenate([m.rb, m.tb[None], m.re, m.te[None]]) if m else np.empty((0, 3))
+        np.savez_compressed(out, motion=motion, numbers=np.array([self.frames, self.level, self.skipped, self.shift, self.turn]), **self.cells.state())
+        return out.getvalue()
+
+    def restore(self, state: bytes) -> None:
+        got = np.load(io.BytesIO(state))
+        m = got["motion"]
+        self.last = Motion(m[:3], m[3], m[4:7], m[7]) if len(m) else None
+        frames, level, skipped, self.shift, self.turn = got["numbers"].tolist()
+        self.frames, self.level, self.skipped = int(frames), int(level), int(skipped)
+        self.cells.restore(got)
+
+
+def frame_rows(seq: int, state: Odometry, pdf: pd.DataFrame) -> Iterator[list]:
+    """A row of POSES for each frame, in order of frames."""
     for frame, rows in pdf.sort_values(["frame_id", "point_id"]).groupby("frame_id"):
-        m, keys, used, good = state.add(rows[["x", "y", "z"]].to_numpy(), rows["t"].to_numpy())
-        yield [seq, frame, good, keys, used, *quaternion(m.rb), *m.tb.tolist(), *quaternion(m.re), *m.te.tolist()]
+        r = state.add(rows[["x", "y", "z"]].to_numpy(), rows["t"].to_numpy())
+        m = r.motion
+        yield [seq, frame, r.success, r.keypoints, r.residuals, r.attempts, r.inserted, *quaternion(m.rb), *m.tb.tolist(), *quaternion(m.re), *m.te.tolist()]
 
 
-_NAMES = [c.split()[0] for c in POSES.split(", ")]
+NAMES = [c.split()[0] for c in POSES.split(", ")]
 
 
 def odometry(points: DataFrame, options: Options = Options(), state: type[Odometry] = Odometry) -> DataFrame:
     """POSES of each sequence of points (seq, frame_id, point_id, x, y, z, t). A sequence is registered by one task; `state` solves its frames."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_frames(key[0], state(options), pdf)), columns=_NAMES)
-
-    return points.groupBy("seq").applyInPandas(run, POSES)
-
+        return pd.DataFrame(list(frame_rows(key[0], state(options), pdf)), columns=NAMES)
 
-def stream_odometry(points: DataFrame, options: Options = Options()) -> DataFrame:
-    """odometry() of a stream: frames arrive in order and whole within a batch; a sequence's map and last motions are its state."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = pickle.loads(state.get[0]) if state.exists else Odometry(options)
-        out = list(_frames(key[0], own, pd.concat(list(frames))))
-        state.update((pickle.dumps(own),))
-        yield pd.DataFrame(out, columns=_NAMES)
-
-    return points.groupBy("seq").applyInPandasWithState(run, POSES, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return points.select("seq", "frame_id", "point_id", "x", "y", "z", "t").groupBy("seq").applyInPandas(run, POSES)
 
 
 def procrustes(reference: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,11 +428,9 @@ def procrustes(reference: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, n
     return r, a - r @ b
 
 
-def align(pairs: DataFrame, keys: list[str], left: tuple[str, str, str] = ("x", "y", "z"), right: tuple[str, str, str] = ("gx", "gy", "gz")) -> DataFrame:
-    """For each key the rigid motion of left onto right and its mean error; the 3x3 moments are summed before the shuffle."""
-    from pyspark.sql import functions as F
-
-    sums = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in (*left, *right)], *[F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a in right for b in left]]
+def align(pairs: DataFrame, keys: list[str], left: tuple[str, str, str] = ("x", "y", "z"), right: tuple[str, str, str] = ("gx", "gy", "gz"), more_than: int = 3) -> DataFrame:
+    """For each key of more than `more_than` pairs the rigid motion of left onto right; means and the 3x3 covariance are pre-aggregated before the shuffle."""
+    sums = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in (*left, *right)], *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a in right for b in left]]
     kinds = dict(pairs.dtypes)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,32 +438,33 @@ def align(pairs: DataFrame, keys: list[str], left: tuple[str, str, str] = ("x",
             rows = []
             for r in pdf.to_dict("records"):
                 a, b = np.array([r[f"m_{c}"] for c in right]), np.array([r[f"m_{c}"] for c in left])
-                cov = np.array([[r[f"c_{x}_{y}"] for y in left] for x in right]) - np.outer(a, b)
+                cov = np.array([[r[f"c_{x}_{y}"] for y in left] for x in right])
                 u, _, v = np.linalg.svd(cov)
                 rot = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v))]) @ v
                 rows.append([*[r[k] for k in keys], r["n"], *quaternion(rot), *(a - rot @ b).tolist()])
             yield pd.DataFrame(rows, columns=[*keys, "n", "qx", "qy", "qz", "qw", "x", "y", "z"])
 
-    return pairs.groupBy(*keys).agg(*sums).filter("n > 3").mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, qx double, qy double, qz double, qw double, x double, y double, z double")
+    return pairs.groupBy(*keys).agg(*sums).filter(F.col("n") > more_than).mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, qx double, qy double, qz double, qw double, x double, y double, z double")
 
 
 def geometric_median(points: DataFrame, keys: list[str], iterations: int = 10, tolerance: float = 1e-3) -> DataFrame:
-    """Mean and geometric median (Weiszfeld) of each group."""
-    kinds = dict(points.dtypes)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf[["x", "y", "z"]].to_numpy()
-        mean = at = p.mean(0)
-        for _ in range(iterations):
-            w = 1 / np.maximum(np.linalg.norm(p - at, axis=1), 1e-12)
-            new = (p * w[:, None]).sum(0) / w.sum()
-            done = np.linalg.norm(new - at) < tolerance
-            at = new
-            if done:
-                break
-        return pd.DataFrame([[*key, *mean, *at]], columns=[*keys, "mx", "my", "mz", "x", "y", "z"])
-
-    return points.select(*keys, "x", "y", "z").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", mx double, my double, mz double, x double, y double, z double")
+    """Mean and geometric median (Weiszfeld) of each group.
+
+    Each step is a sum that is pre-aggregated before its shuffle, joined with the centres so far; a
+    group whose centre moves less than the tolerance keeps it.
+    """
+    axes = ("x", "y", "z")
+    points = points.select(*keys, *axes)
+    at = points.groupBy(*keys).agg(*[F.avg(a).alias(f"m{a}") for a in axes]).select("*", *[F.col(f"m{a}").alias(f"c{a}") for a in axes], F.lit(False).alias("done"))
+    kept = [f"{p}{a}" for p in "mc" for a in axes]
+    for _ in range(iterations):
+        apart = F.sqrt(sum(((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in axes), F.lit(0.0)))
+        weighed = points.join(at, keys).withColumn("w", 1.0 / F.greatest(apart, F.lit(1e-12)))
+        new = weighed.groupBy(*keys, *kept, "done").agg(*[(F.sum(F.col(a) * F.col("w")) / F.sum("w")).alias(f"n{a}") for a in axes])
+        shift = F.sqrt(sum(((F.col(f"n{a}") - F.col(f"c{a}")) * (F.col(f"n{a}") - F.col(f"c{a}")) for a in axes), F.lit(0.0)))
+        moved = [F.when(F.col("done"), F.col(f"c{a}")).otherwise(F.col(f"n{a}")).alias(f"c{a}") for a in axes]
+        at = new.select(*keys, *kept[:3], *moved, (F.col("done") | (shift < tolerance)).alias("done"))
+    return at.select(*keys, *kept[:3], *[F.col(f"c{a}").alias(a) for a in axes])
 
 
 def box_scan(seq: int, frame: int, points: int = 3000, half: float = 6.0, speed: float = 0.3, seed: int = 0) -> pd.DataFrame:

@@ -117,6 +117,79 @@ def sensor_frame(points: DataFrame, begin: tuple, end: tuple, seed: int = 0) ->
     return timed.select(*[c for c in timed.columns if c not in ("x", "y", "z")], *[v.alias(a) for v, a in zip(seen, "xyz", strict=True)])
 
 
+def near(points: DataFrame, place: Place, distance: float) -> DataFrame:
+    """Points within a distance of a place."""
+    return points.filter(A.norm(A.sub((F.col("x"), F.col("y"), F.col("z")), place)) <= distance)
+
+
+@dataclass(frozen=True)
+class Acquisition:
+    """A scene and a sensor's path through it. poses: (t, frame number, quaternion, place), in order."""
+
+    shapes: tuple
+    poses: tuple
+    frequency: float = 10.0
+    each: int = 300
+    reach: float = 100.0
+
+    @classmethod
+    def of(cls, tree: dict) -> Acquisition:
+        """From the tree of a scene file: lists of triangles, lines, balls and spheres, the path's poses, frequency, reach and points a shape."""
+        scene = tree.get("acquisition", tree)
+        places = lambda n: tuple(tuple(map(float, p)) for p in n)
+        shapes = [Triangle(*places(n)) for n in scene.get("triangles", [])] + [Line(*places(n)) for n in scene.get("lines", [])]
+        for name, kind in (("balls", Ball), ("spheres", Sphere)):
+            shapes += [kind(tuple(map(float, n["center"])), float(n["radius"])) for n in scene.get(name, [])]
+        path = []
+        for i, n in enumerate(scene.get("poses", [])):
+            frame = int(n.get("dest_frame_id", i))
+            path.append((float(n.get("dest_timestamp", frame)), frame, _unit(np.array(n["quaternion"], float)), tuple(map(float, n["translation"]))))
+        return cls(tuple(shapes), tuple(path), float(tree.get("sample_frequency", 10.0)), int(tree.get("num_points_per_primitives", 300)), float(tree.get("max_lidar_distance", 100.0)))
+
+    def at(self, t: float) -> tuple:
+        """The sensor's pose at a time, as numbers; the first or last one outside of the path."""
+        times = [p[0] for p in self.poses]
+        k = min(max(int(np.searchsorted(times, t, "right")), 1), len(times) - 1)
+        (a, _, q, v), (b, _, r, w) = self.poses[k - 1], self.poses[k]
+        share = min(max((t - a) / (b - a), 0.0), 1.0)
+        q, r = np.array(q), np.array(r)
+        r = -r if q @ r < 0 else r
+        angle = np.arccos(min(1.0, float(q @ r)))
+        turned = q if angle < 1e-9 else (np.sin((1 - share) * angle) * q + np.sin(share * angle) * r) / np.sin(angle)
+        return _unit(turned), tuple((np.array(v) * (1 - share) + np.array(w) * share).tolist())
+
+    def path(self, spark: SparkSession) -> DataFrame:
+        """pose_id, t and the pose at every period of the frequency, from the first to the last pose."""
+        first, last = self.poses[0][0], self.poses[-1][0]
+        rows = []
+        for i in range(int((last - first) * self.frequency + 1e-9) + 1):
+            q, v = self.at(first + i / self.frequency)
+            rows.append((i, first + i / self.frequency, *q, *v))
+        return spark.createDataFrame(rows, "pose_id long, t double, qx double, qy double, qz double, qw double, x double, y double, z double")
+
+    def frame(self, spark: SparkSession, number: int, seed: int = 0) -> DataFrame:
+        """frame_id, point_id, shape, alpha, t, x, y, z of one frame: points near the sensor, as it sees them while it moves for a period."""
+        begin = self.poses[0][0] + number / self.frequency
+        end = begin + 1 / self.frequency
+        a, b = (tuple(tuple(F.lit(x) for x in part) for part in self.at(t)) for t in (begin, end))
+        drawn = near(draw(spark, list(self.shapes), self.each, seed + 1000 * number), self.at(begin)[1], self.reach)
+        seen = sensor_frame(drawn, a, b, seed + 1000 * number + 999)
+        return seen.select(F.lit(number).cast("long").alias("frame_id"), (F.col("shape") * self.each + F.col("point_id")).cast("long").alias("point_id"), "shape", "alpha", (F.lit(begin) + F.col("alpha") / self.frequency).alias("t"), "x", "y", "z")
+
+
+def turned_noise(poses: DataFrame, degrees: float, shift: float, seed: int = 0) -> DataFrame:
+    """poses moved by uniform noise: a turn of at most `degrees` about each axis in turn, a shift of at most `shift` on each."""
+    half = [_draw(seed + i) * float(np.radians(degrees) / 2) for i in range(3)]
+    drawn = poses.withColumns({f"__h{i}": h for i, h in enumerate(half)} | {f"__s{i}": _draw(seed + 3 + i) * shift for i in range(3)})
+    unit = lambda i: tuple(F.sin(f"__h{i}") if j == i else F.lit(0.0) for j in range(3)) + (F.cos(f"__h{i}"),)
+    q = A.multiply(A.multiply(unit(0), unit(1)), unit(2))
+    drawn = drawn.withColumns(dict(zip(("__qx", "__qy", "__qz", "__qw"), q, strict=True)))
+    turn = tuple(F.col(f"__{n}") for n in ("qx", "qy", "qz", "qw")), tuple(F.col(f"__s{i}") for i in range(3))
+    own = tuple(F.col(n) for n in ("qx", "qy", "qz", "qw")), tuple(F.col(a) for a in "xyz")
+    moved = A.compose(turn, own)
+    return drawn.select(*[c for c in poses.columns if c not in ("qx", "qy", "qz", "qw", "x", "y", "z")], *[v.alias(n) for n, v in zip(("qx", "qy", "qz", "qw", "x", "y", "z"), (*moved[0], *moved[1]), strict=True)])
+
+
 def noisy(poses: DataFrame, shift: float, seed: int = 0) -> DataFrame:
     """poses with uniform noise of at most `shift` on each coordinate."""
     return poses.withColumns({a: F.col(a) + _draw(seed + i) * shift for i, a in enumerate("xyz")})

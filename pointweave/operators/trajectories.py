@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +25,55 @@ def columns(p: tuple, prefix: str = "") -> list[Column]:
     return [v.alias(prefix + n) for n, v in zip(("qx", "qy", "qz", "qw", "x", "y", "z"), (*p[0], *p[1]), strict=True)]
 
 
+def _around(truth: DataFrame, queries: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """queries with `below`, the last pose of truth up to their keys, and `above`, the first one from their keys on.
+
+    Two running windows, one in each order, over the two tables together: linear in the poses, no
+    range join, and one shuffle by sequence.
+    """
+    both = queries.withColumn("__truth", F.lit(0)).unionByName(truth.withColumn("__truth", F.lit(1)), allowMissingColumns=True)
+    own = F.when(F.col("__truth") == 1, F.struct(*keys, "pose_id", *POSE))
+    up = Window.partitionBy("seq").orderBy(*keys, F.desc("__truth"), "pose_id")
+    down = Window.partitionBy("seq").orderBy(*[F.desc(k) for k in keys], F.desc("__truth"), F.desc("pose_id"))
+    last = lambda w: F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("below", last(up)).withColumn("above", last(down)).filter("__truth = 0").drop("__truth")
+
+
 def bracket(truth: DataFrame, queries: DataFrame) -> DataFrame:
     """queries with the poses `lo` and `hi` (structs) of truth around their time.
 
-    A pose at the very time is both; before the first pose both are the first, after the last both
-    the last. One window over the two together: no range join, and one shuffle by sequence.
+    A pose at the very time is both (of several the first one); before the first pose both are the
+    first, after the last both the last.
     """
-    both = queries.withColumn("__truth", F.lit(0)).unionByName(truth.withColumn("__truth", F.lit(1)), allowMissingColumns=True)
-    body = F.struct("t", "pose_id", *POSE)
-    own = F.when(F.col("__truth") == 1, body)
-    window = Window.partitionBy("seq").orderBy("t")
-    lo = F.last(own, ignorenulls=True).over(window.rangeBetween(Window.unboundedPreceding, 0))
-    hi = F.first(own, ignorenulls=True).over(window.rangeBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("lo", lo).withColumn("hi", hi).filter("__truth = 0").drop("__truth")
-    hit = F.when(F.col("hi.t") == F.col("t"), F.col("hi")).otherwise(F.coalesce("lo", "hi"))
-    return found.withColumn("lo", hit).withColumn("hi", F.when(F.col("hi.t") == F.col("t"), F.col("hi")).otherwise(F.coalesce("hi", "lo")))
+    found = _around(truth, queries, ("t",))
+    hit = F.col("above.t") == F.col("t")
+    lo = F.when(hit, F.col("above")).otherwise(F.coalesce("below", "above"))
+    return found.withColumn("lo", lo).withColumn("hi", F.when(hit, F.col("above")).otherwise(F.coalesce("above", "below"))).drop("below", "above")
+
+
+def bracket_frames(truth: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries (with frame_id and t) with the poses `lo` and `hi` of truth around them in order of frame, then time.
+
+    hi is the first pose that isn't before the query, lo the one before hi (hi itself where that is
+    the first of its sequence). After the last pose both are the last one if it is of the query's
+    frame, else null.
+    """
+    order = Window.partitionBy("seq").orderBy("frame_id", "t", "pose_id")
+    body = F.struct("frame_id", "t", "pose_id", *POSE)
+    before = truth.select("*", F.coalesce(F.lag(body).over(order), body).alias("before"), F.lead("pose_id").over(order).isNull().alias("is_last"))
+    both = queries.withColumn("__truth", F.lit(0)).unionByName(before.withColumn("__truth", F.lit(1)), allowMissingColumns=True)
+    pair = F.when(F.col("__truth") == 1, F.struct(body.alias("hi"), F.col("before").alias("lo")))
+    final = F.when(F.col("is_last"), body)
+    down = Window.partitionBy("seq").orderBy(F.desc("frame_id"), F.desc("t"), F.desc("__truth"), F.desc("pose_id")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("seq").orderBy("frame_id", "t", F.desc("__truth"), "pose_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("pair", F.last(pair, ignorenulls=True).over(down)).withColumn("end", F.last(final, ignorenulls=True).over(up)).filter("__truth = 0")
+    end = F.when(F.col("end.frame_id") == F.col("frame_id"), F.col("end"))
+    return found.withColumn("lo", F.coalesce("pair.lo", end)).withColumn("hi", F.coalesce("pair.hi", end)).drop("__truth", "before", "is_last", "pair", "end")
+
+
+def window_by_frame(poses: DataFrame, first: int, last: int) -> DataFrame:
+    """Poses of frames first to last, both included."""
+    return poses.filter(F.col("frame_id").between(first, last))
 
 
 def interpolated(found: DataFrame, prefix: str = "i_") -> DataFrame:
@@ -66,38 +102,127 @@ def relative_poses(poses: DataFrame) -> DataFrame:
     return with_next(poses).select("seq", "pose_id", "t", *columns(A.relative(pose(), pose(of="next"))))
 
 
-def chained(motions: DataFrame) -> DataFrame:
-    """Products of all motions up to each, by a fold over the sequence (the product doesn't commute)."""
-    row = F.struct("t", "pose_id", *POSE)
-    start = F.struct(*[F.lit(v).cast("double").alias(n) for n, v in zip(POSE, (0, 0, 0, 0, 0, 0, 1), strict=True)])
-    get = lambda s: (tuple(s[n] for n in ("qx", "qy", "qz", "qw")), tuple(s[n] for n in ("x", "y", "z")))
-    kind = "array<struct<t: double, pose_id: bigint, x: double, y: double, z: double, qx: double, qy: double, qz: double, qw: double>>"
+def _products(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the poses up to each, in log2(n) vectorised steps."""
+    q, v, step = q.copy(), v.copy(), 1
+    while step < len(q):
+        a, u, b, w = q[:-step], v[:-step], q[step:], v[step:]
+        turned = w + 2 * (a[:, 3:] * np.cross(a[:, :3], w) + np.cross(a[:, :3], np.cross(a[:, :3], w)))
+        product = np.hstack((a[:, 3:] * b[:, :3] + b[:, 3:] * a[:, :3] + np.cross(a[:, :3], b[:, :3]), (a[:, 3] * b[:, 3] - (a[:, :3] * b[:, :3]).sum(1))[:, None]))
+        q[step:], v[step:] = product / np.linalg.norm(product, axis=1)[:, None], turned + u
+        step *= 2
+    return q, v
+
 
-    def step(acc: Column, s: Column) -> Column:
-        q, v = A.compose(get(acc["at"]), get(s))
-        at = F.struct(*[c.alias(n) for n, c in zip(POSE, (*v, *q), strict=True)])
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(s["t"].alias("t"), s["pose_id"].alias("pose_id"), *[c.alias(n) for n, c in zip(POSE, (*v, *q), strict=True)]))).alias("out"))
+def _chain(t: pa.Table, order: list[tuple[str, str]], shift: bool = False) -> pa.Table:
+    """t in order, its poses replaced by their products (shift: without the row's own)."""
+    t = t.sort_by(order)
+    q, v = _products(*(np.stack([t[c].to_numpy() for c in names], 1) for names in (POSE[3:], POSE[:3])))
+    if shift:
+        q, v = np.vstack(([[0, 0, 0, 1.0]], q[:-1])), np.vstack(([[0, 0, 0.0]], v[:-1]))
+    for name, x in zip((*POSE[:3], *POSE[3:]), (*v.T, *q.T), strict=True):
+        t = t.set_column(t.schema.get_field_index(name), name, pa.array(np.ascontiguousarray(x)))
+    return t
 
-    fold = F.aggregate("all", F.struct(start.alias("at"), F.expr(f"cast(array() as {kind})").alias("out")), step, lambda acc: acc["out"])
-    return motions.groupBy("seq").agg(F.array_sort(F.collect_list(row)).alias("all")).select("seq", F.explode(fold).alias("p")).select("seq", "p.*")
+
+def chained(motions: DataFrame, block: int = 4096) -> DataFrame:
+    """Products of all motions up to each (they don't commute).
+
+    A sequence is cut into blocks of motions. Products inside a block and products of whole blocks
+    are prefix sums of their own; so a task holds a block, or one row for each block of a sequence.
+    """
+    rows = motions.select("seq", "pose_id", "t", *POSE).withColumn("block", F.floor((F.row_number().over(by()) - 1) / block))
+    inside = rows.groupBy("seq", "block").applyInArrow(lambda t: _chain(t, [("t", "ascending"), ("pose_id", "ascending")]), rows.schema)
+    ends = rows.select(*rows.columns).groupBy("seq", "block").applyInArrow(lambda t: _chain(t, [("t", "ascending"), ("pose_id", "ascending")]).slice(t.num_rows - 1), rows.schema)
+    ahead = ends.groupBy("seq").applyInArrow(lambda t: _chain(t, [("block", "ascending")], True), rows.schema)
+    ahead = ahead.select("seq", "block", *[F.col(n).alias(f"a_{n}") for n in POSE])
+    return inside.join(ahead, ["seq", "block"]).select("seq", "t", "pose_id", *columns(A.compose(pose("a_"), pose())))
 
 
 def segment_errors(poses: DataFrame, lengths: tuple[float, ...], every: int) -> DataFrame:
     """Relative pose errors over segments: from every `every`-th pose to the first one that lies farther along the true path.
 
-    poses carry the estimate in POSE and the truth under the prefix g_. The end of a segment is
-    found by an equi-join on path buckets of the shortest length, not by comparing all poses.
+    poses carry the estimate in POSE and the truth under the prefix g_. Starts and poses meet in one
+    running window for each sequence, from the far end: what a goal has seen last is its segment's
+    end. t_error and r_error (degrees) are per unit of length.
     """
-    along = path_length(poses, "g_", "dist").withColumn("rank", F.row_number().over(by()) - 1)
-    unit = min(lengths)
-    first = along.filter(F.col("rank") % every == 0).withColumn("length", F.explode(F.array(*[F.lit(float(x)) for x in lengths]))).withColumn("goal", F.col("dist") + F.col("length"))
-    # the first pose beyond the goal lies in the least bucket that reaches beyond it
-    tops = along.groupBy("seq", F.floor(F.col("dist") / unit).alias("bucket")).agg(F.max("dist").alias("top"))
-    buckets = tops.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("bucket", "top"))).alias("buckets"))
-    pick = F.filter("buckets", lambda b: b["top"] > F.col("goal"))
-    start = first.join(buckets, "seq").withColumn("bucket", F.get(pick, F.lit(0))["bucket"]).filter("bucket is not null").drop("buckets")
-    end = along.select("seq", F.floor(F.col("dist") / unit).alias("bucket"), F.struct("dist", "rank", *POSE, *[f"g_{n}" for n in POSE]).alias("end"))
-    hits = start.join(end, ["seq", "bucket"]).filter("end.dist > goal").groupBy("seq", "pose_id", "length").agg(F.min_by("end", "end.rank").alias("end"), *[F.first(n).alias(n) for n in (*POSE, *[f"g_{n}" for n in POSE])])
+    both = [*POSE, *[f"g_{n}" for n in POSE]]
+    along = path_length(poses, "g_", "dist").withColumn("rank", F.row_number().over(by()) - 1).select("seq", "pose_id", "dist", "rank", *both)
+    starts = along.filter(F.col("rank") % every == 0).withColumn("length", F.explode(F.array(*[F.lit(float(x)) for x in lengths])))
+    goals = starts.withColumn("at", F.col("dist") + F.col("length")).withColumn("is_end", F.lit(0))
+    ends = along.withColumn("length", F.lit(None).cast("double")).withColumn("at", F.col("dist")).withColumn("is_end", F.lit(1))
+    down = Window.partitionBy("seq").orderBy(F.desc("at"), "is_end", F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.last(F.when(F.col("is_end") == 1, F.struct(*both)), ignorenulls=True).over(down)
+    hits = goals.unionByName(ends).withColumn("end", end).filter("is_end = 0 and end is not null")
     get = lambda pre: (tuple(F.col("end")[pre + n] for n in ("qx", "qy", "qz", "qw")), tuple(F.col("end")[pre + n] for n in ("x", "y", "z")))
-    apart = A.relative(A.relative(pose(), get("")), A.relative(pose("g_"), get("g_")))
-    return hits.select("seq", "pose_id", "length", (A.norm(apart[1]) / F.col("length")).alias("t_error"), (A.angle_degrees(apart[0], (0.0, 0.0, 0.0, F.lit(1.0))) / F.col("length")).alias("r_error"))
+    moved = hits.select("seq", "pose_id", "length", *columns(A.relative(pose(), get("")), "e_"), *columns(A.relative(pose("g_"), get("g_")), "t_"))
+    apart = moved.select("seq", "pose_id", "length", *columns(A.relative(pose("e_"), pose("t_"))))
+    turn = A.angle_degrees(pose()[0], (0.0, 0.0, 0.0, F.lit(1.0)))
+    return apart.select("seq", "pose_id", "length", (A.norm(pose()[1]) / F.col("length")).alias("t_error"), (turn / F.col("length")).alias("r_error"))
+
+
+def mean_segment_error(errors: DataFrame) -> DataFrame:
+    """Of segment_errors(): seq, segments, mean_t (per cent of the length), mean_r (degrees a unit of length)."""
+    return errors.groupBy("seq").agg(F.count(F.lit(1)).alias("segments"), (F.avg("t_error") * 100).alias("mean_t"), F.avg("r_error").alias("mean_r"))
+
+
+def local_errors(poses: DataFrame) -> DataFrame:
+    """Difference of the steps of estimate and truth (prefix g_): seq, n, mean_error, max_error, max_index, the rank of the first pose with the largest."""
+    both = steps(steps(poses, "", "__est"), "g_", "__true").withColumn("rank", F.row_number().over(by()) - 1)
+    each = both.filter("rank > 0").select("seq", "rank", F.abs(F.col("__est") - F.col("__true")).alias("error"))
+    worst = F.max(F.struct("error", (-F.col("rank")).alias("rank")))
+    return each.groupBy("seq").agg((F.count(F.lit(1)) + 1).alias("n"), F.avg("error").alias("mean_error"), F.max("error").alias("max_error"), (-worst["rank"]).cast("long").alias("max_index"))
+
+
+def cut_by_length(poses: DataFrame, length: float, prefix: str = "g_") -> DataFrame:
+    """Segments of the true path: seq, segment, first, last (ranks of poses) and length, each cut at the first pose farther than `length` from the last cut.
+
+    Where a cut falls depends on the one before, so cuts are found in the path lengths of a whole
+    sequence, two numbers a pose, by bisection from cut to cut.
+    """
+    along = path_length(poses, prefix, "dist").withColumn("rank", F.row_number().over(by()) - 1).select("seq", "rank", "dist")
+
+    def cut(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        dist, at, rows = t["dist"].to_numpy(), 0, []
+        while (end := int(np.searchsorted(dist, dist[at] + length, "right"))) < len(dist):
+            rows.append((t["seq"][0].as_py(), len(rows), at, end, float(dist[end] - dist[at])))
+            at = end
+        return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5, pa.schema([("seq", pa.int64()), ("segment", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("length", pa.float64())]))
+
+    return along.select(F.col("seq").cast("long").alias("seq"), F.col("rank").cast("long").alias("rank"), "dist").groupBy("seq").applyInArrow(cut, "seq long, segment long, first long, last long, length double")
+
+
+def aligned_errors(poses: DataFrame, keys: list[str]) -> DataFrame:
+    """Distance `error` of each estimate from the truth (prefix g_) that is moved onto the estimates by the best rigid motion of its group; groups of more than 5 poses."""
+    from .registration import align
+
+    truth, own = tuple(f"g_{a}" for a in "xyz"), tuple("xyz")
+    motion = align(poses, keys, truth, own, 5)
+    motion = motion.select(*keys, *[F.col(n).alias(f"m_{n}") for n in POSE])
+    moved = poses.join(motion, keys).withColumn("error", A.norm(A.sub(A.transform(pose("m_"), tuple(F.col(c) for c in truth)), tuple(F.col(c) for c in own))))
+    return moved.drop(*[f"m_{n}" for n in POSE])
+
+
+def trajectory_metrics(poses: DataFrame, segment_length: float = 10.0) -> DataFrame:
+    """seq, total_distance, mean_ate, max_ate, max_ate_index, segments, segment_mean_ate and its mean ratio to the segment's length.
+
+    Errors after a rigid alignment of the whole sequence, and the largest error of each segment
+    after an alignment of that segment; segments of five poses or fewer don't count.
+    """
+    along = path_length(poses, "g_", "dist").withColumn("rank", (F.row_number().over(by()) - 1).cast("long"))
+    whole = aligned_errors(along, ["seq"])
+    worst = F.max(F.struct("error", (-F.col("rank")).alias("rank")))
+    of_all = whole.groupBy("seq").agg(F.max("dist").alias("total_distance"), F.avg("error").alias("mean_ate"), F.max("error").alias("max_ate"), (-worst["rank"]).alias("max_ate_index"))
+    cuts = cut_by_length(poses, segment_length)
+    # a pose at a cut is in two segments; segments and poses meet in one running window
+    body = F.struct("segment", "first", "last", "length")
+    spans = cuts.select("seq", F.col("first").alias("rank"), body.alias("span"), F.lit(0).alias("is_pose"))
+    meet = along.withColumn("is_pose", F.lit(1)).unionByName(spans, allowMissingColumns=True)
+    found = meet.withColumn("span", F.last("span", ignorenulls=True).over(Window.partitionBy("seq").orderBy("rank", "is_pose").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = found.filter("is_pose = 1 and span is not null and rank <= span.last").select(*along.columns, "span.segment", "span.length")
+    shared = along.join(cuts.select("seq", F.col("last").alias("rank"), "segment", "length"), ["seq", "rank"]).select(*along.columns, "segment", "length")
+    parts = inside.unionByName(shared).distinct()
+    each = aligned_errors(parts, ["seq", "segment"]).groupBy("seq", "segment").agg(F.max("error").alias("worst"), F.max("length").alias("length"))
+    of_parts = each.groupBy("seq").agg(F.count(F.lit(1)).alias("segments"), F.avg("worst").alias("segment_mean_ate"), F.avg(F.col("worst") / F.col("length")).alias("segment_mean_ate_ratio"))
+    return of_all.join(of_parts, "seq", "left")

@@ -7,17 +7,29 @@ clouds. All floating columns are rounded to 6 digits.
 
 from __future__ import annotations
 
+import math
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
+from ..functions import schema as H
 from ..operators import clouds as C
+from ..operators import frames as M
 from ..operators import registration as R
 from ..operators import scenes as S
 from ..operators import solvers as L
 from ..operators import trajectories as T
+from ..sources import files as IO
+from ..sources import messages as N
+from ..streaming import odometry as Live
 from .sql import Duck, Sql, listed, pose, vec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,7 +105,7 @@ _SQUARE = "((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z)
 _PAIRS = f"{VECTORS}, pairs AS (SELECT q.point_id AS query_id, p.point_id, {_SQUARE} AS square FROM points q JOIN points p ON {_SQUARE} <= 0.2 * 0.2)"
 
 
-def cloud_pairs(spark: SparkSession, d: str, radius: float | Column = 0.2, size: float = 0.1, reach: int = 2) -> DataFrame:
+def cloud_pairs(spark: SparkSession, d: str, radius: float | Column = 0.2, size: float = 0.2, reach: int = 1) -> DataFrame:
     p = vector_points(spark, d)
     return C.neighbours(p, p, radius, size, reach, "point_id").select("query_id", "point_id", "square")
 
@@ -145,10 +157,53 @@ def frame_info(spark, d):
     return trajectory(spark, d).groupBy("seq").agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"), F.min("pose_id").alias("first_id"), F.max("pose_id").alias("last_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {POSES}, gaps AS (SELECT seq, pose_id, t - lag(t) OVER (PARTITION BY seq ORDER BY t, pose_id) AS gap FROM poses) SELECT seq, pose_id, round(gap, 6) + 0.0 AS gap, coalesce(gap / 40000.0 BETWEEN 0.95 AND 1.05, true) AS fits FROM gaps")
+def framed(spark: SparkSession, d: str, shift: float = 0.0) -> DataFrame:
+    """trajectory() with a day's number as frame_id; shift: seconds by which days begin earlier."""
+    return trajectory(spark, d).withColumn("frame_id", F.floor((F.col("t") + shift) / 86400).cast("long"))
+
+
+_DAY = "CAST(floor((t + {0}) / 86400) AS BIGINT)"
+
+
+@query(f"""WITH {POSES}, truth AS (SELECT *, {_DAY.format(0)} AS frame_id, row_number() OVER (PARTITION BY seq ORDER BY {_DAY.format(0)}, t, pose_id) AS r, count(*) OVER (PARTITION BY seq) AS c FROM poses WHERE kind = 'view'),
+asked AS (SELECT seq, pose_id, t, {_DAY.format(40000)} AS frame_id FROM poses WHERE kind <> 'view'),
+found AS (SELECT q.seq, q.pose_id, q.frame_id, min(p.r) AS hi FROM asked q LEFT JOIN truth p ON p.seq = q.seq AND (p.frame_id > q.frame_id OR (p.frame_id = q.frame_id AND p.t >= q.t)) GROUP BY ALL)
+SELECT f.seq, f.pose_id, f.frame_id, CASE WHEN f.hi IS NOT NULL THEN l.pose_id WHEN e.frame_id = f.frame_id THEN e.pose_id END AS lo_id, CASE WHEN f.hi IS NOT NULL THEN h.pose_id WHEN e.frame_id = f.frame_id THEN e.pose_id END AS hi_id
+FROM found f LEFT JOIN truth h ON h.seq = f.seq AND h.r = f.hi LEFT JOIN truth l ON l.seq = f.seq AND l.r = greatest(f.hi - 1, 1) LEFT JOIN truth e ON e.seq = f.seq AND e.r = e.c""")
+def traj_bracket_frame(spark, d):
+    truth, asked = framed(spark, d).filter("kind = 'view'").drop("kind"), framed(spark, d, 40000).filter("kind <> 'view'").drop("kind")
+    return T.bracket_frames(truth, asked).select("seq", "pose_id", "frame_id", F.col("lo.pose_id").alias("lo_id"), F.col("hi.pose_id").alias("hi_id"))
+
+
+@query(f"WITH {POSES} SELECT seq, pose_id FROM poses WHERE {_DAY.format(0)} BETWEEN 19730 AND 19735")
+def traj_window_frame(spark, d):
+    return T.window_by_frame(framed(spark, d), 19730, 19735).select("seq", "pose_id")
+
+
+_FRAMES = f"{POSES}, frames AS (SELECT seq, {_DAY.format(0)} AS frame_id, min(t) AS t_min, max(t) AS t_max, count(*) AS n FROM poses GROUP BY ALL)"
+
+
+@query(f"""WITH {_FRAMES}, u AS (SELECT *, row_number() OVER w = 1 OR (t_max - t_min) / 60000.0 BETWEEN 0.5 AND 1.5 AS used FROM frames WINDOW w AS (PARTITION BY seq ORDER BY frame_id)),
+g AS (SELECT *, max(CASE WHEN used THEN t_max END) OVER (PARTITION BY seq ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u)
+SELECT seq, frame_id, n, used, used AND coalesce(abs(t_min - before) > 60000, false) AS gap FROM g""")
 def frame_consistency(spark, d):
-    gaps = trajectory(spark, d).select("seq", "pose_id", (F.col("t") - F.lag("t").over(T.by())).alias("gap"))
-    return rounded(gaps.withColumn("fits", F.coalesce((F.col("gap") / 40000.0).between(0.95, 1.05), F.lit(True))), gap="gap")
+    return M.checked(M.extent(framed(spark, d), ["seq", "frame_id"]), 60000.0, 0.5).select("seq", "frame_id", "n", "used", "gap")
+
+
+@query(f"WITH {_FRAMES} SELECT seq, frame_id, CAST(sum(n) OVER (PARTITION BY seq ORDER BY frame_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM frames")
+def frame_queue(spark, d):
+    return M.queue(M.extent(framed(spark, d), ["seq", "frame_id"]), 5, F.sum("n")).select("seq", "frame_id", "recent")
+
+
+@query(f"WITH {POSES} SELECT kind, count(*) AS n, round(sum(x), 4) + 0.0 AS total, round(avg(x), 6) + 0.0 AS mean, max(x) AS longest FROM poses GROUP BY kind")
+def frame_durations(spark, d):
+    ticks = trajectory(spark, d).select("kind", F.col("x").alias("seconds"))
+    return M.durations(ticks, ["kind"]).select("kind", "n", (F.round("total", 4) + 0.0).alias("total"), (F.round("mean", 6) + 0.0).alias("mean"), "longest")
+
+
+@query(f"WITH {POSES}, ends AS (SELECT seq, {_DAY.format(0)} AS frame_id, min(t) AS a, max(t) AS b FROM poses GROUP BY ALL) SELECT p.seq, p.pose_id, round(CASE WHEN b > a THEN (t - a) / (b - a) ELSE 1.0 END, 6) + 0.0 AS alpha FROM poses p JOIN ends e ON e.seq = p.seq AND e.frame_id = {_DAY.format(0)}")
+def frame_shares(spark, d):
+    return rounded(M.with_share(framed(spark, d), ["seq", "frame_id"]).select("seq", "pose_id", "alpha"), alpha="alpha")
 
 
 @query(f"WITH {POSES}, seen AS (SELECT seq, t, lag(t) OVER (PARTITION BY seq ORDER BY pose_id) AS before FROM poses) SELECT seq, count(*) AS n, count(*) FILTER (before > t) AS disorders FROM seen GROUP BY seq")
@@ -182,17 +237,75 @@ _two_poses("se3_inverse", lambda a, b, m: _dict(A.inverse(a)))
 _two_poses("se3_apply", lambda a, b, m: dict(zip("xyz", A.transform(a, b[1]), strict=True)))
 _two_poses("se3_angular_distance", lambda a, b, m: {"degrees": A.angle_degrees(a[0], b[0], m), "distance": A.norm(A.sub(a[1], b[1]), m)})
 _two_poses("se3_slerp", lambda a, b, m: _dict(A.interpolate(a, b, 0.25, m)))
-_two_poses("frame_deltas", lambda a, b, m: {"distance": A.norm(A.relative(a, b, m)[1], m), "orientation": A.angle_degrees(a[0], b[0], m)})
-_two_poses("constant_velocity_prediction", lambda a, b, m: _dict(A.compose(b, A.relative(a, b, m), m)))
 _two_poses("motion_gate", lambda a, b, m: {"excess": A.norm(A.sub(a[1], b[1]), m) - 0.3, "turn": A.angle_degrees(a[0], b[0], m) - 15.0})
-_two_poses("distort_frame", lambda a, b, m: dict(zip("xyz", A.transform(A.inverse(b), A.transform(A.interpolate(a, b, 0.5, m), a[1])), strict=True)))
 _two_poses("traj_change_reference", lambda a, b, m: _dict(A.compose(A.inverse(((0.0, 0.6, 0.0, 0.8), (1.0, 2.0, 3.0))), a, m)))
 _NORMAL = (0.6, 0.0, 0.8)
 _two_poses("res_plane", lambda a, b, m: {"residual": A.point_to_plane(A.transform(a, (1.0, 2.0, 3.0)), b[1], _NORMAL)})
 _two_poses("res_point", lambda a, b, m: dict(zip("xyz", A.sub(A.transform(a, (1.0, 2.0, 3.0)), b[1]), strict=True)))
 _two_poses("res_line", lambda a, b, m: {"residual": A.point_to_line(A.transform(a, (1.0, 2.0, 3.0)), b[1], _NORMAL, m)})
 _two_poses("res_distribution", lambda a, b, m: {"residual": A.point_to_distribution(A.transform(a, (1.0, 2.0, 3.0)), b[1], (1.0, 0.2, 0.1, 2.0, 0.3, 1.5), m)})
-_two_poses("res_ct_plane", lambda a, b, m: {"residual": A.point_to_plane(A.transform(A.interpolate(a, b, 0.3, m), (1.0, 2.0, 3.0)), b[1], _NORMAL)})
+
+_STEP = A.relative(pose(), pose("n_"), Duck)
+
+
+@query(f"WITH {_NEXT} SELECT seq, pose_id, {listed(_dict(A.compose(pose('n_'), _STEP, Duck)))} FROM nexts")
+def constant_velocity_prediction(spark, d):
+    p = M.predicted(M.with_pairs(trajectory(spark, d).drop("kind"))).select("seq", "pose_id", *[F.col(f"p_{n}").alias(n) for n in NAMES])
+    return rounded(p, **{n: n for n in NAMES})
+
+
+def _lagged(p: str) -> tuple:
+    return vec(f"l_{p}", ("qx", "qy", "qz", "qw")), vec(f"l_{p}")
+
+
+_LAST = f"{_NEXT}, ends AS (SELECT *, {', '.join(f'lag(n_{n}) OVER (PARTITION BY seq ORDER BY t, pose_id) AS l_{n}' for n in NAMES)} FROM nexts)"
+_DELTAS = {
+    "distance_correction": A.norm(A.sub(pose()[1], _lagged("")[1]), Duck), "relative_orientation": A.angle_degrees(_lagged("")[0], pose("n_")[0], Duck),
+    "relative_distance": A.norm(A.sub(pose("n_")[1], _lagged("")[1]), Duck), "ego_orientation": A.angle_degrees(pose()[0], pose("n_")[0], Duck),
+}
+
+
+@query(f"WITH {_LAST} SELECT seq, pose_id, {listed({k: f'coalesce({v}, 0)' for k, v in _DELTAS.items()})} FROM ends")
+def frame_deltas(spark, d):
+    return rounded(M.deltas(M.with_pairs(trajectory(spark, d).drop("kind"))), **{k: k for k in _DELTAS})
+
+
+def _pairs_with_point(spark, d) -> DataFrame:
+    """Pairs of poses that carry a point: its place is that of the first pose, its share of the frame 0.3."""
+    return M.with_pairs(trajectory(spark, d).drop("kind")).select("*", *[F.col(f"b_{a}").alias(a) for a in "xyz"], F.lit(0.3).alias("alpha"))
+
+
+_AT = A.interpolate(pose(), pose("n_"), 0.3, Duck)
+_SEEN = f"{_NEXT}, seen AS (SELECT *, {', '.join(f'{v} AS w_{a}' for a, v in zip('xyz', A.transform(_AT, pose()[1]), strict=True))} FROM nexts)"
+
+
+@query(f"WITH {_SEEN} SELECT seq, pose_id, {listed(dict(zip('xyz', A.transform(A.inverse(pose('n_')), vec('w_')), strict=True)))} FROM seen")
+def distort_frame(spark, d):
+    return rounded(M.undistorted(_pairs_with_point(spark, d)).select("seq", "pose_id", "x", "y", "z"), x="x", y="y", z="z")
+
+
+def _ct(kind: str, of: Callable) -> None:
+    def run(spark, d):
+        p = _pairs_with_point(spark, d).select("*", *[F.col(f"e_{a}").alias(f"r{a}") for a in "xyz"], *[F.lit(v).alias(f"n{a}") for a, v in zip("xyz", _NORMAL, strict=True)], *[F.lit(v).alias(f"c{k}") for k, v in zip(("xx", "xy", "xz", "yy", "yz", "zz"), _CT_COV, strict=True)])
+        return rounded(M.continuous_residuals(p, kind).select("seq", "pose_id", "residual"), residual="residual")
+
+    run.__name__ = f"res_ct_{kind}"
+    query(f"WITH {_SEEN} SELECT seq, pose_id, {listed({'residual': of(vec('w_'), vec('n_'))})} FROM seen")(run)
+
+
+_CT_COV = (1.0, 0.2, 0.1, 2.0, 0.3, 1.5)
+_ct("plane", lambda p, r: A.point_to_plane(p, r, _NORMAL))
+_ct("line", lambda p, r: A.point_to_line(p, r, _NORMAL, Duck))
+_ct("point", lambda p, r: A.norm(A.sub(p, r), Duck))
+_ct("distribution", lambda p, r: A.point_to_distribution(p, r, _CT_COV, Duck))
+
+
+@query(f"WITH {INTERPOLATED} SELECT seq, pose_id, {listed({f'w{a}': v for a, v in zip('xyz', A.transform(pose('i_'), vec()), strict=True)})} FROM interpolated")
+def raw_to_world(spark, d):
+    p = trajectory(spark, d)
+    points = p.filter("kind <> 'view'").select("seq", "t", "pose_id", "x", "y", "z")
+    return rounded(M.raw_to_world(points, p.filter("kind = 'view'").drop("kind")).select("seq", "pose_id", "wx", "wy", "wz"), wx="wx", wy="wy", wz="wz")
+
 
 _FIRST = f"{POSES}, seen AS (SELECT *, {', '.join(f'first_value({n}) OVER w AS f_{n}' for n in NAMES)}, row_number() OVER w AS r FROM poses WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id))"
 
@@ -217,16 +330,99 @@ def eval_ape(spark, d):
     return rounded(e.groupBy("seq").agg(F.avg("ape").alias("mean_ape"), F.max("ape").alias("max_ape")), mean_ape="mean_ape", max_ape="max_ape")
 
 
-_REL = A.relative(A.relative(pose("s."), pose("e."), Duck), A.relative(pose("s.i_"), pose("e.i_"), Duck), Duck)
+def estimates_with_truth(spark, d) -> DataFrame:
+    """Estimated poses with the interpolated truth under the prefix g_."""
+    return T.interpolated(queries_with_truth(spark, d)).select("seq", "t", "pose_id", *T.POSE, *[F.col(f"i_{n}").alias(f"g_{n}") for n in T.POSE])
+
+
+def _moved_by(prefix: str) -> str:
+    return str(A.norm(tuple(Sql(f"({prefix}{a} - lag({prefix}{a}) OVER w)") for a in "xyz"), Duck))
+
 
+@query(f"""WITH {INTERPOLATED}, e AS (SELECT seq, row_number() OVER w - 1 AS rank, abs({_moved_by("")} - {_moved_by("i_")}) AS error FROM interpolated WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id))
+SELECT seq, count(*) + 1 AS n, round(avg(error), 6) + 0.0 AS mean_error, round(max(error), 6) + 0.0 AS max_error, arg_max(rank, error) AS max_index FROM e WHERE rank > 0 GROUP BY seq""")
+def eval_local_error(spark, d):
+    return rounded(T.local_errors(estimates_with_truth(spark, d)), mean_error="mean_error", max_error="max_error")
 
-@query(f"""WITH {INTERPOLATED}, st AS (SELECT *, coalesce({A.norm(tuple(Sql(f'(i_{a} - lag(i_{a}) OVER w)') for a in 'xyz'), Duck)}, 0) AS step, row_number() OVER w - 1 AS rank FROM interpolated WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)),
+
+_REL = A.relative(A.relative(pose("s."), pose("e."), Duck), A.relative(pose("s.i_"), pose("e.i_"), Duck), Duck)
+_SEGMENTS = f"""{INTERPOLATED}, st AS (SELECT *, coalesce({_moved_by("i_")}, 0) AS step, row_number() OVER w - 1 AS rank FROM interpolated WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)),
 along AS (SELECT *, sum(step) OVER (PARTITION BY seq ORDER BY t, pose_id ROWS UNBOUNDED PRECEDING) AS dist FROM st),
-goals AS (SELECT s.seq, s.pose_id, s.rank, len AS length, min(e.rank) AS last FROM along s CROSS JOIN (VALUES (500.0), (1000.0), (2000.0)) AS l(len) JOIN along e ON e.seq = s.seq AND e.dist > s.dist + len WHERE s.rank % 10 = 0 GROUP BY ALL)
-SELECT g.seq, g.pose_id, round(CAST(g.length AS DOUBLE), 6) + 0.0 AS length, round({A.norm(_REL[1], Duck)} / g.length, 6) + 0.0 AS t_error FROM goals g JOIN along s ON s.seq = g.seq AND s.rank = g.rank JOIN along e ON e.seq = g.seq AND e.rank = g.last""")
+goals AS (SELECT s.seq, s.pose_id, s.rank, len AS length, min(e.rank) AS last FROM along s CROSS JOIN (VALUES (500.0), (1000.0), (2000.0)) AS l(len) JOIN along e ON e.seq = s.seq AND e.dist > s.dist + len WHERE s.rank % 10 = 0 GROUP BY ALL),
+errors AS (SELECT g.seq, g.pose_id, CAST(g.length AS DOUBLE) AS length, {A.norm(_REL[1], Duck)} / g.length AS t_error, {A.angle_degrees(_REL[0], (0.0, 0.0, 0.0, 1.0), Duck)} / g.length AS r_error FROM goals g JOIN along s ON s.seq = g.seq AND s.rank = g.rank JOIN along e ON e.seq = g.seq AND e.rank = g.last)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT seq, pose_id, round(length, 6) + 0.0 AS length, round(t_error, 6) + 0.0 AS t_error, round(r_error, 6) + 0.0 AS r_error FROM errors")
 def eval_rpe(spark, d):
-    at = T.interpolated(queries_with_truth(spark, d)).select("seq", "t", "pose_id", *T.POSE, *[F.col(f"i_{n}").alias(f"g_{n}") for n in T.POSE])
-    return rounded(T.segment_errors(at, (500.0, 1000.0, 2000.0), 10).select("seq", "pose_id", "length", "t_error"), length="length", t_error="t_error")
+    errors = T.segment_errors(estimates_with_truth(spark, d), (500.0, 1000.0, 2000.0), 10)
+    return rounded(errors.select("seq", "pose_id", "length", "t_error", "r_error"), length="length", t_error="t_error", r_error="r_error")
+
+
+@query(f"WITH {_SEGMENTS} SELECT seq, count(*) AS segments, round(100 * avg(t_error), 4) + 0.0 AS mean_t, round(avg(r_error), 5) + 0.0 AS mean_r FROM errors GROUP BY seq")
+def eval_mean_rpe(spark, d):
+    m = T.mean_segment_error(T.segment_errors(estimates_with_truth(spark, d), (500.0, 1000.0, 2000.0), 10))
+    return m.select("seq", "segments", (F.round("mean_t", 4) + 0.0).alias("mean_t"), (F.round("mean_r", 5) + 0.0).alias("mean_r"))
+
+
+# The best rotation of pairs (g onto the estimate) as a unit quaternion: the first axis of a symmetric 4x4 matrix of
+# their covariances, which the SQL finds by squaring that matrix again and again.
+_K = {(i, j): f"k{min(i, j)}{max(i, j)}" for i in range(4) for j in range(4)}
+_ENTRIES = sorted(set(_K.values()))
+_TRACE = "(" + " + ".join(f"abs({_K[i, j]})" for i in range(4) for j in range(4)) + ")"
+_SQUARED = ", ".join(f"({' + '.join(f'{_K[i, k]} * {_K[k, j]}' for k in range(4))}) / power({_TRACE}, 2) AS {_K[i, j]}" for i in range(4) for j in range(i, 4))
+_HORN = {
+    "k00": "sxx + syy + szz", "k01": "syz - szy", "k02": "szx - sxz", "k03": "sxy - syx", "k11": "sxx - syy - szz", "k12": "sxy + syx", "k13": "szx + sxz",
+    "k22": "syy - sxx - szz", "k23": "syz + szy", "k33": "szz - sxx - syy",
+}
+
+
+def _aligned(to: str, frm: str) -> str:
+    """CTE `motion`: seq, n, unit quaternion and shift that take columns `frm` onto columns `to`, of groups of interpolated."""
+    sums = ", ".join(f"covar_pop({frm}{a}, {to}{b}) AS s{a}{b}" for a in "xyz" for b in "xyz")
+    means = ", ".join(f"avg({p}{a}) AS {n}{a}" for n, p in (("t", to), ("f", frm)) for a in "xyz")
+    columns = [tuple(Sql(_K[i, c]) for i in (1, 2, 3, 0)) for c in range(4)]
+    largest = "greatest(k00, k11, k22, k33)"
+    pick = [f"CASE WHEN k00 = {largest} THEN {columns[0][i]} WHEN k11 = {largest} THEN {columns[1][i]} WHEN k22 = {largest} THEN {columns[2][i]} ELSE {columns[3][i]} END AS u{i}" for i in range(4)]
+    unit = ", ".join(f"u{i} / sqrt(u0 * u0 + u1 * u1 + u2 * u2 + u3 * u3) * CASE WHEN u3 < 0 THEN -1 ELSE 1 END AS {n}" for i, n in enumerate(NAMES[:4]))
+    turned = A.rotate(pose()[0], vec("f"))
+    shift = ", ".join(f"t{a} - {v} AS {a}" for a, v in zip("xyz", turned, strict=True))
+    return f"""sums AS (SELECT seq, count(*) AS n, {means}, {sums} FROM interpolated GROUP BY seq),
+horn AS (SELECT seq, 0 AS i, {', '.join(f'{v} AS {k}' for k, v in _HORN.items())} FROM sums),
+lifted AS (SELECT seq, i, {', '.join(f"{k} + {_TRACE if k[1] == k[2] else '0'} AS {k}" for k in _HORN)} FROM horn),
+powers AS (SELECT * FROM lifted UNION ALL SELECT seq, i + 1, {_SQUARED} FROM powers WHERE i < 30),
+axes AS (SELECT seq, {', '.join(pick)} FROM powers WHERE i = 30),
+turns AS (SELECT s.*, {unit} FROM axes x JOIN sums s ON s.seq = x.seq),
+motion AS (SELECT seq, n, qx, qy, qz, qw, {shift} FROM turns)"""
+
+
+#: A half turn has two quaternions, so motions are compared by where they take three points.
+_PROBES = ((0.0, 0.0, 0.0), (1.0, 2.0, 3.0), (-2.0, 5.0, 1.0))
+
+
+def _probed(p: tuple) -> dict:
+    return {f"{a}{i}": v for i, probe in enumerate(_PROBES) for a, v in zip("xyz", A.transform(p, probe), strict=True)}
+
+
+@query(f"WITH RECURSIVE {INTERPOLATED}, {_aligned('i_', '')} SELECT seq, n, {', '.join(f'round({v}, 4) + 0.0 AS {k}' for k, v in _probed(pose()).items())} FROM motion WHERE n > 3")
+def procrustes(spark, d):
+    at = T.interpolated(queries_with_truth(spark, d)).select("seq", "x", "y", "z", *[F.col(f"i_{a}").alias(f"g{a}") for a in C.AXES])
+    motions = R.align(at, ["seq"])
+    return motions.select("seq", "n", *[(F.round(v, 4) + 0.0).alias(k) for k, v in _probed(T.pose()).items()])
+
+
+_MOVED_TRUTH = A.norm(A.sub(A.transform(pose("m."), vec("p.i_")), vec("p.")), Duck)
+
+
+@query(f"""WITH RECURSIVE {INTERPOLATED}, {_aligned('', 'i_')}, e AS (SELECT p.seq, row_number() OVER (PARTITION BY p.seq ORDER BY t, pose_id) - 1 AS rank, {_MOVED_TRUTH} AS error FROM interpolated p JOIN motion m ON m.seq = p.seq WHERE n > 5)
+SELECT seq, round(avg(error), 4) + 0.0 AS mean_ate, round(max(error), 4) + 0.0 AS max_ate, arg_max(rank, error) AS max_ate_index FROM e GROUP BY seq""")
+def eval_ate(spark, d):
+    m = T.trajectory_metrics(estimates_with_truth(spark, d), 500.0)
+    return m.select("seq", (F.round("mean_ate", 4) + 0.0).alias("mean_ate"), (F.round("max_ate", 4) + 0.0).alias("max_ate"), "max_ate_index")
+
+
+@query()
+def eval_ate_segments(spark, d):
+    return T.trajectory_metrics(estimates_with_truth(spark, d), 500.0)
 
 
 # --- clouds -------------------------------------------------------------------------------------
@@ -260,20 +456,32 @@ def grid_sample_cap(spark, d):
 _SIZE = "CASE " + " ".join(f"WHEN r >= {b} THEN {s}" for b, s in reversed(C.BANDS)) + " END"
 
 
+@query(_sampled(1, 2.0).replace(" AS INT)", " AS SMALLINT)"))
+def frame_subsample(spark, d):
+    return C.sub_sample(line_points(spark, d), 2.0, LINE_KEY).select(*_SAMPLE)
+
+
 @query(f"WITH {LINE}, g AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM points), s AS (SELECT *, {_SIZE} AS size FROM g WHERE r >= {C.BANDS[0][0]} AND r < {C.FAR}), v AS (SELECT *, {_vox('size')} FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY size, vx, vy, vz ORDER BY {_KEY}) AS k FROM v) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(size AS DOUBLE) AS size FROM o WHERE k = 1")
 def adaptive_sample(spark, d):
     return C.adaptive_sample(line_points(spark, d), LINE_KEY).select(*_SAMPLE[:4], "size")
 
 
-@query(f"WITH {LINE} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {listed({'x': 'x * 0.999993598 + 0.00357792 * z', 'y': 'y'})} FROM points WHERE z > 5")
-def rotated_filter(spark, d):
-    p = line_points(spark, d).filter("z > 5")
-    return rounded(p.select(*_SAMPLE[:4], (F.col("x") * 0.999993598 + F.lit(0.00357792) * F.col("z")).alias("x"), "y"), x="x", y="y")
+_C, _S = math.cos(math.radians(0.205)), math.sin(math.radians(0.205))
+_ALONG = "(kx * x + ky * y)"
+_TURNED = {"x": f"x * {_C!r} + ky * z * {_S!r} + kx * {_ALONG} * (1 - {_C!r})", "y": f"y * {_C!r} - kx * z * {_S!r} + ky * {_ALONG} * (1 - {_C!r})", "z": f"z * {_C!r} + (kx * y - ky * x) * {_S!r}"}
+
+
+@query(f"""WITH {LINE}, low AS (SELECT * REPLACE (z - 7 AS z) FROM points), k AS (SELECT *, y / sqrt(x * x + y * y) AS kx, -x / sqrt(x * x + y * y) AS ky FROM low)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {listed({a: f'CASE WHEN z > -5 THEN {v} ELSE 0 END' for a, v in _TURNED.items()})} FROM k""")
+def kitti_filter(spark, d):
+    low = line_points(spark, d).withColumn("z", F.col("z") - 7)
+    return rounded(C.lifted(low).select(*_SAMPLE[:4], "x", "y", "z"), x="x", y="y", z="z")
 
 
 _COV = tuple(Sql(f"c{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
-_MOMENTS = f"""{LINE}, v AS (SELECT *, {_vox(8)} FROM points), e AS (SELECT vx, vy, vz, count(*) AS n, {", ".join(f"avg({a}) AS m{a}" for a in C.AXES)}, {", ".join(f"avg({a} * {b}) AS e{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM v GROUP BY vx, vy, vz),
-m AS (SELECT vx, vy, vz, n, mx, my, mz, {", ".join(f"e{a}{b} - m{a} * m{b} AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM e WHERE n >= 5)"""
+_PAIRED = ("xx", "xy", "xz", "yy", "yz", "zz")
+_OWN = ", ".join(f"avg({a}) AS m{a}" for a in C.AXES) + ", " + ", ".join(f"covar_pop({a}, {b}) AS c{a}{b}" for a, b in _PAIRED)
+_MOMENTS = f"{LINE}, v AS (SELECT *, {_vox(8)} FROM points), m AS (SELECT vx, vy, vz, count(*) AS n, {_OWN} FROM v GROUP BY vx, vy, vz HAVING count(*) >= 5)"
 _MOMENT_NAMES = ["mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz"]
 
 
@@ -283,23 +491,46 @@ def voxel_moments(spark, d):
 
 
 _EIGEN = C.eigenvalues(_COV, Duck)
-_SHAPE = f"{_MOMENTS}, s AS (SELECT vx, vy, vz, {_EIGEN[0]} AS s0, {_EIGEN[1]} AS s1, {_EIGEN[2]} AS s2 FROM m)"
+_DET = "cxx * (cyy * czz - cyz * cyz) - cxy * (cxy * czz - cyz * cxz) + cxz * (cxy * cyz - cyy * cxz)"
+
+
+def _shape_sql(table: str, name: str) -> str:
+    """CTE `name`: table with s0, s1, s2 and the axis of s2 (nx, ny, nz), of which the largest component is positive."""
+    d = {k: f"(c{k} - s2)" if k[0] == k[1] else f"c{k}" for k in _PAIRED}
+    rows = [vec("", (d["xx"], d["xy"], d["xz"])), vec("", (d["xy"], d["yy"], d["yz"])), vec("", (d["xz"], d["yz"], d["zz"]))]
+    crossed = [A.cross(rows[p], rows[q]) for p, q in ((0, 1), (0, 2), (1, 2))]
+    named = ", ".join(f"{v} AS v{i}{a}" for i, c in enumerate(crossed) for a, v in zip("xyz", c, strict=True))
+    size = [f"(v{i}x * v{i}x + v{i}y * v{i}y + v{i}z * v{i}z)" for i in range(3)]
+    best = ", ".join(f"CASE WHEN {size[0]} >= {size[1]} AND {size[0]} >= {size[2]} THEN v0{a} WHEN {size[1]} >= {size[2]} THEN v1{a} ELSE v2{a} END AS b{a}" for a in "xyz")
+    sign = "CASE WHEN abs(bx) >= abs(by_) AND abs(bx) >= abs(bz) THEN sign(bx) WHEN abs(by_) >= abs(bz) THEN sign(by_) ELSE sign(bz) END"
+    unit = ", ".join(f"{b} / nullif(sqrt(bx * bx + by_ * by_ + bz * bz), 0) * {sign} AS n{a}" for a, b in zip("xyz", ("bx", "by_", "bz"), strict=True))
+    return f"""{name}_s AS (SELECT *, {_EIGEN[0]} AS s0, {_EIGEN[1]} AS s1, {_EIGEN[2]} AS s2 FROM {table}), {name}_v AS (SELECT *, {named} FROM {name}_s),
+{name}_b AS (SELECT *, {best.replace(' AS by', ' AS by_')} FROM {name}_v), {name} AS (SELECT *, {unit} FROM {name}_b)"""
+
+
+_SHAPE = f"{_MOMENTS}, {_shape_sql('m', 's')}"
 
 
 def _shapes(spark, d) -> DataFrame:
-    m = C.moments(C.with_voxel(line_points(spark, d), 8.0), ["vx", "vy", "vz"])
-    values = C.eigenvalues(tuple(F.col(str(c)) for c in _COV), A.Spark)
-    return m.select("vx", "vy", "vz", *[v.alias(f"s{i}") for i, v in enumerate(values)])
+    return C.shape_features(C.moments(C.with_voxel(line_points(spark, d), 8.0), ["vx", "vy", "vz"]))
+
+
+_FEATURES = {"s0": "s0", "planarity": "(s1 - s2) / s0", "linearity": "(s0 - s1) / s0", "a2d": "(sqrt(greatest(s1, 0)) - sqrt(greatest(s2, 0))) / sqrt(s0)", "det": _DET}
 
 
-@query(f"WITH {_SHAPE} SELECT vx, vy, vz, round(s0, 4) + 0.0 AS s0, round((s1 - s2) / s0, 4) + 0.0 AS planarity, round((s0 - s1) / s0, 4) + 0.0 AS linearity FROM s WHERE s0 > 0.001")
+@query(f"WITH {_SHAPE} SELECT vx, vy, vz, {', '.join(f'round({v}, 4) + 0.0 AS {k}' for k, v in _FEATURES.items())} FROM s WHERE s0 > 0.001")
 def voxel_shape_features(spark, d):
-    return _shapes(spark, d).filter("s0 > 0.001").select("vx", "vy", "vz", (F.round("s0", 4) + 0.0).alias("s0"), *[(F.round(F.expr(e), 4) + 0.0).alias(n) for n, e in (("planarity", "(s1 - s2) / s0"), ("linearity", "(s0 - s1) / s0"))])
+    return _shapes(spark, d).filter("s0 > 0.001").select("vx", "vy", "vz", *[(F.round(n, 4) + 0.0).alias(n) for n in _FEATURES])
+
+
+@query(f"WITH {_SHAPE} SELECT vx, vy, vz, round(nx, 4) + 0.0 AS nx, round(ny, 4) + 0.0 AS ny, round(nz, 4) + 0.0 AS nz FROM s WHERE s0 > 0.001 AND s1 - s2 > 0.01 * s0")
+def voxel_normals(spark, d):
+    return _shapes(spark, d).filter("s0 > 0.001 and s1 - s2 > 0.01 * s0").select("vx", "vy", "vz", *[(F.round(n, 4) + 0.0).alias(n) for n in ("nx", "ny", "nz")])
 
 
 @query(f"WITH {_SHAPE} SELECT CASE WHEN (s0 - s1) / s0 >= 0.8 THEN 'LINEAR' WHEN (s1 - s2) / s0 >= 0.8 THEN 'PLANAR' ELSE 'VOLUMIC' END AS class, count(*) AS n FROM s WHERE s0 > 0.001 GROUP BY 1")
 def voxel_class(spark, d):
-    kind = F.when(F.expr("(s0 - s1) / s0 >= 0.8"), "LINEAR").when(F.expr("(s1 - s2) / s0 >= 0.8"), "PLANAR").otherwise("VOLUMIC")
+    kind = F.when(F.col("linearity") >= 0.8, "LINEAR").when(F.col("planarity") >= 0.8, "PLANAR").otherwise("VOLUMIC")
     return _shapes(spark, d).filter("s0 > 0.001").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -320,10 +551,40 @@ def cast_columns(spark, d):
     return line_points(spark, d).filter("x = floor(x)").select("l_orderkey", F.col("x").cast("int").alias("xi"), F.col("z").cast("float").alias("zf"), F.col("l_linenumber").cast("double").alias("ld"))
 
 
-@query(f"WITH {VECTORS}, ids AS (SELECT unnest([3, 1, 4, 1, 5]) AS point_id) SELECT i.point_id, frame_id, {listed({a: a for a in C.AXES})} FROM ids i JOIN points p ON p.point_id = i.point_id")
+@query(f"WITH {VECTORS}, ids AS (SELECT unnest([3, 1, 4, 1, 5]) AS point_id, unnest([0, 1, 2, 3, 4]) AS place) SELECT place, i.point_id, frame_id, {listed({a: a for a in C.AXES})} FROM ids i JOIN points p ON p.point_id = i.point_id")
 def select_points(spark, d):
-    ids = spark.createDataFrame([(i,) for i in (3, 1, 4, 1, 5)], "point_id int")
-    return rounded(ids.join(vector_points(spark, d), "point_id").select("point_id", "frame_id", *C.AXES), x="x", y="y", z="z")
+    return rounded(H.selected(vector_points(spark, d), [3, 1, 4, 1, 5]).select("place", "point_id", "frame_id", *C.AXES), x="x", y="y", z="z")
+
+
+@query(f"WITH {VECTORS} SELECT point_id, CAST(frame_id AS BIGINT) AS frame_id, round(z / 10, 6) + 0.0 AS t, {listed({'x': 'x', 'y': 'y', 'z': 'z', 'wx': 'x', 'wy': 'y', 'wz': 'z'})}, 7.0::DOUBLE AS weight FROM points")
+def canonical_cloud(spark, d):
+    raw = vector_points(spark, d).select(F.col("point_id").alias("Index"), F.col("frame_id").alias("index_frame"), (F.col("z") / 10).alias("timestamp"), F.col("x").alias("raw_x"), F.col("y").alias("raw_y"), F.col("z").alias("raw_z"))
+    out = H.added(H.canonical(raw), "weight", 7.0)
+    return rounded(out, **{c: c for c in ("t", "x", "y", "z", "wx", "wy", "wz")})
+
+
+@query(f"WITH {VECTORS} SELECT point_id, round(y, 6) + 0.0 AS x, round(z, 6) + 0.0 AS y, round(x, 6) + 0.0 AS z, CAST(x * 100 AS FLOAT) AS f FROM points")
+def mapped_columns(spark, d):
+    p = vector_points(spark, d)
+    turned = H.removed(H.with_xyz(p.withColumnsRenamed({"x": "a", "y": "b", "z": "c"}), "b", "c", "a"), "frame_id")
+    beside = H.beside(turned, H.mapped(p.select("point_id", (F.col("x") * 100).alias("v")), {"point_id": ("point_id", "long"), "f": ("v", "float")}))
+    return rounded(beside, x="x", y="y", z="z").select("point_id", "x", "y", "z", "f")
+
+
+@query(f"WITH {VECTORS} SELECT CAST(floor(x * 10) AS BIGINT) AS cell, bool_or(frame_id = 3) AS has_frame FROM points GROUP BY 1")
+def frame_flags(spark, d):
+    return H.has_frame(vector_points(spark, d).withColumn("cell", F.floor(F.col("x") * 10)), ["cell"], 3)
+
+
+@query(f"""WITH {POSES}, o AS (SELECT *, {_DAY.format(0)} % 3 AS frame_id FROM poses), s AS (SELECT seq, kind, coalesce(t < lag(t) OVER (PARTITION BY seq ORDER BY frame_id, t, pose_id), false) AS late FROM o)
+SELECT seq, count(*) AS n, count(DISTINCT kind) <= 1 AS one_reference, count(*) FILTER (late) AS late FROM s GROUP BY seq""")
+def pose_order(spark, d):
+    return H.in_order(framed(spark, d).withColumn("frame_id", F.col("frame_id") % 3).withColumn("ref_frame", F.col("kind")))
+
+
+@query(f"WITH {POSES} SELECT pose_id, round(CASE WHEN t * 1000 < 1e11 THEN t * 1000 WHEN t * 1000 < 1e14 THEN t ELSE t END, 3) + 0.0 AS t FROM poses")
+def time_units(spark, d):
+    return trajectory(spark, d).select("pose_id", (F.round(H.seconds(F.col("t") * 1000, "auto"), 3) + 0.0).alias("t"))
 
 
 @query(f"WITH {VECTORS} SELECT cloud, count(*) AS n FROM (SELECT 'a' AS cloud FROM points UNION ALL SELECT 'b' FROM points WHERE x > 0) GROUP BY cloud")
@@ -353,15 +614,22 @@ def multires_level(spark, d):
     return vector_points(spark, d).select("point_id", C.level_for(r, (0.1, 0.2, 0.4)).alias("level"))
 
 
-_RADIUS = "(0.05 + 0.1 * least(sqrt({0}x * {0}x + {0}y * {0}y + {0}z * {0}z), 1.0))"
+_FAR = "least(sqrt({0}x * {0}x + {0}y * {0}y + {0}z * {0}z), 0.8)"
+_RADIUS = f"(power({_FAR} / 0.8, 1.5) * 0.2 + (1 - power({_FAR} / 0.8, 1.5)) * 0.05)"
 
 
 @query(f"WITH {VECTORS}, pairs AS (SELECT q.point_id AS query_id, p.point_id, {_SQUARE} AS square FROM points q JOIN points p ON {_SQUARE} <= {_RADIUS.format('q.')} * {_RADIUS.format('q.')}) SELECT query_id, count(*) AS n, round(max(square), 6) + 0.0 AS far FROM pairs GROUP BY query_id")
 def distance_radius_knn(spark, d):
-    pairs = cloud_pairs(spark, d, F.expr(_RADIUS.format("")), 0.1, 2)
+    pairs = cloud_pairs(spark, d, C.radius_by_distance(0.05, 0.2, 0.8, 1.5))
     return rounded(pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("far")), far="far")
 
 
+@query(f"WITH {VECTORS}, pairs AS (SELECT q.point_id AS query_id, p.point_id, {_SQUARE} AS square FROM points q JOIN points p ON {_SQUARE} < 0.02), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY square, point_id) AS rank FROM pairs) SELECT query_id, point_id, CAST(rank AS INT) AS rank, round(square, 6) + 0.0 AS square FROM r WHERE rank <= 4")
+def knn_squared_radius(spark, d):
+    p = vector_points(spark, d)
+    return rounded(C.nearest_squared(p, p, 4, 0.02, query_id="point_id"), square="square").select("query_id", "point_id", "rank", "square")
+
+
 _GREEDY = f"""{VECTORS}, v AS (SELECT *, {_vox(0.2)} FROM points), g AS (SELECT vx, vy, vz, list(struct_pack(id := point_id, x := x, y := y, z := z) ORDER BY point_id) AS l FROM v GROUP BY vx, vy, vz),
 f AS (SELECT vx, vy, vz, list_reduce(list_transform(l, lambda p: [p]), lambda acc, p: CASE WHEN len(acc) < 8 AND len(list_filter(acc, lambda o: (o.x - p[1].x) * (o.x - p[1].x) + (o.y - p[1].y) * (o.y - p[1].y) + (o.z - p[1].z) * (o.z - p[1].z) <= 0.03 * 0.03)) = 0 THEN list_concat(acc, p) ELSE acc END) AS kept FROM g),
 cells AS (SELECT vx, vy, vz, u.id AS point_id, u.x AS x, u.y AS y, u.z AS z FROM (SELECT vx, vy, vz, unnest(kept) AS u FROM f))"""
@@ -391,33 +659,91 @@ def map_evict_first(spark, d):
     return C.evict_by_first(_cells(spark, d), (0.0, 0.0, 0.0), 0.2).select("vx", "vy", "vz", "point_id")
 
 
-@query(f"WITH {VECTORS} SELECT point_id, CASE WHEN (x - 1) * y + (y - 2) * z + (z - 3) * x > 0 THEN -1 ELSE 1 END AS flip FROM points")
+RESOLUTIONS = (C.Level(0.2, 0.03, 8), C.Level(0.4, 0.05, 12), C.Level(0.8, 0.1, 16))
+_LEVELS = ", ".join(f"({i}, {x.size}, {x.min_distance}, {x.cap})" for i, x in enumerate(RESOLUTIONS))
+_MAP = f"""{VECTORS}, v AS (SELECT points.*, level, d, cap, {_vox('size')} FROM points CROSS JOIN (VALUES {_LEVELS}) AS l(level, size, d, cap)),
+g AS (SELECT level, vx, vy, vz, d, cap, list(struct_pack(id := point_id, f := frame_id, x := x, y := y, z := z) ORDER BY point_id) AS l FROM v GROUP BY ALL),
+f AS (SELECT level, vx, vy, vz, list_reduce(list_transform(l, lambda p: [p]), lambda acc, p: CASE WHEN len(acc) < cap AND len(list_filter(acc, lambda o: (o.x - p[1].x) * (o.x - p[1].x) + (o.y - p[1].y) * (o.y - p[1].y) + (o.z - p[1].z) * (o.z - p[1].z) <= d * d)) = 0 THEN list_concat(acc, p) ELSE acc END) AS kept FROM g),
+cells AS (SELECT level, vx, vy, vz, u.id AS point_id, u.f AS frame_id, u.x AS x, u.y AS y, u.z AS z FROM (SELECT level, vx, vy, vz, unnest(kept) AS u FROM f))"""
+
+
+def _map(spark, d) -> DataFrame:
+    return C.insert(vector_points(spark, d), RESOLUTIONS)
+
+
+@query(f"WITH {_MAP} SELECT level, vx, vy, vz, point_id FROM cells")
+def map_insert_multires(spark, d):
+    return _map(spark, d).select("level", "vx", "vy", "vz", "point_id")
+
+
+@query(f"WITH {_MAP} SELECT point_id, {listed({a: a for a in C.AXES})} FROM cells WHERE level = 1")
+def map_export(spark, d):
+    return rounded(_map(spark, d).filter("level = 1").select("point_id", "x", "y", "z"), x="x", y="y", z="z")
+
+
+# The sensors of frames are known where the frame's number isn't a multiple of three.
+_SENSOR = {"sx": "frame_id * 0.1 - 0.3", "sy": "0.2", "sz": "frame_id * 0.05 - 0.1"}
+_ORIENTED = f"""{_MAP}, b AS (SELECT level, vx, vy, vz, count(*) AS n, {_OWN} FROM cells GROUP BY level, vx, vy, vz HAVING count(*) >= 5), {_shape_sql('b', 'w')},
+sensors AS (SELECT DISTINCT frame_id, {', '.join(f'{v} AS {k}' for k, v in _SENSOR.items())} FROM points WHERE frame_id % 3 <> 0),
+posed AS (SELECT c.*, w.nx, w.ny, w.nz, sx IS NOT NULL AND nx IS NOT NULL AS oriented, CASE WHEN sx IS NOT NULL AND (x - sx) * nx + (y - sy) * ny + (z - sz) * nz > 0 THEN -1 ELSE 1 END AS flip
+  FROM cells c LEFT JOIN w ON w.level = c.level AND w.vx = c.vx AND w.vy = c.vy AND w.vz = c.vz LEFT JOIN sensors s ON s.frame_id = c.frame_id),
+faced AS (SELECT * REPLACE (nx * flip AS nx, ny * flip AS ny, nz * flip AS nz) FROM posed)"""
+
+
+def _oriented(spark, d) -> DataFrame:
+    sensors = vector_points(spark, d).filter("frame_id % 3 <> 0").select("frame_id").distinct().select("frame_id", *[F.expr(v).cast("double").alias(k) for k, v in _SENSOR.items()])
+    return C.oriented(C.block_normals(_map(spark, d)), sensors)
+
+
+@query(f"WITH {_ORIENTED} SELECT level, vx, vy, vz, point_id, oriented, {', '.join(f'round({n}, 4) + 0.0 AS {n}' for n in ('nx', 'ny', 'nz'))} FROM faced")
 def map_orient_normals(spark, d):
-    p = vector_points(spark, d)
-    return p.select("point_id", C.orient((F.col("y"), F.col("z"), F.col("x")), tuple(F.col(a) for a in C.AXES), (1.0, 2.0, 3.0)).alias("flip"))
+    return _oriented(spark, d).select("level", "vx", "vy", "vz", "point_id", "oriented", *[(F.round(n, 4) + 0.0).alias(n) for n in ("nx", "ny", "nz")])
 
 
-@query(f"WITH {VECTORS} SELECT p.point_id, frame_id FROM points p WHERE (x - 1) * y + (y - 2) * z + (z - 3) * x < 0")
+@query(f"WITH {_ORIENTED} SELECT level, point_id, frame_id FROM faced WHERE oriented AND (x - 0.1) * nx + (y - 0.2) * ny + (z + 0.3) * nz < 0")
 def visible_points(spark, d):
-    p = vector_points(spark, d).withColumn("flip", C.orient((F.col("y"), F.col("z"), F.col("x")), tuple(F.col(a) for a in C.AXES), (1.0, 2.0, 3.0)))
-    return p.filter(F.expr("(x - 1) * y + (y - 2) * z + (z - 3) * x < 0")).select("point_id", "frame_id")
+    return C.visible(_oriented(spark, d), (0.1, 0.2, -0.3)).select("level", "point_id", "frame_id")
+
 
+def _searched(k: int, least: int) -> str:
+    level = " ".join(f"WHEN r >= {x.size} THEN {i}" for i, x in reversed(list(enumerate(RESOLUTIONS))))
+    return f"""q AS (SELECT *, CASE {level} ELSE 0 END AS l FROM (SELECT point_id AS query_id, x, y, z, {_WIDE} AS r FROM points)),
+pairs AS (SELECT query_id, p.point_id, p.level, {_SQUARE} AS square FROM q JOIN faced p ON p.level = q.l AND {_SQUARE} <= q.r * q.r WHERE NOT coalesce(oriented AND (0.1 - q.x) * nx + (0.2 - q.y) * ny + (-0.3 - q.z) * nz < 0, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY square, point_id) AS rank FROM pairs),
+found AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS c FROM ranked WHERE rank <= {k})
+SELECT query_id, point_id, level, CAST(rank AS INT) AS rank, round(square, 6) + 0.0 AS square FROM found WHERE c >= {least}"""
 
-def _row(p: tuple, m: tuple) -> tuple:
-    half = A.scale(A.cross(p, m), 0.5)
-    mid = tuple(x * 0.5 for x in m)
-    return (*half, *mid)
 
+_WIDE = "(0.1 + 0.5 * least(sqrt(x * x + y * y + z * z), 1.0))"
 
-_M = tuple(Sql(x) for x in ("0.6", "0.0", "0.8"))
-_U = _row(vec(), _M)
-_SUMS = {f"a_{i}_{j}": f"sum({_U[i]} * {_U[j]})" for i in range(6) for j in range(i, 6)} | {f"b_{i}": f"sum({_U[i]} * (x * 0.6 + z * 0.8))" for i in range(6)}
+
+@query(f"WITH {_ORIENTED}, {_searched(6, 1)}")
+def visible_neighbors(spark, d):
+    return rounded(C.radius_search(vector_points(spark, d), _oriented(spark, d), F.expr(_WIDE), RESOLUTIONS, 6, 1, (0.1, 0.2, -0.3), "point_id"), square="square")
+
+
+@query(f"WITH {_ORIENTED}, {_searched(20, 8)}")
+def neighbourhoods(spark, d):
+    return rounded(C.radius_search(vector_points(spark, d), _oriented(spark, d), F.expr(_WIDE), RESOLUTIONS, 20, 8, (0.1, 0.2, -0.3), "point_id"), square="square")
+
+
+def _row(p: tuple, n: tuple, a) -> tuple:
+    """Slopes of a point-to-plane residual by begin turn, begin shift, end turn and end shift."""
+    turn = A.cross(p, n)
+    return (*(x * (1.0 - a) for x in turn), *((1.0 - a) * x for x in n), *(x * a for x in turn), *(a * x for x in n))
+
+
+_ALPHA = Sql("((point_id % 10) / 10.0)")
+_U = _row(vec(), tuple(Sql(x) for x in ("0.6", "0.0", "0.8")), _ALPHA)
+_SUMS = {f"a_{i}_{j}": f"sum({_U[i]} * {_U[j]})" for i in range(12) for j in range(i, 12)} | {f"b_{i}": f"sum({_U[i]} * (x * 0.6 + z * 0.8))" for i in range(12)}
 
 
 @query(f"WITH {VECTORS} SELECT frame_id, count(*) AS n, {', '.join(f'round({v}, 5) + 0.0 AS {k}' for k, v in _SUMS.items())} FROM points GROUP BY frame_id")
 def gn_normal_equations(spark, d):
-    u = [x if isinstance(x, Column) else F.lit(x) for x in _row(tuple(F.col(a) for a in C.AXES), (F.lit(0.6), F.lit(0.0), F.lit(0.8)))]
-    out = C.normal_equations(vector_points(spark, d), u, F.col("x") * 0.6 + F.col("z") * 0.8, ["frame_id"])
+    p = vector_points(spark, d)
+    u = _row(tuple(F.col(a) for a in C.AXES), (F.lit(0.6), F.lit(0.0), F.lit(0.8)), F.expr("(point_id % 10) / 10.0D"))
+    rows = p.select("frame_id", *[x.alias(f"u{i}") for i, x in enumerate(u)], (F.col("x") * 0.6 + F.col("z") * 0.8).alias("s"))
+    out = C.normal_equations(rows, [F.col(f"u{i}") for i in range(12)], F.col("s"), ["frame_id"])
     return out.select("frame_id", "n", *[(F.round(c, 5) + 0.0).alias(c) for c in out.columns[2:]])
 
 
@@ -436,15 +762,16 @@ _shape("triangle", S.Triangle((0.1, 0.0, 0.05), (0.0, 0.1, 0.05), (0.0, 0.02, 0.
 
 
 # --- iterative operators: tests hold them against known answers --------------------------------
-@query()
-def procrustes(spark, d):
-    at = T.interpolated(queries_with_truth(spark, d)).select("seq", "x", "y", "z", *[F.col(f"i_{a}").alias(f"g{a}") for a in C.AXES])
-    return R.align(at, ["seq"])
+_WEIGHT = "1 / greatest(sqrt((p.x - cx) * (p.x - cx) + (p.y - cy) * (p.y - cy) + (p.z - cz) * (p.z - cz)), 1e-12)"
 
 
-@query()
+@query(f"""WITH RECURSIVE {VECTORS}, steps AS (SELECT frame_id, 0 AS i, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, false AS done FROM points GROUP BY frame_id
+UNION ALL SELECT frame_id, i + 1, x, y, z, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) < 0.001 FROM (SELECT s.frame_id, i, cx, cy, cz, {', '.join(f'sum(p.{a} * {_WEIGHT}) / sum({_WEIGHT}) AS {a}' for a in 'xyz')} FROM steps s JOIN points p ON p.frame_id = s.frame_id WHERE i < 10 AND NOT done GROUP BY ALL)),
+means AS (SELECT frame_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM points GROUP BY frame_id),
+lasts AS (SELECT frame_id, arg_max(cx, i) AS x, arg_max(cy, i) AS y, arg_max(cz, i) AS z FROM steps GROUP BY frame_id)
+SELECT frame_id, {listed({k: k for k in ('mx', 'my', 'mz', 'x', 'y', 'z')})} FROM means JOIN lasts USING (frame_id)""")
 def geometric_median(spark, d):
-    return R.geometric_median(vector_points(spark, d), ["frame_id"])
+    return rounded(R.geometric_median(vector_points(spark, d), ["frame_id"]), **{k: k for k in ("mx", "my", "mz", "x", "y", "z")})
 
 
 def box_frames(spark) -> DataFrame:
@@ -466,3 +793,136 @@ def odometry_box(spark, d):
 @query()
 def odometry_robust_box(spark, d):
     return L.odometry(box_frames(spark))
+
+
+# --- files, read back as they were written -----------------------------------------------------------
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that executors share: under spark.checkpoint.dir, or on this machine where that is unset and all runs here."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{named.rstrip('/') or tempfile.mkdtemp(prefix='pointweave-')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {VECTORS} SELECT CAST(frame_id AS BIGINT) AS frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY point_id) - 1 AS BIGINT) AS point_id, {listed({a: a for a in C.AXES})}, CAST(x AS FLOAT) AS f FROM points")
+def ply_roundtrip(spark, d):
+    at = folder(spark, "ply")
+    IO.write_ply(vector_points(spark, d).withColumn("f", F.col("x").cast("float")), at, columns=["x", "y", "z", "f"])
+    return rounded(IO.read_ply_files(spark, at).select("frame_id", "point_id", "x", "y", "z", "f"), x="x", y="y", z="z")
+
+
+_LINES = f"{POSES}, lines AS (SELECT *, CAST(row_number() OVER (PARTITION BY seq ORDER BY pose_id) - 1 AS BIGINT) AS line FROM poses)"
+
+
+@query(f"WITH {_LINES} SELECT CAST(seq AS BIGINT) AS seq, line AS pose_id, round(line * 0.1, 6) + 0.0 AS t, {listed({n: f'CASE WHEN qw < 0 THEN -{n} ELSE {n} END' if n[0] == 'q' else n for n in NAMES})} FROM lines")
+def kitti_pose_roundtrip(spark, d):
+    at = folder(spark, "matrices")
+    IO.write_matrix_poses(trajectory(spark, d), at, name="%d.txt")
+    back = IO.read_matrix_poses(spark, f"{at}/*.txt").withColumn("seq", F.regexp_extract("path", r"(\d+)\.txt", 1).cast("long"))
+    sign = F.when(F.col("qw") < 0, -1.0).otherwise(1.0)
+    back = back.select("seq", F.col("pose_id").cast("long").alias("pose_id"), "t", *[(F.col(n) * sign).alias(n) if n[0] == "q" else F.col(n) for n in NAMES])
+    return rounded(back, t="t", **{n: n for n in NAMES})
+
+
+@query(f"WITH {_LINES} SELECT CAST(seq AS BIGINT) AS seq, line AS pose_id, round(t, 6) + 0.0 AS t, CAST(line AS INT) AS frame_id, {listed({n: n for n in NAMES})} FROM lines")
+def ply_pose_roundtrip(spark, d):
+    at = folder(spark, "poses")
+    p = trajectory(spark, d).withColumn("line", F.row_number().over(Window.partitionBy("seq").orderBy("pose_id")) - 1)
+    IO.write_ply_poses(p.select("seq", F.col("line").alias("pose_id"), "t", F.col("line").alias("frame_id"), F.lit(0.0).alias("ref_t"), F.lit(0).alias("ref_frame"), *NAMES), at, name="p_%d.ply")
+    back = IO.read_ply_poses(spark, at).withColumn("seq", F.regexp_extract("path", r"p_(\d+)\.ply", 1).cast("long"))
+    return rounded(back.select("seq", "pose_id", "t", "frame_id", *NAMES), t="t", **{n: n for n in NAMES})
+
+
+@query(f"WITH {_NEXT} SELECT CAST(seq AS BIGINT) AS seq, pose_id AS frame_id, {listed({f'b_{n}': n for n in NAMES} | {f'e_{n}': f'n_{n}' for n in NAMES})} FROM nexts")
+def trajectory_file_roundtrip(spark, d):
+    at = folder(spark, "frames")
+    p = M.with_pairs(trajectory(spark, d).drop("kind"))
+    ends = p.select("seq", *[x for pre in ("b_", "e_") for x in (F.col("pose_id").alias(f"{pre}frame_id"), F.col("t").alias(f"{pre}t"), F.lit(0).alias(f"{pre}ref_frame"), F.lit(0.0).alias(f"{pre}ref_t"), *[F.col(f"{pre}{n}") for n in NAMES])])
+    IO.write_trajectory_frames(ends, at, name="t_%d.txt")
+    back = IO.read_trajectory_frames(spark, at).join(p.select("seq", F.col("pose_id").alias("b_frame_id")), "b_frame_id")
+    both = {f"{pre}{n}": f"{pre}{n}" for pre in ("b_", "e_") for n in NAMES}
+    return rounded(back.select("seq", F.col("b_frame_id").alias("frame_id"), *both), **both).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"WITH {_LINES} SELECT line AS record, round(t, 6) + 0.0 AS timestamp, {listed({'qx': 'qx', 'qy': 'qy', 'qz': 'qz', 'qw': 'qw', 'wx': 'x', 'wy': 'y', 'wz': 'z'})}, CAST(NULL AS DOUBLE) AS ax, round(x, 6) + 0.0 AS orientation_cov_c_4 FROM lines")
+def imu_roundtrip(spark, d):
+    at = folder(spark, "imu")
+    p = trajectory(spark, d).withColumn("record", F.row_number().over(Window.partitionBy("seq").orderBy("pose_id")) - 1)
+    rows = p.select("seq", "record", F.col("t").alias("timestamp"), "qx", "qy", "qz", "qw", *[F.col(a).alias(f"w{a}") for a in "xyz"], *[(F.col("x") if i == 4 else F.lit(0.0)).alias(f"orientation_cov_c_{i}") for i in range(9)])
+    rows = rows.select("*", *[F.lit(0.0).alias(c) for c in ("ax", "ay", "az", *[f"{b}_cov_c_{i}" for b in ("angular_velocity", "linear_acceleration") for i in range(9)])])
+    IO.write_imu(rows, at, blocks=("properties", "orientation", "angular_velocity", "orientation_cov"), name="imu_%d.ply")
+    names = ("timestamp", "qx", "qy", "qz", "qw", "wx", "wy", "wz", "orientation_cov_c_4")
+    return rounded(IO.read_imu(spark, at).select("record", "ax", *names), **{n: n for n in names})
+
+
+@query(f"WITH {VECTORS} SELECT CAST(frame_id AS BIGINT) AS frame_id, count(*) AS n, {listed({a: f'sum(CAST(round(({a} + 100) / 0.005) AS INT) * 0.005 - 100)' for a in C.AXES})} FROM points GROUP BY frame_id")
+def nclt_hits_read(spark, d):
+    at = folder(spark, "hits")
+
+    def pack(t):
+        hits = np.zeros(t.num_rows, [("x", "<u2"), ("y", "<u2"), ("z", "<u2"), ("i", "u1"), ("l", "u1")])
+        for a in C.AXES:
+            hits[a] = np.round((t[a].to_numpy() + 100) / 0.005)
+        # two packets of a frame each
+        body = b"".join(np.full(4, IO.HITS_MAGIC, "<u2").tobytes() + np.uint32(len(p)).tobytes() + np.uint64(7).tobytes() + bytes(4) + p.tobytes() for p in np.array_split(hits, 2))
+        return pa.table({"name": [f"h_{t['frame_id'][0].as_py()}.bin"], "content": [body]})
+
+    IO.write_files(vector_points(spark, d).groupBy("frame_id").applyInArrow(pack, "name string, content binary"), at)
+    hits = IO.read_hits(spark, at, 2).filter("frame_id = 0").withColumn("frame_id", F.regexp_extract("path", r"h_(\d+)", 1).cast("long"))
+    return rounded(hits.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(a) for a in C.AXES]), x="x", y="y", z="z")
+
+
+@query(f"WITH {VECTORS} SELECT CAST(frame_id AS BIGINT) AS frame_id, count(*) AS n, {listed({a: f'sum(CAST(CAST({a} AS FLOAT) AS DOUBLE))' for a in C.AXES})} FROM points GROUP BY frame_id")
+def cloud_messages(spark, d):
+    back = N.points(N.packed(vector_points(spark, d).withColumn("t", F.lit(12.5))))
+    return rounded(back.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(a).alias(a) for a in C.AXES]), x="x", y="y", z="z")
+
+
+# --- registration of one frame, and of a stream -----------------------------------------------------
+def _registered(spark, solve: Callable) -> DataFrame:
+    """Errors of single frames that are registered in a map of three others, one row a sequence."""
+
+    def run(key, pdf):
+        cells, o = solve(None, None, None, None, None)
+        own = {f: p.sort_values("point_id") for f, p in pdf.groupby("frame_id")}
+        for f in range(3):  # the sensor's place is known in the frames that make the map
+            p = own[f]
+            cells.insert(p[["x", "y", "z"]].to_numpy() + np.outer(0.3 * (max(0, f - 1) + (p["t"] - f if f > 1 else 0 * p["t"])), (1, 0, 0)))
+        p = own[3]
+        points, alpha = p[["x", "y", "z"]].to_numpy(), (p["t"] - 3).to_numpy()
+        keys = R.first_per_voxel(points, o.keypoint_voxel)
+        last = R.Motion(tb=np.array([0.3, 0, 0]), te=np.array([0.6, 0, 0]))
+        motion, used, good = solve(points[keys], alpha[keys], last.next(), last, cells)
+        return pd.DataFrame([[key[0], good, used, float(np.linalg.norm(motion.tb - [0.6, 0, 0])), float(np.linalg.norm(motion.te - [0.9, 0, 0]))]], columns=["seq", "success", "residuals", "begin_error", "end_error"])
+
+    return box_frames(spark).filter("frame_id < 4").groupBy("seq").applyInPandas(run, "seq long, success boolean, residuals long, begin_error double, end_error double")
+
+
+@query()
+def icp_gn(spark, d):
+    o = R.Options()
+    return _registered(spark, lambda p, a, guess, last, cells: R.register(p, a, guess, last, cells, o) if p is not None else (R.VoxelMap(o), o))
+
+
+def _damped(o: L.Effort) -> Callable:
+    return lambda p, a, guess, last, cells: L.register(p, a, guess, last, cells, o) if p is not None else (R.VoxelMap(o), o)
+
+
+@query()
+def icp_lm(spark, d):
+    return _registered(spark, _damped(L.PRESETS["driving"]))
+
+
+@query()
+def icp_robust(spark, d):
+    return _registered(spark, _damped(replace(L.PRESETS["robust_driving"], classes=True)))
+
+
+@query()
+def stream_odometry(spark, d):
+    at = folder(spark, "stream")
+    box_frames(spark).filter("frame_id < 4").repartition("frame_id").write.partitionBy("frame_id").parquet(f"{at}/in")
+    kinds = "seq long, point_id long, x double, y double, z double, t double, frame_id long"
+    stream = Live.odometry(spark.readStream.schema(kinds).parquet(f"{at}/in"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")

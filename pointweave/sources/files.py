@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import algebra as A
@@ -184,3 +184,145 @@ def read_angle_poses(spark: SparkSession, path: str) -> DataFrame:
     half = lambda c, axis: tuple(F.sin(F.col(c) / 2) if i == axis else F.lit(0.0) for i in range(3)) + (F.cos(F.col(c) / 2),)
     q = A.multiply(A.multiply(half("yaw", 2), half("pitch", 1)), half("roll", 0))
     return rows.select("t", "x", "y", "z", *[c.alias(k) for k, c in zip(("qx", "qy", "qz", "qw"), q, strict=True)])
+
+
+# --- further readers ------------------------------------------------------------------------------
+def read_ply_files(spark: SparkSession, path: str, pattern: str = r"(\d+)", element: str = "vertex", columns: list[str] | None = None) -> DataFrame:
+    """read_ply() of a folder, with frame_id: the last number in each file's name, by a pattern of one group."""
+    rows = read_ply(spark, path, element, columns)
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.withColumn("frame_id", F.element_at(F.regexp_extract_all(name, F.lit(pattern), F.lit(1)), -1).cast("long"))
+
+
+#: Blocks of an inertial record and the properties of each.
+_COVARIANCE = tuple(f"c_{i}" for i in range(9))
+IMU = {
+    "properties": ("timestamp",), "orientation": ("qx", "qy", "qz", "qw"), "angular_velocity": ("wx", "wy", "wz"), "linear_acceleration": ("ax", "ay", "az"),
+    "orientation_cov": _COVARIANCE, "angular_velocity_cov": _COVARIANCE, "linear_acceleration_cov": _COVARIANCE,
+}
+_IMU_COLUMNS = [(block, p, f"{block}_{p}" if block.endswith("_cov") else p) for block, ps in IMU.items() for p in ps]
+
+
+def read_imu(spark: SparkSession, path: str) -> DataFrame:
+    """path, record and the columns of all blocks of inertial PLY files; blocks that a file doesn't have are null."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = value.as_py()
+                there = {e: count for e, count, _ in ply_header(content)[1]}
+                n, blocks = there["properties"], {b: ply_element(content, b) for b in IMU if b in there}
+                cols = [pa.array(blocks[b][p].astype(np.float64)) if b in blocks else pa.nulls(n, pa.float64()) for b, p, _ in _IMU_COLUMNS]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n)), *cols], names=["path", "record", *[c for _, _, c in _IMU_COLUMNS]])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, ", ".join(["path string", "record long", *[f"{c} double" for _, _, c in _IMU_COLUMNS]]))
+
+
+_POSE_PLY = (*[(n, "double") for n in ("qx", "qy", "qz", "qw", "x", "y", "z", "ref_t", "dest_t")], ("ref_fid", "int"), ("dest_fid", "int"))
+
+
+def read_ply_poses(spark: SparkSession, path: str) -> DataFrame:
+    """path, pose_id, t, frame_id, ref_t, ref_frame and the pose of the `pose` element of PLY files."""
+    rows = read_ply(spark, path, "pose")
+    return rows.select("path", F.col("point_id").alias("pose_id"), F.col("dest_t").alias("t"), F.col("dest_fid").alias("frame_id"), "ref_t", F.col("ref_fid").alias("ref_frame"), "x", "y", "z", "qx", "qy", "qz", "qw")
+
+
+def rebased(poses: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """poses as seen from the first one of their group."""
+    names = ("qx", "qy", "qz", "qw", "x", "y", "z")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = poses.withColumns({f"__{n}": F.first(n).over(w) for n in names})
+    get = lambda pre: (tuple(F.col(pre + n) for n in names[:4]), tuple(F.col(pre + n) for n in names[4:]))
+    q, v = A.relative(get("__"), get(""))
+    return first.select(*[c for c in poses.columns if c not in names], *[c.alias(n) for n, c in zip(names, (*q, *v), strict=True)])
+
+
+_FRAME = ("frame_id", "t", "ref_frame", "ref_t", "qx", "qy", "qz", "qw", "x", "y", "z")
+
+
+def read_trajectory_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Begin (b_) and end (e_) pose of each line of 22 numbers, each with frame_id, t, ref_frame and ref_t before it; empty lines go."""
+    n = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))
+    rows = spark.read.text(path).filter("trim(value) <> ''").select(n.alias("n"))
+    kinds = ("long", "double", "long", "double", *["double"] * 7)
+    return rows.select(*[F.col("n")[11 * k + i].cast(kind).alias(f"{pre}{name}") for k, pre in enumerate(("b_", "e_")) for i, (name, kind) in enumerate(zip(_FRAME, kinds, strict=True))])
+
+
+# --- writers ----------------------------------------------------------------------------------------
+def write_files(contents: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Write each row's content to folder/name through the store's own file system, on the executors; returns the number of files.
+
+    A file is written under a name of its own and renamed, so one that is there is whole, and a task
+    that runs again replaces it. Stores other than the local one need a pyarrow file system.
+    """
+    from pyarrow import fs
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(root, recursive=True)
+        done = 0
+        for batch in batches:
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body = value.as_py()
+                with store.open_output_stream(f"{root}/.{file}.open") as out:
+                    out.write(body if isinstance(body, bytes) else body.encode())
+                store.move(f"{root}/.{file}.open", f"{root}/{file}")
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    return contents.select(F.col(name).cast("string"), content).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_ply(df: DataFrame, folder: str, key: str = "frame_id", order: str = "point_id", columns: list[str] | None = None, name: str = "frame_%06d.ply", element: str = "vertex") -> int:
+    """A binary PLY file for each key."""
+    columns = columns or [c for c in df.columns if c not in (key, order) and dict(df.dtypes)[c] in _WRITTEN]
+    return write_files(to_ply(df, key, order, columns, element).withColumn("name", F.format_string(name, F.col(key))), folder)
+
+
+def write_ply_poses(poses: DataFrame, folder: str, key: str = "seq", name: str = "poses_%02d.ply") -> int:
+    """A PLY file of poses (pose_id, t, frame_id, ref_t, ref_frame and the pose) for each key."""
+    renamed = poses.withColumnsRenamed({"t": "dest_t", "frame_id": "dest_fid", "ref_frame": "ref_fid"})
+    rows = renamed.select(key, "pose_id", *[F.col(n).cast(kind) for n, kind in _POSE_PLY])
+    return write_ply(rows, folder, key, "pose_id", [n for n, _ in _POSE_PLY], name, "pose")
+
+
+def write_imu(records: DataFrame, folder: str, key: str = "seq", order: str = "record", blocks: tuple[str, ...] = tuple(IMU), name: str = "imu_%02d.ply") -> int:
+    """A PLY file of inertial records with some blocks for each key; columns as read_imu() names them."""
+    wanted = [(b, p, c) for b, p, c in _IMU_COLUMNS if b in blocks]
+
+    def encode(table: pa.Table) -> pa.Table:
+        table, head, body = table.sort_by(order), "ply\nformat binary_little_endian 1.0\n", b""
+        for block in blocks:
+            own = [(p, c) for b, p, c in wanted if b == block]
+            head += f"element {block} {table.num_rows}\n" + "".join(f"property double {p}\n" for p, _ in own)
+            body += np.stack([table[c].to_numpy() for _, c in own], 1).astype("<f8").tobytes()
+        return pa.table({key: table[key][:1], "content": [(head + "end_header\n").encode() + body]})
+
+    rows = records.select(key, order, *[F.col(c).cast("double") for _, _, c in wanted])
+    files = rows.groupBy(key).applyInArrow(encode, f"{key} {dict(records.dtypes)[key]}, content binary")
+    return write_files(files.withColumn("name", F.format_string(name, F.col(key))), folder)
+
+
+def write_lines(lines: DataFrame, folder: str, key: str, order: str, name: str) -> int:
+    """A text file for each key, of its lines (column `line`) in order. A key's lines have to fit one task."""
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        return pa.table({key: table[key][:1], "content": [("\n".join(table["line"].to_pylist()) + "\n").encode()]})
+
+    files = lines.select(key, order, "line").groupBy(key).applyInArrow(join, f"{key} {dict(lines.dtypes)[key]}, content binary")
+    return write_files(files.withColumn("name", F.format_string(name, F.col(key))), folder)
+
+
+def write_matrix_poses(poses: DataFrame, folder: str, key: str = "seq", name: str = "%02d.txt") -> int:
+    """A file of 3x4 matrices, a pose a line by pose_id, for each key; read_matrix_poses() reads it."""
+    r = matrix(tuple(F.col(n) for n in ("qx", "qy", "qz", "qw")))
+    t = [F.col(n) for n in ("x", "y", "z")]
+    line = F.concat_ws(" ", *[c.cast("string") for c in (*r[:3], t[0], *r[3:6], t[1], *r[6:], t[2])])
+    return write_lines(poses.select(key, "pose_id", line.alias("line")), folder, key, "pose_id", name)
+
+
+def write_trajectory_frames(frames: DataFrame, folder: str, key: str = "seq", name: str = "trajectory_%02d.txt") -> int:
+    """A file of begin and end poses, a frame a line by the end's frame, for each key; read_trajectory_frames() reads it."""
+    line = F.concat_ws(" ", *[F.col(f"{pre}{n}").cast("string") for pre in ("b_", "e_") for n in _FRAME])
+    return write_lines(frames.select(key, F.col("e_frame_id").alias("__order"), line.alias("line")), folder, key, "__order", name)

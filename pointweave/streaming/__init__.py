@@ -1 +1 @@
-"""Part of pointweave."""
+"""Operators on streams: frames that arrive, are checked, registered and evaluated."""

@@ -7,6 +7,7 @@ from pointweave.operators import clouds as C
 from pointweave.operators import registration as R
 from pointweave.operators import trajectories as T
 from pointweave.sources import files
+from pointweave.streaming import odometry as Live
 
 
 def poses(n, seed=0):
@@ -73,11 +74,20 @@ def test_stream_gives_the_batch_poses(spark, tmp_path):
     for f in range(4):
         spark.createDataFrame(R.box_scan(0, f)).coalesce(1).write.parquet(f"{tmp_path}/in/{f}")
     batch = spark.read.parquet(*[f"{tmp_path}/in/{f}" for f in range(4)])
-    stream = R.stream_odometry(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in/*"))
+    stream = Live.odometry(spark.readStream.schema(batch.schema).parquet(f"{tmp_path}/in/*"))
     q = stream.writeStream.format("memory").queryName("poses").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     a, b = (x.orderBy("frame_id").toPandas() for x in (spark.table("poses"), R.odometry(batch)))
     assert len(a) == 4 and np.allclose(a.ex, b.ex, atol=1e-9)
+    # a batch that comes later goes on from the state; a late frame and one of an odd duration are skipped
+    for f, t in ((2, 1.0), (4, 1.0), (5, 0.5), (6, 1.0)):
+        spark.createDataFrame(R.box_scan(0, f).assign(t=lambda p, f=f, t=t: f + (p.t - f) * t)).coalesce(1).write.parquet(f"{tmp_path}/more/{f}")
+    both = f"{tmp_path}/{{in,more}}/*"
+    live = Live.odometry(spark.readStream.schema(batch.schema).parquet(both), expected=1.0)
+    q = live.writeStream.format("memory").queryName("later").outputMode("append").option("checkpointLocation", f"{tmp_path}/state2").trigger(availableNow=True).start()
+    q.awaitTermination()
+    later = spark.table("later").orderBy("frame_id").toPandas()
+    assert 5 not in set(later.frame_id) and later.frame_id.is_unique and later.success.all()
 
 
 def test_files_round_trip(spark, tmp_path):
