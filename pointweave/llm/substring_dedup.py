@@ -58,6 +58,7 @@ class SubstringDedup:
         index = bitfilter.build(spark, texts.mapInArrow(lambda b: _blocks(b, block), "h long"), "h", size // (4 * block), self.filter_bits)
         met = texts.mapInArrow(lambda b: _probe(b, index, block), "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
         anchors = work.keep(met.filter("x < y").select("h"), "anchors")
+        release(spark)
         anchored = bitfilter.build(spark, anchors, "h", anchors.count(), self.filter_bits)
 
         told = texts.mapInArrow(lambda b: _extend(b, anchored, block, window), "h long, doc_id long, at int")
@@ -65,6 +66,7 @@ class SubstringDedup:
         first = work.keep(told.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("h", "x"), "first")
         release(spark)
         again = work.keep(told.join(first, "h").filter("doc_id > x").select("doc_id", "at", "h"), "again")
+        release(spark)
         ids = again.select("doc_id").distinct().select(F.xxhash64("doc_id").alias("k"))
         touched = bitfilter.build(spark, ids, "k", ids.count(), self.filter_bits)
         keyed = texts.select("doc_id", F.xxhash64("doc_id").alias("k"), "text")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +40,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of steps whose tables are written."""
+    """Have Spark delete the shuffle files of steps whose tables are written: Python's handles go, then the JVM's, then the files, each in a thread of its own."""
     gc.collect()
+    time.sleep(0.3)
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.7)
+
+
+def in_order(df: DataFrame) -> bool:
+    """Whether a task that runs again meets its rows in the same order: the plan only reads, picks and computes."""
+    nodes = re.findall(r"^[\s:+-]*([A-Za-z]+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    return set(nodes) <= {"Project", "Filter", "Relation", "LocalRelation", "Range"}
 
 
 class Workspace:
@@ -61,6 +71,11 @@ class Workspace:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, kept: DataFrame) -> None:
+        """Delete a table that is read no more."""
+        for path in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+            delete(self.spark, path)
+
     def clear(self) -> None:
         with contextlib.suppress(Exception):
             delete(self.spark, self.path)
