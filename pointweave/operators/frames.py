@@ -6,6 +6,7 @@ that an interpolated pose is worked out once and not wherever one of its compone
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,3 +117,72 @@ def queue(frames: DataFrame, n: int, value: Column) -> DataFrame:
 def durations(ticks: DataFrame, keys: list[str]) -> DataFrame:
     """count, total, mean and longest `seconds` of each key."""
     return ticks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"), F.max("seconds").alias("longest"))
+
+
+# --- poses that know their two frames ---------------------------------------------------------------
+_POSE = ("qx", "qy", "qz", "qw", *XYZ)
+
+
+def inverted(poses: DataFrame) -> DataFrame:
+    """poses (frame_id, t to ref_frame, ref_t) seen the other way round: the pose is inverted, frames and times change places."""
+    q, v = A.inverse(T.pose())
+    swapped = {"frame_id": "ref_frame", "t": "ref_t", "ref_frame": "frame_id", "ref_t": "t"}
+    values = dict(zip(_POSE, (*q, *v), strict=True))
+    return poses.select(*[values[c].alias(c) if c in values else F.col(swapped.get(c, c)).alias(c) for c in poses.columns])
+
+
+def joined(pairs: DataFrame, left: str = "b_", right: str = "e_") -> DataFrame:
+    """The pose left times right of each row, from left's reference to right's frame. A right pose that doesn't begin where the left one ends, in frame and time, raises."""
+    fits = F.assert_true((F.col(f"{right}ref_frame") == F.col(f"{left}frame_id")) & (F.col(f"{right}ref_t") == F.col(f"{left}t")), F.lit("the poses don't meet"))
+    q, v = A.compose(T.pose(left), T.pose(right))
+    ends = [F.col(f"{right}frame_id").alias("frame_id"), F.col(f"{right}t").alias("t"), F.col(f"{left}ref_frame").alias("ref_frame"), F.col(f"{left}ref_t").alias("ref_t")]
+    rest = [c for c in pairs.columns if not c.startswith((left, right))]
+    return pairs.select(*rest, *ends, *[F.when(fits.isNull(), x).alias(n) for n, x in zip(_POSE, (*q, *v), strict=True)])
+
+
+def interpolated_inside(found: DataFrame, prefix: str = "i_") -> DataFrame:
+    """T.bracket()'s rows with the interpolated pose; a time outside of the poses raises."""
+    at = found.withColumn("alpha", A.alpha_inside(F.col("t"), F.col("lo.t"), F.col("hi.t")))
+    return at.select("*", *T.columns(A.interpolate(T.pose(of="lo"), T.pose(of="hi"), F.col("alpha")), prefix))
+
+
+#: Ways to bring a frame's points into the world: by the frame's end alone, or by the pose at each point's own time.
+MODES = {"none": False, "constant_velocity": False, "iterative": True, "continuous": True}
+
+
+def to_world(points: DataFrame, mode: str, alpha: str = "alpha") -> DataFrame:
+    """points, carrying b_ and e_ poses and their share of the frame, with wx, wy, wz by a mode."""
+    if not MODES[mode]:
+        return moved(points, "e_")
+    at = points.withColumns(dict(zip([f"__i{n}" for n in _POSE], sum(A.interpolate(T.pose("b_"), T.pose("e_"), F.col(alpha)), ()), strict=True)))
+    return moved(at, "__i").drop(*[f"__i{n}" for n in _POSE])
+
+
+def consistent(frames: DataFrame, shift: float, degrees: float) -> DataFrame:
+    """frames (b_, e_ and predicted p_b_, p_e_ poses) with `agrees`: bit 1 if the begins, 2 if the ends, 4 if the motions agree within bounds of shift and turn."""
+    rel = frames.withColumns(dict(zip([f"__r{n}" for n in _POSE], sum(A.relative(T.pose("b_"), T.pose("e_")), ()), strict=True)) | dict(zip([f"__p{n}" for n in _POSE], sum(A.relative(T.pose("p_b_"), T.pose("p_e_")), ()), strict=True)))
+    near = lambda a, b: (A.norm(A.sub(T.pose(a)[1], T.pose(b)[1])) <= shift) & (A.angle_degrees(T.pose(a)[0], T.pose(b)[0]) <= degrees)
+    bits = [F.when(near(a, b), F.lit(k)).otherwise(F.lit(0)) for k, a, b in ((1, "b_", "p_b_"), (2, "e_", "p_e_"), (4, "__r", "__p"))]
+    return rel.withColumn("agrees", bits[0] + bits[1] + bits[2]).drop(*[c for c in rel.columns if c.startswith("__")])
+
+
+def entering(frames: DataFrame, shift: float, every: int = 0) -> DataFrame:
+    """seq, pose_id, gone and enters of poses in order: `gone` is the path since the last one that entered a map, which the first does, and then each that has gone `shift` or comes `every` poses later.
+
+    What enters depends on what entered before, so a sequence's steps, two numbers a pose, are walked in one task.
+    """
+    steps = T.steps(frames).withColumn("rank", F.row_number().over(T.by())).select(F.col("seq").cast("long").alias("seq"), F.col("pose_id").cast("long").alias("pose_id"), F.col("rank").cast("long").alias("rank"), "step")
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rank")
+        gone, enters, far, skipped = [], [], 0.0, 0
+        for i, step in enumerate(t["step"].to_pylist()):
+            far, skipped = far + step, skipped + 1
+            enter = i == 0 or far >= shift or bool(every and skipped >= every)
+            gone.append(far)
+            enters.append(enter)
+            if enter:
+                far, skipped = 0.0, 0
+        return t.select(["seq", "pose_id"]).append_column("gone", pa.array(gone, pa.float64())).append_column("enters", pa.array(enters, pa.bool_()))
+
+    return steps.groupBy("seq").applyInArrow(walk, "seq long, pose_id long, gone double, enters boolean")

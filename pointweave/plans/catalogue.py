@@ -795,6 +795,72 @@ def odometry_robust_box(spark, d):
     return L.odometry(box_frames(spark))
 
 
+# --- poses with their frames -------------------------------------------------------------------------
+_two_poses("se3_middle", lambda a, b, m: _dict(A.middle(a, b, m)))
+_two_poses("pose_distances", lambda a, b, m: A.distances(a, b, b, a, m))
+_two_poses("se3_matrix", lambda a, b, m: {f"r{i}{j}": A.rotate(a[0], tuple(F.lit(float(j == k)) if m is A.Spark else Sql(f"{float(j == k)}") for k in range(3)))[i] for i in range(3) for j in range(3)})
+_two_poses("rotation_error", lambda a, b, m: {"t_error": A.norm(A.relative(a, b, m)[1], m), "r_error": A.angle_degrees(A.relative(a, b, m)[0], (0.0, 0.0, 0.0, 1.0) if m is Duck else (0.0, 0.0, 0.0, F.lit(1.0)), m) / 57.29577951308232})
+
+
+def _with_frames(spark, d) -> DataFrame:
+    """Pairs of poses, from frame 0 to 1 and from 1 to 2."""
+    p = M.with_pairs(trajectory(spark, d).drop("kind"))
+    return p.select("seq", "pose_id", *[F.col(f"{e}{n}") for e in ("b_", "e_") for n in NAMES], *[F.lit(v).alias(n) for n, v in (("b_ref_frame", 0), ("b_ref_t", 0.0), ("b_frame_id", 1), ("b_t", 1.0), ("e_ref_frame", 1), ("e_ref_t", 1.0), ("e_frame_id", 2), ("e_t", 2.0))])
+
+
+@query(f"WITH {_NEXT} SELECT seq, pose_id, 2 AS frame_id, 0 AS ref_frame, {listed(_dict(A.compose(pose(), pose('n_'), Duck)))} FROM nexts")
+def pose_joined(spark, d):
+    return rounded(M.joined(_with_frames(spark, d)).select("seq", "pose_id", "frame_id", "ref_frame", *NAMES), **{n: n for n in NAMES})
+
+
+@query(f"WITH {POSES} SELECT seq, pose_id, 3 AS frame_id, kind = 'view' AS seen, round(t, 6) + 0.0 AS ref_t, {listed(_dict(A.inverse(pose())))} FROM poses")
+def pose_inverted(spark, d):
+    p = trajectory(spark, d).select("seq", "pose_id", F.lit(5).alias("frame_id"), "t", F.lit(3).alias("ref_frame"), F.lit(0.0).alias("ref_t"), (F.col("kind") == "view").alias("seen"), *NAMES)
+    return rounded(M.inverted(p).select("seq", "pose_id", "frame_id", "seen", "ref_t", *NAMES), ref_t="ref_t", **{n: n for n in NAMES})
+
+
+@query(f"WITH {INTERPOLATED} SELECT seq, pose_id, {listed({n: f'i_{n}' for n in NAMES})} FROM interpolated WHERE t BETWEEN a_t AND b_t")
+def pose_inside(spark, d):
+    inside = queries_with_truth(spark, d).filter("t between lo.t and hi.t")
+    return rounded(M.interpolated_inside(inside).select("seq", "pose_id", *[F.col(f"i_{n}").alias(n) for n in NAMES]), **{n: n for n in NAMES})
+
+
+@query(f"WITH {_SEEN}, ends AS (SELECT *, {', '.join(f'{v} AS o_{a}' for a, v in zip('xyz', A.transform(pose('n_'), pose()[1]), strict=True))} FROM seen) SELECT seq, pose_id, {listed({f'{k}{a}': f'{p}_{a}' for k, p in (('e', 'o'), ('c', 'w')) for a in 'xyz'})} FROM ends")
+def world_modes(spark, d):
+    p = _pairs_with_point(spark, d)
+    end = M.to_world(p, "constant_velocity").withColumnsRenamed({f"w{a}": f"e{a}" for a in "xyz"})
+    both = M.to_world(end, "continuous")
+    return rounded(both.select("seq", "pose_id", *[F.col(f"e{a}") for a in "xyz"], *[F.col(f"w{a}").alias(f"c{a}") for a in "xyz"]), **{f"{k}{a}": f"{k}{a}" for k in "ec" for a in "xyz"})
+
+
+def _near(a: tuple, b: tuple) -> str:
+    return f"({A.norm(A.sub(a[1], b[1]), Duck)} <= 60 AND {A.angle_degrees(a[0], b[0], Duck)} <= 20)"
+
+
+@query(f"""WITH {_NEXT} SELECT seq, pose_id, CASE WHEN {_near(pose(), pose('n_'))} THEN 1 ELSE 0 END + CASE WHEN {_near(pose('n_'), pose())} THEN 2 ELSE 0 END
++ CASE WHEN {_near(A.relative(pose(), pose('n_'), Duck), A.relative(pose('n_'), pose(), Duck))} THEN 4 ELSE 0 END AS agrees FROM nexts""")
+def motion_consistency(spark, d):
+    p = M.with_pairs(trajectory(spark, d).drop("kind"))
+    p = p.select("*", *[F.col(f"{e}{n}").alias(f"p_{o}{n}") for e, o in (("e_", "b_"), ("b_", "e_")) for n in NAMES])
+    return M.consistent(p, 60.0, 20.0).select("seq", "pose_id", "agrees")
+
+
+@query(f"""WITH RECURSIVE {POSES}, s AS (SELECT seq, pose_id, row_number() OVER w AS r, coalesce({A.norm(tuple(Sql(f'({a} - lag({a}) OVER w)') for a in 'xyz'), Duck)}, 0) AS step FROM poses WINDOW w AS (PARTITION BY seq ORDER BY t, pose_id)),
+f AS (SELECT seq, pose_id, r, step AS gone, true AS enters, 0 AS skipped FROM s WHERE r = 1
+UNION ALL SELECT s.seq, s.pose_id, s.r, CASE WHEN f.enters THEN 0 ELSE f.gone END + s.step, CASE WHEN f.enters THEN 0 ELSE f.gone END + s.step >= 150 OR CASE WHEN f.enters THEN 0 ELSE f.skipped END + 1 >= 4, CASE WHEN f.enters THEN 0 ELSE f.skipped END + 1 FROM f JOIN s ON s.seq = f.seq AND s.r = f.r + 1)
+SELECT CAST(seq AS BIGINT) AS seq, pose_id, round(gone, 6) + 0.0 AS gone, enters FROM f""")
+def insertion_tracker(spark, d):
+    return rounded(M.entering(trajectory(spark, d), 150.0, 4), gone="gone")
+
+
+@query(f"WITH {POSES}, f AS (SELECT *, {_DAY.format(0)} - 19723 AS frame_id FROM poses) SELECT seq, frame_id, count(*) AS n FROM f WHERE frame_id BETWEEN 3 AND 12 GROUP BY ALL")
+def frames_capped(spark, d):
+    from ..sources import datasets
+
+    p = framed(spark, d).withColumn("frame_id", F.col("frame_id") - 19723)
+    return datasets.frame_range(p, 3, 10).groupBy("seq", "frame_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- files, read back as they were written -----------------------------------------------------------
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder that executors share: under spark.checkpoint.dir, or on this machine where that is unset and all runs here."""
