@@ -7,7 +7,7 @@ bounded sample of labelled rows. A part of the sample is kept back to calibrate:
 that makes the probabilities honest, and two bounds of rejection. A text is rejected if its best
 probability is too low, or if its subwords are too strange, by the mean negative log of their
 frequency in the sample (text in none of the learned languages can be far from all and yet nearer
-to one). Each bound is set so that `reject` of the rightly named kept-back texts fall beyond it.
+to one). Each bound is set so that a share `reject` of the rightly named kept-back texts falls beyond it.
 
 To predict, embeddings and linear layer fold into one weight for each bucket and language. Texts
 of more than a megabyte are taken in parts of a megabyte, and no subword reaches over two of them.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -99,12 +100,12 @@ class Model:
 
 @dataclass(frozen=True)
 class LanguageId:
-    """sample: labelled rows that are expected to be fitted on, as evenly over the languages as they allow; whole texts of them."""
+    """sample: labelled rows that are expected to be fitted on, as evenly over the languages as they allow; whole texts of them. steps: of descent, about."""
 
     sample: int = 3000
     bits: int = 15
     width: int = 16
-    epochs: int = 4
+    steps: int = 9600
     rate: float = 0.5
     held: float = 0.2
     reject: float = 0.001
@@ -138,24 +139,24 @@ class LanguageId:
 
         picked = rows.filter(u < share).mapInArrow(count, "doc_id long, label string, buckets array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
         number = {k: i for i, k in enumerate(languages)}
-        data, often = [], np.ones(1 << self.bits)
+        data = []
         for b, c, y in zip(picked["buckets"], picked["counts"], picked["label"], strict=True):
             bucket, n = b.values.to_numpy(), c.values.to_numpy()
             if len(bucket):
-                data.append((bucket, n / n.sum(), number[y.as_py()]))
-                often[bucket] += n
-        return self._train(data, languages, np.log(often.sum()) - np.log(often))
+                data.append((bucket, n / n.sum(), number[y.as_py()], n.sum()))
+        return self._train(data, languages)
 
-    def _train(self, data: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], rarity: np.ndarray) -> Model:
+    def _train(self, data: list[tuple[np.ndarray, np.ndarray, int, int]], languages: list[str]) -> Model:
         rng = np.random.Generator(np.random.PCG64(self.seed))
         e = rng.uniform(-1, 1, (1 << self.bits, self.width)).astype(np.float32) / self.width
         w, bias = np.zeros((self.width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
         order = rng.permutation(len(data))
         kept, fitted = np.split(order, [int(len(data) * self.held)])
-        steps, done = max(1, self.epochs * len(fitted)), 0
-        for _ in range(self.epochs):
+        epochs, done = -(-self.steps // max(1, len(fitted))), 0
+        steps = max(1, epochs * len(fitted))
+        for _ in range(epochs if len(fitted) else 0):
             for i in rng.permutation(fitted).tolist():
-                bucket, share, y = data[i]
+                bucket, share, y, _ = data[i]
                 rate = np.float32(self.rate * (1 - done / steps))
                 h = share.astype(np.float32) @ e[bucket]
                 g = h @ w + bias
@@ -167,6 +168,10 @@ class LanguageId:
                 bias -= rate * np.float32(0.1) * g
                 e[bucket] -= rate * np.minimum(1, 20 * share).astype(np.float32)[:, None] * back
                 done += 1
+        often = np.ones((len(languages), 1 << self.bits))  # of the rows that were fitted, so that those kept back are as strange as new ones
+        for i in fitted.tolist():
+            often[data[i][2], data[i][0]] += data[i][1] * data[i][3]
+        rarity = -np.log((often / often.sum(1, keepdims=True)).mean(0))  # each language counts alike
         model = Model(languages, self.bits, (e @ w).astype(np.float64), bias.astype(np.float64), rarity=rarity)
         if len(kept):
             z = np.array([data[i][1] @ model.weight[data[i][0]] + model.bias for i in kept])
@@ -180,10 +185,16 @@ class LanguageId:
             p = model.probabilities(z)
             right = p.argmax(1) == y
             if right.any():
-                model.threshold = float(np.quantile(p.max(1)[right], self.reject))
-                model.strange = float(np.quantile([data[i][1] @ rarity[data[i][0]] for i in kept[right]], 1 - self.reject))
+                top = np.clip(p.max(1)[right], 1e-12, 1 - 1e-12)
+                model.threshold = float(1 / (1 + np.exp(-self._bound(np.log(top / (1 - top)), -1))))
+                model.strange = float(self._bound(np.array([data[i][1] @ rarity[data[i][0]] for i in kept[right]]), 1))
         return model
 
+    def _bound(self, values: np.ndarray, side: int) -> float:
+        """What a share `reject` of values is beyond on one side: their quantile, or what a normal law of their mean and spread gives where the kept-back rows are too few to show so small a share."""
+        tail = values.mean() + side * NormalDist().inv_cdf(1 - self.reject) * values.std()
+        return side * max(side * np.quantile(values, self.reject if side < 0 else 1 - self.reject), side * tail)
+
     def predict(self, docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, lang_pred, score, rejected."""
         shared = docs.sparkSession.sparkContext.broadcast(model)
