@@ -101,7 +101,7 @@ class Items:
 
 @dataclass(frozen=True)
 class Decontaminator:
-    """tolerance: word edits a word of the item; items, chars: of one block at most (a longer item is a block of its own)."""
+    """tolerance: word edits a word of the item; items, chars: of one block, about (an item of more characters is a block of its own)."""
 
     tolerance: float = 0.2
     items: int = 20_000
@@ -112,16 +112,19 @@ class Decontaminator:
         spark = docs.sparkSession
         small_batches(spark)
         items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.col(item_text).cast("string")).alias("text")).filter("item_id is not null and text is not null")
-        count, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        short = F.length("text") <= self.chars
+        count, chars = items.filter(short).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
         blocks = max(1, -(-count // self.items), -(-chars // self.chars))
+        long = [r.item_id for r in items.filter(~short).select("item_id").distinct().orderBy("item_id").collect()]
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text")).filter("doc_id is not null")
 
-        def scan(block: int) -> DataFrame:
-            rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        def scan(these) -> DataFrame:
+            rows = items.filter(these).orderBy("item_id", "text").collect()
             shared = spark.sparkContext.broadcast(Items.of([r.item_id for r in rows], [r.text for r in rows], self.tolerance))
             return texts.mapInArrow(lambda b: _search(b, shared), SCHEMA)
 
-        return reduce(DataFrame.unionByName, map(scan, range(blocks))).distinct()
+        parts = [short & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)] + [~short & (F.col("item_id") == i) for i in long]
+        return reduce(DataFrame.unionByName, map(scan, parts)).distinct()
 
     def clean(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
         """The rows of docs, all columns as they are, in which no item occurs."""

@@ -132,7 +132,9 @@ def each_with_next(docs: DataFrame, run, schema: str, id_col: str = "doc_id", te
 
     Rows are dealt once, into blocks of neighbouring ids (about `block` of them, at most `blocks`
     blocks), and streamed in order of id. A block also gets the first row of the next one; the
-    last block gets the first row of all.
+    last block gets the first row of all. Rows without an id are left out; null text is empty; rows
+    of one id stand in order of their texts, and a block that begins with several of them hands all
+    of them on, of which the last row before takes the first; a single row is its own successor.
     """
     spark = docs.sparkSession
     small_batches(spark)
