@@ -168,11 +168,12 @@ _DAY = "CAST(floor((t + {0}) / 86400) AS BIGINT)"
 @query(f"""WITH {POSES}, truth AS (SELECT *, {_DAY.format(0)} AS frame_id, row_number() OVER (PARTITION BY seq ORDER BY {_DAY.format(0)}, t, pose_id) AS r, count(*) OVER (PARTITION BY seq) AS c FROM poses WHERE kind = 'view'),
 asked AS (SELECT seq, pose_id, t, {_DAY.format(40000)} AS frame_id FROM poses WHERE kind <> 'view'),
 found AS (SELECT q.seq, q.pose_id, q.frame_id, min(p.r) AS hi FROM asked q LEFT JOIN truth p ON p.seq = q.seq AND (p.frame_id > q.frame_id OR (p.frame_id = q.frame_id AND p.t >= q.t)) GROUP BY ALL)
-SELECT f.seq, f.pose_id, f.frame_id, CASE WHEN f.hi IS NOT NULL THEN l.pose_id WHEN e.frame_id = f.frame_id THEN e.pose_id END AS lo_id, CASE WHEN f.hi IS NOT NULL THEN h.pose_id WHEN e.frame_id = f.frame_id THEN e.pose_id END AS hi_id
+SELECT f.seq, f.pose_id, f.frame_id, CASE WHEN f.hi IS NOT NULL THEN l.pose_id WHEN e.frame_id = f.frame_id THEN e.pose_id ELSE -1 END AS lo_id, CASE WHEN f.hi IS NOT NULL THEN h.pose_id WHEN e.frame_id = f.frame_id THEN e.pose_id ELSE -1 END AS hi_id
 FROM found f LEFT JOIN truth h ON h.seq = f.seq AND h.r = f.hi LEFT JOIN truth l ON l.seq = f.seq AND l.r = greatest(f.hi - 1, 1) LEFT JOIN truth e ON e.seq = f.seq AND e.r = e.c""")
 def traj_bracket_frame(spark, d):
     truth, asked = framed(spark, d).filter("kind = 'view'").drop("kind"), framed(spark, d, 40000).filter("kind <> 'view'").drop("kind")
-    return T.bracket_frames(truth, asked).select("seq", "pose_id", "frame_id", F.col("lo.pose_id").alias("lo_id"), F.col("hi.pose_id").alias("hi_id"))
+    known = lambda end: F.coalesce(F.col(f"{end}.pose_id"), F.lit(-1)).alias(f"{end}_id")
+    return T.bracket_frames(truth, asked).select("seq", "pose_id", "frame_id", known("lo"), known("hi"))
 
 
 @query(f"WITH {POSES} SELECT seq, pose_id FROM poses WHERE {_DAY.format(0)} BETWEEN 19730 AND 19735")
@@ -910,7 +911,7 @@ def trajectory_file_roundtrip(spark, d):
     return rounded(back.select("seq", F.col("b_frame_id").alias("frame_id"), *both), **both).withColumn("seq", F.col("seq").cast("long"))
 
 
-@query(f"WITH {_LINES} SELECT line AS record, round(t, 6) + 0.0 AS timestamp, {listed({'qx': 'qx', 'qy': 'qy', 'qz': 'qz', 'qw': 'qw', 'wx': 'x', 'wy': 'y', 'wz': 'z'})}, CAST(NULL AS DOUBLE) AS ax, round(x, 6) + 0.0 AS orientation_cov_c_4 FROM lines")
+@query(f"WITH {_LINES} SELECT line AS record, round(t, 6) + 0.0 AS timestamp, {listed({'qx': 'qx', 'qy': 'qy', 'qz': 'qz', 'qw': 'qw', 'wx': 'x', 'wy': 'y', 'wz': 'z'})}, true AS no_ax, round(x, 6) + 0.0 AS orientation_cov_c_4 FROM lines")
 def imu_roundtrip(spark, d):
     at = folder(spark, "imu")
     p = trajectory(spark, d).withColumn("record", F.row_number().over(Window.partitionBy("seq").orderBy("pose_id")) - 1)
@@ -918,7 +919,7 @@ def imu_roundtrip(spark, d):
     rows = rows.select("*", *[F.lit(0.0).alias(c) for c in ("ax", "ay", "az", *[f"{b}_cov_c_{i}" for b in ("angular_velocity", "linear_acceleration") for i in range(9)])])
     IO.write_imu(rows, at, blocks=("properties", "orientation", "angular_velocity", "orientation_cov"), name="imu_%d.ply")
     names = ("timestamp", "qx", "qy", "qz", "qw", "wx", "wy", "wz", "orientation_cov_c_4")
-    return rounded(IO.read_imu(spark, at).select("record", "ax", *names), **{n: n for n in names})
+    return rounded(IO.read_imu(spark, at).select("record", F.col("ax").isNull().alias("no_ax"), *names), **{n: n for n in names})
 
 
 @query(f"WITH {VECTORS} SELECT CAST(frame_id AS BIGINT) AS frame_id, count(*) AS n, {listed({a: f'sum(CAST(round(({a} + 100) / 0.005) AS INT) * 0.005 - 100)' for a in C.AXES})} FROM points GROUP BY frame_id")
