@@ -1,9 +1,9 @@
 """Shuffles of many small records as few rows: records of one bucket travel as one binary value.
 
 A row is (bucket, kind, blob). A kind is a list of numpy types, and a blob holds that many arrays
-of equal length, one after another. The type d8 stands for unsigned 64-bit numbers in ascending
-order, of which the differences are written, byte by byte of all of them, so that what they have in
-common compresses. Buckets are drawn from hashes, so they are alike in size.
+of equal length, one after another. The type d8 stands for unsigned 64-bit numbers in about
+ascending order, of which the differences are written, byte by byte of all of them, so that what they
+have in common compresses. Buckets are drawn from hashes, so they are alike in size.
 """
 
 from __future__ import annotations

@@ -40,11 +40,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of steps whose tables are written: Python's handles go, then the JVM's, then the files, each in a thread of its own."""
+    """Have Spark delete the shuffle files of steps whose tables are written.
+
+    Python's handles go, then the JVM's, then the files, each in a thread of its own; the last one asks
+    all executors about one broadcast after the other before it comes to the shuffles.
+    """
     gc.collect()
-    time.sleep(0.3)
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
-    time.sleep(0.7)
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(3)
 
 
 def in_order(df: DataFrame) -> bool:
