@@ -305,6 +305,10 @@ def test_language(spark, docs, empty):
 def test_licenses(spark, docs):
     got = {r.doc_id: (r.license_id, r.line_licenses) for r in licenses.scan(docs, licenses.digests(spark)).collect()}
     assert got[16] == ("MIT", "MIT") and all(v == (None, "") for k, v in got.items() if k != 16)
+    clause = licenses._BSD_2 + licenses._BSD_3 + licenses._BSD_END
+    rows = [(1, "Copyright (c) 1999 Someone\n\n" + clause.replace("COPYRIGHT HOLDERS", "copyright owners").upper()), (2, clause + " And more."), (3, "Text.\nThis work is licenced under the GNU General Public Licence, version 2.\nReleased under CC0 1.0!")]
+    more = {r.doc_id: (r.license_id, r.line_licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.digests(spark)).collect()}
+    assert more == {1: ("BSD-3-Clause", ""), 2: (None, ""), 3: (None, "CC0-1.0,GPL-2.0-only")}
 
 
 def test_repeats(docs):
