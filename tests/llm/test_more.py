@@ -278,7 +278,7 @@ def test_each_stage_against_brute_force(spark, planted):
     # secrets: every row stays, its text and size made to fit
     kept, safe = after("secrets", kept)
     assert safe == collections.Counter({(i, redacted(t)): n for (i, t), n in clean.items()})
-    assert sum(n for (_, t), n in safe.items() if "[secret]" in t) >= 4 and kept.filter("text like '%[secret]%' and n_chars <> length(text)").count() == 0
+    assert sum(n for (_, t), n in safe.items() if "[secret]" in t) >= 2 and kept.filter("text like '%[secret]%' and n_chars <> length(text)").count() == 0
     # packing: every id of every document once
     tokenizer, pieces = Tokenizer.from_file(queries.TOKENIZER), collections.defaultdict(list)
     for r in stages["packing"](spark, kept, at).collect():
