@@ -8,8 +8,9 @@ Copies with equal sets are one class and take part once. In each bucket of a ban
 are held against one pivot (a star, not all pairs), in some rounds with another pivot each, in
 which only members outside the pivot's component still count. Buckets whose members are not yet
 in one component afterwards go through a last pass that holds members of different components
-against each other, block by block: first by signatures alone, then the texts of those that may
-have a partner. It tells the links alone.
+against each other: first by signatures alone, then the texts of those that may have a partner. It
+tells the links alone. Members of buckets too large for that are held against those alone with
+which they share one of their rarest shingles, as any link does (module rarest).
 
 Tables that a hot bucket or pivot meets are written before they are joined, so Spark can split it.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bitfilter, kernel
+from . import bitfilter, kernel, rarest
 from .graph import components
 from .workspace import Workspace
 
@@ -43,7 +44,8 @@ class MinMaxDedup:
     escapes all bands with probability 2e-8, one at 0.8 with 3e-6. slack: a pair may be left out
     of the last pass if its signatures agree in less than num/den - slack of their values; this adds
     less than 1e-9 to either. Sets are those of 64-bit hashes of shingles, equal sets are told by
-    128 bits. rounds: of stars; star, block: rows that one group of a task holds.
+    128 bits. rounds: of stars; star, block: rows that one group of a task holds; in the last pass,
+    the members of buckets of more than `block` are compared by their rarest shingles.
     """
 
     shingle_words: int = 5
@@ -150,57 +152,67 @@ class MinMaxDedup:
         return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
     def _mixed(self, members: DataFrame, labels: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-        """members with their component's label, and the buckets that hold more than one, with the blocks they make."""
+        """members with their component's label, and the buckets that hold more than one, with whether they are crowded."""
         named = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
         named = work.keep(named, "named")
         mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
-        return named, work.keep(mixed.select("bucket", F.ceil(F.col("m") / self.block).cast("int").alias("blocks")), "mixed")
+        return named, work.keep(mixed.select("bucket", (F.col("m") > self.block).alias("crowded")), "mixed")
 
     def _across(self, rows: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, work: Workspace) -> DataFrame:
         """Links (a, b) between different components of one bucket.
 
-        A task gets two blocks of a bucket: signatures first, which leave few members with a partner
-        they may be linked to, then the texts of these, to hold full sets against each other. A pair
-        is looked at in the first of the bands that it shares, and no longer once its components are
-        linked there.
+        A task gets a bucket: signatures first, which leave few members with a partner they may be
+        linked to, then the texts of these, to hold full sets against each other. A pair is looked
+        at in the first of the bands that it shares, and no longer once its components are linked
+        there. The members of crowded buckets are one crowd, whatever their buckets.
         """
-        own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-        full = rows.drop("n").join(reps.select("class_id", "n", "bands", "sig"), "class_id")
-        dealt = full.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "class_id", "label", "n", "bands", "sig")
-        by_blocks = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        near = work.keep(by_blocks(dealt).mapInArrow(self._with_partners, dealt.schema), "near")
-        ids = near.select(F.xxhash64("class_id").alias("k")).distinct()
-        texts = self._texts(docs, bitfilter.build(rows.sparkSession, ids, "k", ids.count()), id_col, text_col).withColumnRenamed("id", "class_id")
-        return by_blocks(near.join(texts.dropDuplicates(["class_id"]), "class_id").select(*dealt.columns, "text")).mapInArrow(self._compare, "a long, b long").distinct()
-
-    def _partners(self, key: tuple, t: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each row of block key[1], the rows of block key[2] that its signature leaves it."""
-        own, ids, n = (t.column(c).to_numpy() for c in ("own", "class_id", "n"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(own), -1)
-        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+        dealt = rows.filter("not crowded").drop("n", "crowded").join(reps.select("class_id", "n", "bands", "sig"), "class_id").select("bucket", "band", "class_id", "label", "n", "bands", "sig")
+        by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+        near = work.keep(by_bucket(dealt).mapInArrow(self._with_partners, dealt.schema), "near")
+        texts = self._some_texts(near.select("class_id"), docs, id_col, text_col)
+        links = by_bucket(near.join(texts, "class_id").select(*dealt.columns, "text")).mapInArrow(self._compare, "a long, b long").distinct()
+        named = work.keep(rows.filter("crowded").select("class_id", "label").distinct(), "crowded")
+        if named.isEmpty():
+            return links
+        crowd = named.join(self._some_texts(named.select("class_id"), docs, id_col, text_col), "class_id").select("class_id", "label", "text")
+        crowd = work.keep(crowd.mapInArrow(self._sets, "id long, label long, set binary"), "crowd")
+        return links.union(self._confirm(rarest.pairs(crowd, self.num, self.den), docs, id_col, text_col, work)).distinct()
+
+    def _some_texts(self, ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """class_id and text of at least these documents, each once."""
+        ids = ids.select(F.xxhash64("class_id").alias("k")).distinct()
+        return self._texts(docs, bitfilter.build(docs.sparkSession, ids, "k", ids.count()), id_col, text_col).withColumnRenamed("id", "class_id").dropDuplicates(["class_id"])
+
+    def _sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sets in kernel.text_shingles(batch.column(2), self.shingle_words):
+                part = batch.slice(first, len(sets))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "label", "set"])
+
+    def _partners(self, t: pa.Table, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of a bucket, the rows with greater ids that its signature leaves it."""
+        ids, n = (t.column(c).to_numpy() for c in ("class_id", "n"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         band, least = t.column("band")[0].as_py(), (self.num / self.den - self.slack) * sig.shape[1]
-        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        for i in left.tolist():
-            k = right[(label[i] != label[right]) & (self.den * np.minimum(n[i], n[right]) >= self.num * np.maximum(n[i], n[right]))]
-            if key[1] == key[2]:
-                k = k[ids[i] < ids[k]]
+        for i in range(len(ids)):
+            k = np.flatnonzero((ids > ids[i]) & (label[i] != label) & (self.den * np.minimum(n[i], n) >= self.num * np.maximum(n[i], n)))
             k = k[(sig[i] == sig[k]).sum(1) >= least]
             yield i, k[(bands[i] == bands[k]).argmax(1) == band]
 
     def _with_partners(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in _groups(batches, 3):
+        for t in _groups(batches):
             some = np.zeros(t.num_rows, bool)
-            for i, k in self._partners(key, t, t.column("label").to_numpy()):
+            for i, k in self._partners(t, t.column("label").to_numpy()):
                 some[k] = True
                 some[i] |= len(k) > 0
             yield from t.filter(pa.array(some)).to_batches()
 
     def _compare(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, t in _groups(batches, 3):
+        for t in _groups(batches):
             sets = [x for _, part in kernel.text_shingles(t.column("text"), self.shingle_words) for x in part]
             ids, label, links = t.column("class_id").to_numpy(), t.column("label").to_numpy().copy(), []
-            for i, right in self._partners(key, t, label):
+            for i, right in self._partners(t, label):
                 for k in right.tolist():
                     if label[i] != label[k] and _similar(sets[i], sets[k], self.num, self.den):
                         links.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
@@ -295,20 +307,20 @@ def _wanted(shared):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Consecutive rows that agree in the first `keys` (non-null long) columns, over the bounds of batches."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first (non-null long) column, over the bounds of batches."""
     held, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
-        cut = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        k = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), batch.num_rows]
         for s, e in zip(cut, cut[1:], strict=False):
-            key = tuple(k[:, s].tolist())
+            key = int(k[s])
             if held and key != last:
-                yield last, pa.Table.from_batches(held).combine_chunks()
+                yield pa.Table.from_batches(held).combine_chunks()
                 held = []
             held.append(batch.slice(s, e - s))
             last = key
     if held:
-        yield last, pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks()

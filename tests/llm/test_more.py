@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pointweave.llm import bitfilter, blobs, kernel, packing, queries, secret_ledger, workspace
+from pointweave.llm import bitfilter, blobs, kernel, packing, queries, rarest, secret_ledger, workspace
 from pointweave.llm.decontaminate import Decontaminator
 from pointweave.llm.langid import LanguageId
 from pointweave.llm.minmax_dedup import MinMaxDedup
 from pointweave.llm.suffix_tree import SuffixTreeScorer
+from pointweave.llm.workspace import Workspace
 
 SF = "/root/testdata/sf0.01"
 
@@ -113,6 +114,50 @@ def test_last_pass_over_blocks(spark):
         assert got == want and len(set(want.values())) == 30
 
 
+def test_rarest_members_lose_no_pair(spark):
+    """A crowd with most members in common: few candidates, all pairs that are similar enough, in one block or several."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    common, few = draw(300), draw(24)
+    sets = []
+    for _ in range(400):  # about 300 that all have, some of a few that many have, and some of their own
+        sets.append(np.concatenate((rng.choice(common, int(rng.integers(280, 301)), replace=False), rng.choice(few, int(rng.integers(0, 8)), replace=False), draw(int(rng.integers(0, 70))))))
+    sets += [np.concatenate((x[:-15], draw(15))) for x in sets[:100]]
+    sets = [np.unique(x) for x in sets]
+    want, held = set(), [set(x.tolist()) for x in sets]
+    for i, x in enumerate(held):
+        for j in range(i):
+            both = len(x & held[j])
+            if i % 7 != j % 7 and 100 * both >= 85 * (len(x) + len(held[j]) - both):
+                want.add((j, i))
+    crowd = spark.createDataFrame([(i, i % 7, x.tobytes()) for i, x in enumerate(sets)], "id long, label long, set binary")
+    for block in (4096, 16):
+        found = [(r.a, r.b) for r in rarest.pairs(crowd, 85, 100, block=block).collect()]
+        assert len(found) == len(set(found)) and want <= set(found) and len(want) > 1000
+    apart = spark.createDataFrame([(i, i, np.unique(np.concatenate((common, draw(60)))).tobytes()) for i in range(400)], "id long, label long, set binary")
+    assert rarest.pairs(apart, 85, 100).count() == 0  # 79800 pairs share 300 of 420
+
+
+def test_rows_of_a_crowded_bucket_follow_its_size(spark, monkeypatch):
+    """The last pass writes and joins no more rows of a bucket of unlinked texts than it has members."""
+    rng = np.random.default_rng(9)
+    common = " ".join(f"c{k}" for k in range(90))
+    texts = [f"{common} " + " ".join(f"o{i}x{k}" for k in range(int(rng.integers(14, 18)))) for i in range(160)]
+    texts += [t + " z" for t in texts[:20]]
+    want = components({i: shingles(t, 3) for i, t in enumerate(texts)}, 85, 100)
+    rows, keep = {}, Workspace.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "keep", counted)
+    got = MinMaxDedup(shingle_words=3, num=85, den=100, rounds=1, block=8).components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+    assert rows["rows"] > 8 * 160 and rows["near"] <= rows["rows"] and rows["crowd"] <= len(texts)
+
+
 def test_texts_of_other_languages_are_rejected(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 200")
     language = LanguageId()
