@@ -57,8 +57,6 @@ VALUE, ASKED, TEXT, SUM, RUN = range(5)
 TYPES = {VALUE: ("d8", "f8", "u1", "f8"), ASKED: ("d8", "u8", "u2", "u4"), TEXT: ("u8", "u2", "i8", "i8", "i8", "f8", "f8"), SUM: ("u8", "u2", "u4", "f8", "f8"), RUN: ("d8", "u8", "u4")}
 #: Records that a task gathers before it sums them up, or that a bucket is meant to hold.
 ROOM = 1 << 20
-#: Bits above the lowest PART decide in which round a key is looked up.
-PART = 8
 #: Symbols of a document's bounds, and what tells a state's key from that of the same run as a successor.
 START, END, STATE = U64(0x6A09E667F3BCC909), U64(0xBB67AE8584CAA73B), U64(0x3C6EF372FE94F82B)
 
@@ -254,7 +252,7 @@ class Cache:
 @dataclass(frozen=True)
 class SuffixTreeScorer:
     """context, pair: least numbers of occurrences; discount: taken off each kept successor's count; cached: values broadcast at most;
-    rounds: parts of the keys that texts look up one after another, so that the shuffle of one part is on disk at a time."""
+    rounds: parts of the texts that are scored one after another, so that the shuffles of one part are on disk at a time."""
 
     depth: int = 3
     context: int = 8
@@ -307,11 +305,15 @@ class SuffixTreeScorer:
         release(spark)
         parts = []
         for r in range(self.rounds):
-            asked = texts.mapInArrow(lambda b, r=r: _ask(b, depth, tree, cache, keys, buckets, (r, self.rounds)), blobs.SCHEMA)
-            told = values.filter(F.shiftrightunsigned("key", PART) % self.rounds == r).select("key", "v", F.col("known").cast("byte"), "base").mapInArrow(lambda b: _tell(b, buckets), blobs.SCHEMA)
-            parts.append(work.keep(blobs.gathered(asked.unionByName(told)).mapInArrow(lambda b: _answer(b, buckets), blobs.SCHEMA), "sums"))
+            some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(self.rounds)) == r)
+            asked = some.mapInArrow(lambda b: _ask(b, depth, tree, cache, keys, buckets), blobs.SCHEMA)
+            told = values.select("key", "v", F.col("known").cast("byte"), "base").mapInArrow(lambda b: _tell(b, buckets), blobs.SCHEMA)
+            sums = work.keep(blobs.gathered(asked.unionByName(told)).mapInArrow(lambda b: _answer(b, buckets), blobs.SCHEMA), "sums")
             release(spark)
-        rows = blobs.gathered(reduce(DataFrame.unionByName, parts)).mapInArrow(_total, "doc_id long, n_tokens long, known long, logs double, score double")
+            parts.append(work.keep(blobs.gathered(sums).mapInArrow(_total, "doc_id long, n_tokens long, known long, logs double, score double"), "totals"))
+            work.drop(sums)
+            release(spark)
+        rows = reduce(DataFrame.unionByName, parts)
         base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(tokens + types + 1)))
         score = F.col("score") + (F.col("n_tokens") - F.col("known")) * F.lit(float(np.log10(tree.unknown)))
         return rows.select(
@@ -451,13 +453,12 @@ class Group:
     def __init__(self):
         self.texts, self.rows, self.asked, self.size, self.count = [], [], [], 0, 0
 
-    def records(self, buckets: int, with_texts: bool) -> Iterator[pa.RecordBatch]:
+    def records(self, buckets: int) -> Iterator[pa.RecordBatch]:
         if not self.texts:
             return
         words, (text, *row) = np.concatenate(self.texts), blobs.joined(self.rows)
         name = kernel.mix(np.array([kernel.mix(words + kernel.mix(np.arange(len(words), dtype=U64))).sum(dtype=U64) ^ kernel.mix(row[0].view(U64) + kernel.mix(np.arange(len(text), dtype=U64))).sum(dtype=U64)]))[0]
-        if with_texts:
-            yield from blobs.deal(TEXT, TYPES[TEXT], home(name, text, buckets), np.full(len(text), name), text, *row)
+        yield from blobs.deal(TEXT, TYPES[TEXT], home(name, text, buckets), np.full(len(text), name), text, *row)
         if self.asked:
             key, text, times = blobs.joined(self.asked)
             order = np.argsort(key)
@@ -470,9 +471,8 @@ def home(group: np.uint64, text: np.ndarray, buckets: int) -> np.ndarray:
     return blobs.bucket_of(kernel.mix(group ^ (text >> 7).astype(U64)), buckets)
 
 
-def _ask(batches: Iterator[pa.RecordBatch], depth: int, tree: Tree, cache, keys, buckets: int, part: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """ASKED records of the keys of one round that the cache doesn't hold; in the first round also TEXT records with the sums over those that it holds."""
-    turn, rounds = part
+def _ask(batches: Iterator[pa.RecordBatch], depth: int, tree: Tree, cache, keys, buckets: int) -> Iterator[pa.RecordBatch]:
+    """ASKED records of the keys that the cache doesn't hold; TEXT records with the sums over those that it holds."""
     cache, keys, group = cache.value, keys.value, Group()
     end = (float(tree.log0[tree.end]) if tree.n_docs else 0.0, int(tree.n_docs > 0), float(np.log10(tree.n_docs + 1.0)))
     for batch in batches:
@@ -482,8 +482,8 @@ def _ask(batches: Iterator[pa.RecordBatch], depth: int, tree: Tree, cache, keys,
             for r in runs(c, depth + 1):
                 if place is None:
                     name, one, place = np.unique(r.texts, return_index=True, return_inverse=True)
-                    if group.count + len(name) > 1 << 16 or group.size > ROOM * 2:
-                        yield from group.records(buckets, turn == 0)
+                    if group.count + len(name) > 1 << 16 or group.size > ROOM:
+                        yield from group.records(buckets)
                         group = Group()
                     place = place + group.count
                     alone = np.zeros(c.n, bool)  # equal texts are looked up once
@@ -496,12 +496,12 @@ def _ask(batches: Iterator[pa.RecordBatch], depth: int, tree: Tree, cache, keys,
                     doc = r.doc[i]  # noqa: B023
                     slot = cache.slot(x)
                     hit = cache.key[slot] == x
-                    found, slot = (doc[hit], slot[hit]) if not turn else (doc[:0], slot[:0])
+                    found, slot = doc[hit], slot[hit]
                     sums[0] += np.bincount(found, cache.v[slot], sums.shape[1])  # noqa: B023
                     if worded:
                         sums[1] += np.bincount(found, minlength=sums.shape[1])  # noqa: B023
                         sums[2] += np.bincount(found, cache.base[slot], sums.shape[1])  # noqa: B023
-                    rest = np.flatnonzero(~hit & alone[doc] & ((x >> U64(PART)) % U64(rounds) == turn))  # noqa: B023
+                    rest = np.flatnonzero(~hit & alone[doc])  # noqa: B023
                     rest = rest[keys.has(x[rest])]
                     late.append((x[rest], doc[rest]))  # noqa: B023
 
@@ -514,10 +514,10 @@ def _ask(batches: Iterator[pa.RecordBatch], depth: int, tree: Tree, cache, keys,
             x, doc = blobs.joined(late)
             x, doc, times = blobs.add_up(2, x, doc, np.ones(len(x), np.int64))
             group.asked.append((x, place[doc], times))
-            group.size += int(r.symbol.size)  # alike in every round, so that groups are the same
+            group.size += int(r.symbol.size)
             score, known, total = sums
             group.rows.append((place, ids[c.first : c.first + c.n], tokens - 1, np.rint(known).astype(np.int64), total, score))
-    yield from group.records(buckets, turn == 0)
+    yield from group.records(buckets)
 
 
 def _tell(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:

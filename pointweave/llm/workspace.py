@@ -42,12 +42,14 @@ def delete(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of steps whose tables are written.
 
-    Python's handles go, then the JVM's, then the files, each in a thread of its own; the last one asks
-    all executors about one broadcast after the other before it comes to the shuffles.
+    Python's handles go, then the JVM's, then the files, each in a thread of its own. The first one looks
+    for handles once a second; what the last step ran is often held until the JVM collects a second time;
+    the last one asks all executors about one broadcast after the other before it comes to the shuffles.
     """
     gc.collect()
-    time.sleep(0.5)
-    spark.sparkContext._jvm.System.gc()
+    for wait in (1.5, 0.5):
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
     if not spark.sparkContext.master.startswith("local["):
         time.sleep(3)
 

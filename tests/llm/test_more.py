@@ -1,7 +1,9 @@
 """Whole queries against brute force, odd and long texts, recall, the pipeline's stages."""
 
 import collections
+import os
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -183,6 +185,30 @@ def test_equal_texts_and_shuffled_documents_score_alike(spark):
     assert key(one) == key(two) and len(one) == len(rows)
 
 
+def test_a_round_leaves_only_totals(spark):
+    rows = [(i, f"a b c d{i % 3} a b c") for i in range(60)]
+    folder = workspace.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    got = SuffixTreeScorer(cached=1).score(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id % 7 <> 2").collect()
+    (own,) = set(os.listdir(folder)) - before
+    left = [x.split("-", 1)[1] for x in sorted(os.listdir(f"{folder}/{own}"))]
+    assert len(got) == 60 and left.count("totals") == 2 and "sums" not in left
+
+
+def test_release_lets_shuffles_go(spark):
+    work, shuffles = Workspace(spark, "release"), spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    workspace.release(spark)
+    time.sleep(1)
+    for i in range(4):
+        time.sleep(0.2 * i)  # the thread that lets handles go may be anywhere in its second
+        before = shuffles().size()
+        work.keep(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("x")).count(), "counts")
+        assert shuffles().size() > before
+        workspace.release(spark)
+        time.sleep(0.5)
+        assert shuffles().size() <= before
+
+
 def test_other_tokenizers_encode_whole_texts(spark):
     path, texts = public_tokenizers.path("byte_bpe_50k.json"), ["Two  Words", "", None, "x\n\ny <|endoftext|> z"]
     tokenizer = Tokenizer.from_file(path)
