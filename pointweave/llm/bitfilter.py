@@ -7,7 +7,7 @@ holds three bits of each of its keys, hence a probe reads one word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,12 @@ class BitFilter:
         return (self.words[(keys >> self.shift).astype(np.int64)] & mask) == mask
 
 
-def build(spark: SparkSession, keys: DataFrame, column: str, count: int, max_bits: int = MAX_BITS):
+def build(spark: SparkSession, keys: DataFrame, column: str, count: int, max_bits: int = MAX_BITS, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None):
     """Broadcast of a BitFilter over a column of well mixed 64-bit keys; `count` rows are expected.
 
+    made: makes batches of the keys alone from those of `keys`, in the Python worker that takes their bits. A step
+    of its own in front would hold a second worker for each core, and Spark keeps all workers for later steps.
+
     Executors send the bits of keys, part of the filter by part of it, and then whole parts: what
     reaches the driver is the filter, of 2**max_bits bits at most, whatever the number of keys.
     """
@@ -45,7 +48,7 @@ def build(spark: SparkSession, keys: DataFrame, column: str, count: int, max_bit
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
+        for batch in made(batches) if made else batches:
             held.append(_bits_of(batch.column(0).to_numpy().view(np.uint64), bits))
             n += len(held[-1])
             if n > 1 << 21:
@@ -69,7 +72,7 @@ def build(spark: SparkSession, keys: DataFrame, column: str, count: int, max_bit
         if words is not None:
             yield blobs.row(0, [at], [words.tobytes()])
 
-    table = blobs.gathered(keys.select(column).mapInArrow(send, blobs.SCHEMA)).mapInArrow(gather, blobs.SCHEMA).toArrow()
+    table = blobs.gathered((keys if made else keys.select(column)).mapInArrow(send, blobs.SCHEMA)).mapInArrow(gather, blobs.SCHEMA).toArrow()
     words = np.zeros(size, np.uint64)
     for bucket, blob in zip(table["bucket"].to_pylist(), table["blob"], strict=True):
         words[bucket * part : (bucket + 1) * part] = np.frombuffer(blob.as_buffer(), np.uint64)

@@ -55,7 +55,7 @@ class SubstringDedup:
         spark, work, block, window = docs.sparkSession, Workspace(docs.sparkSession, "repeats"), self.block, self.window
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        index = bitfilter.build(spark, texts.mapInArrow(lambda b: _blocks(b, block), "h long"), "h", size // (4 * block), self.filter_bits)
+        index = bitfilter.build(spark, texts, "h", size // (4 * block), self.filter_bits, made=lambda b: _blocks(b, block))
         met = texts.mapInArrow(lambda b: _probe(b, index, block), "h long, doc_id long").groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
         anchors = work.keep(met.filter("x < y").select("h"), "anchors")
         release(spark)

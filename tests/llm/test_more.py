@@ -17,6 +17,7 @@ from pointweave.llm import bitfilter, blobs, kernel, packing, queries, rarest, s
 from pointweave.llm.decontaminate import Decontaminator
 from pointweave.llm.langid import LanguageId
 from pointweave.llm.minmax_dedup import MinMaxDedup
+from pointweave.llm.substring_dedup import SubstringDedup
 from pointweave.llm.suffix_tree import SuffixTreeScorer
 from pointweave.llm.workspace import Workspace
 
@@ -262,6 +263,25 @@ def test_blobs_and_filters(spark):
     assert workspace.in_order(spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 0")) and not workspace.in_order(df.repartition(2))
 
 
+def test_filters_of_repeats_take_one_worker_a_task(spark, monkeypatch):
+    df = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    twice = bitfilter.build(spark, df, "k", 3000, made=lambda b: (pa.RecordBatch.from_arrays([pa.array(np.repeat(x.column(0).to_numpy(), 2))], names=["k"]) for x in b))
+    assert np.array_equal(twice.value.words, bitfilter.build(spark, df, "k", 3000).value.words)
+
+    plans, build = [], bitfilter.build
+
+    def recorded(spark, keys, *rest, **named):
+        plans.append(keys._jdf.queryExecution().optimizedPlan().toString())
+        return build(spark, keys, *rest, **named)
+
+    monkeypatch.setattr(bitfilter, "build", recorded)
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, f"x {words} y"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in SubstringDedup().cut(docs).collect()}
+    assert got == {1: words, 2: "x y", 3: ""}
+    assert len(plans) == 3 and not any("MapInArrow" in p for p in plans)  # build() adds a Python step of its own
+
+
 def test_long_texts(spark, tmp_path):
     """Texts of several chunks, words of more than a block, through every query."""
     long = " ".join(f"w{i % 4099}x{i % 7}" for i in range(400_000))
