@@ -25,6 +25,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,7 @@ class LanguageId:
         share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, self.sample / len(languages) / counts[k]))]), F.col("label"))
         u = F.pmod(F.xxhash64("doc_id", F.lit(self.seed)), F.lit(1 << 30)) / float(1 << 30)
         bits = self.bits
+        small = np.int16 if bits < 16 else np.int32
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -133,20 +135,26 @@ class LanguageId:
                     n = np.bincount(back, np.concatenate([x for _, x in found]), len(u)).astype(np.int32)
                     cut = np.searchsorted(u >> bits, np.arange(c.n + 1))
                     u &= (1 << bits) - 1
-                    lists += [u[s:e].astype(np.int32) for s, e in zip(cut, cut[1:], strict=False)]
+                    lists += [u[s:e].astype(small) for s, e in zip(cut, cut[1:], strict=False)]
                     weights += [n[s:e] for s, e in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.int32()))], names=["doc_id", "label", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.list_(pa.from_numpy_dtype(small))), pa.array(weights, pa.list_(pa.int32()))], names=["doc_id", "label", "buckets", "counts"])
 
-        picked = rows.filter(u < share).mapInArrow(count, "doc_id long, label string, buckets array<int>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        kind = "smallint" if small is np.int16 else "int"
+        picked = rows.filter(u < share).mapInArrow(count, f"doc_id long, label string, buckets array<{kind}>, counts array<int>").toArrow()
         number = {k: i for i, k in enumerate(languages)}
         data = []
-        for b, c, y in zip(picked["buckets"], picked["counts"], picked["label"], strict=True):
-            bucket, n = b.values.to_numpy(), c.values.to_numpy()
+        # rows are read in order where they are: the driver holds the sample once, as it came
+        for i in pc.sort_indices(picked, sort_keys=[("doc_id", "ascending"), ("label", "ascending")]).to_pylist():
+            bucket, n = (picked[c][i].values.to_numpy() for c in ("buckets", "counts"))
             if len(bucket):
-                data.append((bucket, n / n.sum(), number[y.as_py()], n.sum()))
-        return self._train(data, languages)
+                data.append((bucket, n, number[picked["label"][i].as_py()]))
+        model = self._train(data, languages)
+        del picked, data
+        pa.default_memory_pool().release_unused()
+        return model
 
-    def _train(self, data: list[tuple[np.ndarray, np.ndarray, int, int]], languages: list[str]) -> Model:
+    def _train(self, data: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str]) -> Model:
+        """data: buckets of each text, how often each occurs, and the number of its language."""
         rng = np.random.Generator(np.random.PCG64(self.seed))
         e = rng.uniform(-1, 1, (1 << self.bits, self.width)).astype(np.float32) / self.width
         w, bias = np.zeros((self.width, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -156,7 +164,7 @@ class LanguageId:
         steps = max(1, epochs * len(fitted))
         for _ in range(epochs if len(fitted) else 0):
             for i in rng.permutation(fitted).tolist():
-                bucket, share, y, _ = data[i]
+                (bucket, _, y), share = data[i], _share(data[i])
                 rate = np.float32(self.rate * (1 - done / steps))
                 h = share.astype(np.float32) @ e[bucket]
                 g = h @ w + bias
@@ -170,11 +178,12 @@ class LanguageId:
                 done += 1
         often = np.ones((len(languages), 1 << self.bits))  # of the rows that were fitted, so that those kept back are as strange as new ones
         for i in fitted.tolist():
-            often[data[i][2], data[i][0]] += data[i][1] * data[i][3]
+            bucket, n, y = data[i]
+            often[y, bucket] += n
         rarity = -np.log((often / often.sum(1, keepdims=True)).mean(0))  # each language counts alike
         model = Model(languages, self.bits, (e @ w).astype(np.float64), bias.astype(np.float64), rarity=rarity)
         if len(kept):
-            z = np.array([data[i][1] @ model.weight[data[i][0]] + model.bias for i in kept])
+            z = np.array([_share(data[i]) @ model.weight[data[i][0]] + model.bias for i in kept])
             y = np.array([data[i][2] for i in kept])
 
             def loss(t: float) -> float:
@@ -187,7 +196,7 @@ class LanguageId:
             if right.any():
                 top = np.clip(p.max(1)[right], 1e-12, 1 - 1e-12)
                 model.threshold = float(1 / (1 + np.exp(-self._bound(np.log(top / (1 - top)), -1))))
-                model.strange = float(self._bound(np.array([data[i][1] @ rarity[data[i][0]] for i in kept[right]]), 1))
+                model.strange = float(self._bound(np.array([_share(data[i]) @ rarity[data[i][0]] for i in kept[right]]), 1))
         return model
 
     def _bound(self, values: np.ndarray, side: int) -> float:
@@ -212,6 +221,10 @@ class LanguageId:
         return docs.filter(~rejected(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
 
 
+def _share(row: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    return row[1] / row[1].sum()
+
+
 def _name(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     n = len(column)
     names, score, rejected = [UNDETERMINED] * n, np.zeros(n), np.ones(n, bool)

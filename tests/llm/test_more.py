@@ -177,6 +177,19 @@ def test_texts_of_other_languages_are_rejected(spark):
     assert (low.lang_pred, low.score) == (up.lang_pred, up.score)
 
 
+def test_the_driver_holds_the_sample_once(spark, monkeypatch):
+    seen, train = [], LanguageId._train
+
+    def held(self, data, languages):
+        seen.append((sum(x.nbytes for row in data for x in row if isinstance(x, np.ndarray)), sum(len(row[0]) for row in data), len(data)))
+        return train(self, data, languages)
+
+    monkeypatch.setattr(LanguageId, "_train", held)
+    model = LanguageId(steps=50).fit(spark.read.parquet(f"{SF}/documents.parquet"), "true")
+    size, subwords, rows = seen[0]
+    assert rows > 100 and size <= 6 * subwords and model.languages
+
+
 def test_equal_texts_and_shuffled_documents_score_alike(spark):
     rows = [(i, f"a b c d{i % 3} a b c") for i in range(60)] + [(7, "a b c d1 a b c")] * 5 + [(7, "other words")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
