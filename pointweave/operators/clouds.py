@@ -79,6 +79,126 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class Tree:
+    """Leaves that hold about as many points each, by cuts at the median of the widest axis. Nodes are numbered as in a heap from 1, leaves are its last level."""
+
+    depth: int
+    axis: np.ndarray
+    cut: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def over(p: np.ndarray, depth: int) -> Tree:
+        n = 2 << depth
+        t = Tree(depth, np.zeros(n, int), np.full(n, np.inf), np.full((n, 3), -np.inf), np.full((n, 3), np.inf))
+        own = {1: p}
+        for node in range(1, 1 << depth):
+            q = own.pop(node)
+            if len(q):
+                t.axis[node] = np.ptp(q, axis=0).argmax()
+                t.cut[node] = np.median(q[:, t.axis[node]])
+            axis, right = t.axis[node], q[:, t.axis[node]] >= t.cut[node]
+            for side, child in enumerate((2 * node, 2 * node + 1)):
+                t.low[child], t.high[child], own[child] = t.low[node], t.high[node], q[right == side]
+                (t.low if side else t.high)[child, axis] = t.cut[node]
+        return t
+
+    def home(self, p: np.ndarray) -> np.ndarray:
+        node = np.ones(len(p), int)
+        for _ in range(self.depth):
+            node = 2 * node + (p[np.arange(len(p)), self.axis[node]] >= self.cut[node])
+        return node
+
+    def reached(self, p: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of p and leaf, of all leaves within a squared distance. Sums are in the order of those of points, so rounding loses none."""
+        row, node = np.arange(len(p)), np.ones(len(p), int)
+        for _ in range(self.depth):
+            row, node = np.repeat(row, 2), (2 * node[:, None] + [0, 1]).ravel()
+            gap = np.maximum(np.maximum(self.low[node] - p[row], p[row] - self.high[node]), 0)
+            stay = gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2] <= square[row]
+            row, node = row[stay], node[stay]
+        return row, node
+
+
+#: Points of a leaf, rows a leaf has among those that cuts are taken from, most levels of the tree.
+_LEAF, _SEEN, _DEEPEST = 2048, 32, 15
+
+
+def _closest(q: np.ndarray, p: np.ndarray, k: int, bound: np.ndarray, strict: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row of q, row of p and squared distance of the k nearest within bound, of equally near ones the first in p, for some rows of q at a time."""
+    many = max(1, (1 << 20) // max(1, len(p)))
+    for at in range(0, len(q) if len(p) else 0, many):
+        d = [q[at : at + many, i, None] - p[None, :, i] for i in range(3)]
+        square, limit = d[0] * d[0] + d[1] * d[1] + d[2] * d[2], bound[at : at + many, None]
+        near = square < limit if strict else square <= limit
+        if len(p) > k:
+            near &= square <= np.partition(square, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero(near)
+        order = np.lexsort((col, square[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < k], col[place < k]
+        yield row + at, col, square[row, col]
+
+
+def nearest_within(queries: DataFrame, points: DataFrame, k: int, square: float, strict: bool = False, query_id: str = "query_id", point_id: str = "point_id") -> DataFrame:
+    """query_id, point_id, square and rank of the k nearest points of each query up to a squared distance (strict: below it), by square and point_id.
+
+    Pairs within the distance are never listed: their number grows with the square of the density.
+    Space is cut into leaves of about 2048 points. A query looks into the leaf it is in, then into
+    those that its k-th distance reaches beyond it, and the best of all leaves are its neighbours.
+    Of points at one place only the first k count. Cuts are medians of points picked by a hash;
+    results don't depend on them.
+    """
+    spark = points.sparkSession
+    finite = " and ".join(f"abs({a}) < double('infinity')" for a in AXES)
+    p = first_in_groups(points.select(F.col(point_id).alias("point_id"), *[F.col(a).cast("double").alias(a) for a in AXES]).filter(finite), list(AXES), ["point_id"], k)
+    q = queries.select(F.col(query_id).alias("query_id"), *[F.col(a).cast("double").alias(a) for a in AXES]).filter(finite)
+    n = points.filter(finite).count()
+    depth = min(_DEEPEST, max(0, int(np.ceil(np.log2(max(1, n) / _LEAF)))))
+    share = max(1, (n >> depth) // _SEEN)
+    seen = points.select(*[F.col(a).cast("double").alias(a) for a in AXES]).filter(finite).filter(F.pmod(F.xxhash64(*AXES), F.lit(share)) == 0).distinct().toArrow() if depth else None
+    tree = spark.sparkContext.broadcast(Tree.over(np.stack([seen[a].to_numpy() for a in AXES], 1) if depth else np.zeros((0, 3)), depth))
+    place = lambda t: np.stack([t[a].to_numpy(zero_copy_only=False) for a in AXES], 1)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.value.home(place(b)).astype(np.int32))], names=[*b.schema.names, "leaf"])
+
+    kinds = dict(p.dtypes) | dict(q.dtypes)
+    xyz = "x double, y double, z double"
+    own = p.mapInArrow(dealt, f"point_id {kinds['point_id']}, {xyz}, leaf int").groupBy("leaf")
+    found = f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, square double, {xyz}, bound double, leaf int"
+
+    def search(asked: pa.Table, there: pa.Table, first: bool) -> pa.Table:
+        """Rows with point_id are neighbours; those without ask a further leaf."""
+        there = there.sort_by("point_id")
+        at = place(asked)
+        bound = np.full(len(at), square) if first else asked["bound"].to_numpy()
+        parts = list(_closest(at, place(there), k, bound, strict))
+        r, c, s = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, float if i == 2 else int) for i in range(3))
+        hits = {"query_id": asked["query_id"].take(pa.array(r)), "point_id": there["point_id"].take(pa.array(c)), "square": pa.array(s)}
+        if not first:
+            return pa.table(hits)
+        n = np.bincount(r, minlength=len(at))
+        last = np.full(len(at), square)
+        last[n == k] = s[np.cumsum(n)[n == k] - 1]
+        far, leaf = tree.value.reached(at, last)
+        away = leaf != tree.value.home(at)[far]
+        far, leaf = far[away], leaf[away]
+        none = lambda n, kind: pa.nulls(n, kind)
+        near = [*hits.values(), *[none(len(r), pa.float64())] * 4, none(len(r), pa.int32())]
+        more = [asked["query_id"].take(pa.array(far)), none(len(far), there["point_id"].type), none(len(far), pa.float64()), *[pa.array(x) for x in at[far].T.copy()], pa.array(last[far]), pa.array(leaf.astype(np.int32))]
+        return pa.concat_tables([pa.table(x, names=["query_id", "point_id", "square", *AXES, "bound", "leaf"]) for x in (near, more)])
+
+    asked = q.mapInArrow(dealt, f"query_id {kinds['query_id']}, {xyz}, leaf int").groupBy("leaf")
+    once = asked.cogroup(own).applyInArrow(lambda a, b: search(a, b, True), found)
+    twice = once.filter("leaf is not null").groupBy("leaf").cogroup(own).applyInArrow(lambda a, b: search(a, b, False), f"query_id {kinds['query_id']}, point_id {kinds['point_id']}, square double")
+    return nearest(once.filter("leaf is null").select("query_id", "point_id", "square").unionByName(twice), k)
+
+
 def level_for(radius: Column, resolutions: tuple[float, ...]) -> Column:
     """Index of the coarsest level not coarser than the radius, else of the finest."""
     ordered = sorted(enumerate(resolutions), key=lambda x: x[1])

@@ -116,3 +116,19 @@ def test_canonical_tables(spark):
     assert H.typed_empty(spark, raw.schema).count() == 0 and H.apply_each(raw, lambda d: d.filter("y > 5"), lambda d: d.drop("z")).count() == 0
     stamps = spark.createDataFrame([(1.5e9,), (1.5e12,), (1.5e15,), (1.5e18,)], "t double").select(H.seconds("t", "auto").alias("s")).collect()
     assert all(abs(r.s - 1.5e9) < 1e-3 for r in stamps)
+
+
+def test_nearest_of_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(C, "_LEAF", 16)
+    p = cloud(300)
+    p.loc[:99, ["x", "y", "z"]] = p.loc[:99, ["x", "y", "z"]].round(0)  # equal distances and equal places
+    q = p.iloc[::3]
+    got = C.nearest_within(spark.createDataFrame(q), spark.createDataFrame(p), 3, 0.25, query_id="point_id")
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+    at = p[["x", "y", "z"]].to_numpy()
+    expected = set()
+    for i in q.point_id:
+        d = at - at[i]
+        square = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        expected |= {(i, j, r + 1) for r, j in enumerate([j for j in np.lexsort((p.point_id, square)) if square[j] <= 0.25][:3])}
+    assert {(r.query_id, r.point_id, r.rank) for r in got.collect()} == expected
