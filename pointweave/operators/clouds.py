@@ -207,8 +207,7 @@ def level_for(radius: Column, resolutions: tuple[float, ...]) -> Column:
 
 def nearest_squared(queries: DataFrame, points: DataFrame, k: int, radius: float, **ids: str) -> DataFrame:
     """The k nearest points of each query whose squared distance is under `radius`."""
-    reach = radius**0.5
-    return nearest(neighbours(queries, points, reach, reach, 1, **ids).filter(F.col("square") < radius), k)
+    return nearest_within(queries, points, k, radius, True, **ids)
 
 
 @dataclass(frozen=True)

@@ -134,6 +134,11 @@ def test_nearest_of_many_leaves(spark, monkeypatch):
     assert {(r.query_id, r.point_id, r.rank) for r in got.collect()} == expected
 
 
+def test_nearest_squared_lists_no_pairs(spark):
+    p = spark.createDataFrame(cloud(50))
+    assert "Join" not in C.nearest_squared(p, p, 4, 0.02, query_id="point_id")._jdf.queryExecution().toString()
+
+
 def test_nearest_other_point_lists_no_pairs(spark):
     from pointweave.plans import catalogue
 
